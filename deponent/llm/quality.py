@@ -37,6 +37,7 @@ _KEY = re.compile(r"(?=\S*\d)(?=\S*[A-Z])(?=\S*[a-z])[A-Za-z0-9+/=_\-]{32,}")
 _SPLIT = re.compile(r"\s*[»›|·•→]\s*|\s[>/–-]\s|\s{2,}")
 _NUMBERS = re.compile(r"[\d\s.,:+\-]+$")
 _SENTENCE = re.compile(r"[^\W\d_]{2,}[.!?…]+(?=\s|$|[\"”)])|[,;:](?=\s)")
+_STOPS = frozenset(".!?…")
 _MARKS = (". ", ".\n", ", ", "? ", "! ", "; ", ": ", ",\n", "?\n", "…")
 _LETTERS = bytes(c for c in range(128) if chr(c).isalpha())
 _UPPER, _DIGITS, _BLANK = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t\n\r\x0b\x0c"
