@@ -1,22 +1,477 @@
-"""Queries of the core operators for the driver."""
+"""Queries of the core operators for the driver, each with the SQL that gives the same rows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from deponent.operators import timestamps
-from deponent.session import table
+from deponent.functions import dates as D
+from deponent.functions import text as T
+from deponent.operators import dedupe, files, identity, joins, merge, retrieval, sequence, timestamps
+from deponent.session import lookup_join, table
 
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
 
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with its SQL where there is one."""
+
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# Pieces of SQL that several queries share. The white space is that of both engines' regular expressions.
+_TRIM = r"regexp_replace({0}, '^[\s\x{{00A0}}\x{{202F}}]+|[\s\x{{00A0}}\x{{202F}}]+$', '', 'g')"
+_SQUEEZE = r"trim(regexp_replace({0}, '[\s\x{{00A0}}\x{{0085}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}\x{{1680}}\x0B]+', ' ', 'g'))"
+
+
+class _RowTime:
+    """The time of a transcript row, or null."""
+
+    @staticmethod
+    def format(x: str) -> str:
+        t = _TRIM.format(x)
+        flat = rf"regexp_replace({t}, ',\s?', ' ')"
+        return rf"""CASE WHEN regexp_matches({t}, '^\d{{1,2}}/\d{{1,2}}/\d{{4}}( |, |,)\d{{1,2}}:\d{{1,2}}(:\d{{1,2}})?$')
+  THEN coalesce(try_strptime({flat}, '%d/%m/%Y %H:%M:%S'), try_strptime({flat}, '%d/%m/%Y %H:%M')) END"""
+
+
+_ROW_TIME = _RowTime()
+_ESTIMATED = f"CASE WHEN lower({_TRIM.format('estimated_timestamp')}) IN ('true', '1', 'yes', 'y') THEN 'True' ELSE 'False' END"
+_FINAL = r"regexp_replace(regexp_replace({0}, '\s+([,.;:!?])', '\1', 'g'), '([,.;:!?])([A-Za-z])', '\1 \2', 'g')"
+
+
+class _Key:
+    """The comparison form of a message."""
+
+    @staticmethod
+    def format(x: str) -> str:
+        return _SQUEEZE.format(f"lower(replace({x}, '’', chr(39)))")
+
+
+_KEY = _Key()
+_WORDS = r"list_filter(regexp_split_to_array(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
+_UNRESOLVED = r"""(trim(regexp_replace(lower(trim(coalesce({0}, ''))), '[_\s-]+', ' ', 'g')) IN ('', 'unknown', 'unknown sender', 'unknown receiver', 'unresolved')
+  OR regexp_matches(trim(regexp_replace(lower(trim(coalesce({0}, ''))), '[_\s-]+', ' ', 'g')), '^speaker\s*\d+$'))"""
+_READABLE = f"""SELECT row_id, case_id, conv_key, source_kind, source_csv, source_row, {_TRIM.format('msg_timestamp')} AS msg_timestamp, {_ESTIMATED} AS estimated,
+  {_TRIM.format('sender')} AS sender, {_TRIM.format('receiver')} AS receiver, {_TRIM.format('message')} AS message FROM mass_extract
+  WHERE {_TRIM.format('msg_timestamp')} <> '' AND {_TRIM.format('sender')} <> '' AND {_TRIM.format('receiver')} <> '' AND {_TRIM.format('message')} <> ''"""
+_QUOTED = "translate({0}, '“”‘’', '\"\"''''')"
+_MERGED = f"""
+WITH clean AS (SELECT * REPLACE ({_FINAL.format(_SQUEEZE.format(_QUOTED.format('message')))} AS message) FROM ({_READABLE})),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY source_kind = 'audio', case_id,
+    CASE WHEN source_kind = 'audio' THEN source_csv ELSE msg_timestamp END, CASE WHEN source_kind = 'audio' THEN source_row::VARCHAR ELSE sender END,
+    CASE WHEN source_kind <> 'audio' THEN receiver END, CASE WHEN source_kind <> 'audio' THEN {_KEY.format('message')} END ORDER BY row_id) AS k FROM clean WHERE message <> ''),
+kept AS (SELECT *, row_number() OVER (PARTITION BY source_kind = 'chat', source_csv ORDER BY source_row, row_id) AS pos FROM ranked WHERE k = 1),
+grouped AS (SELECT *, count(*) FILTER (WHERE estimated = 'False') OVER (PARTITION BY source_kind = 'chat', source_csv ORDER BY source_row, row_id) AS g FROM kept),
+anchored AS (SELECT *, first_value(pos) OVER w AS apos, first_value({_ROW_TIME.format('msg_timestamp')}) OVER w AS ats, first_value(estimated) OVER w AS aest
+  FROM grouped WINDOW w AS (PARTITION BY source_kind = 'chat', source_csv, g ORDER BY source_row, row_id)),
+final AS (SELECT *, CASE WHEN source_kind = 'chat' AND estimated = 'True' AND aest = 'False' AND ats IS NOT NULL
+  THEN strftime(ats + to_seconds(pos - apos), '%d/%m/%Y %H:%M:%S') ELSE msg_timestamp END AS stamp FROM anchored)
+SELECT case_id, row_number() OVER (PARTITION BY case_id ORDER BY {_ROW_TIME.format('stamp')} NULLS LAST, row_id) AS seq, row_id, stamp AS msg_timestamp, estimated, sender, receiver, message FROM final"""
+
+
+@query()
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return timestamps.normalized_stamps(table(spark, d, "mass_extract"), table(spark, d, "conversation_state"))
 
 
+# ---------------------------------------------------------------------------------------------- transcript
+
+@query(_MERGED)
+def merged_transcript(spark: SparkSession, d: str) -> DataFrame:
+    return merge.merged_transcript(table(spark, d, "mass_extract"))
+
+
+@query(f"SELECT row_id, source_kind, msg_timestamp, estimated, sender, receiver, message FROM ({_READABLE})")
+def chat_reader_filter(spark: SparkSession, d: str) -> DataFrame:
+    return merge.readable_rows(table(spark, d, "mass_extract")).select("row_id", "source_kind", "msg_timestamp", "estimated", "sender", "receiver", "message")
+
+
+@query(f"SELECT coalesce(estimated_timestamp, '<null>') AS flag, {_ESTIMATED} AS estimated, count(*) AS n FROM mass_extract GROUP BY 1, 2")
+def estimated_flag_norm(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "mass_extract").select(F.coalesce("estimated_timestamp", F.lit("<null>")).alias("flag"), timestamps.is_estimated("estimated_timestamp").alias("estimated"))
+    return rows.groupBy("flag", "estimated").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT row_id, strftime({_ROW_TIME.format('msg_timestamp')}, '%Y-%m-%d %H:%M:%S') AS iso FROM mass_extract WHERE {_ROW_TIME.format('msg_timestamp')} IS NOT NULL")
+def parse_six_formats(spark: SparkSession, d: str) -> DataFrame:
+    ts = D.row_time(F.col("msg_timestamp"))
+    return table(spark, d, "mass_extract").select("row_id", F.date_format(ts, "yyyy-MM-dd HH:mm:ss").alias("iso")).filter("iso is not null")
+
+
+@query(f"""SELECT case_id, source_kind, count(*) AS rows, count(*) FILTER (WHERE {_ROW_TIME.format('msg_timestamp')} IS NULL) AS unreadable, count(*) FILTER (WHERE {_ESTIMATED} = 'True') AS estimated,
+  count(DISTINCT conv_key) AS conversations, count(*) FILTER (WHERE {_UNRESOLVED.format('sender')} OR {_UNRESOLVED.format('receiver')}) AS unresolved FROM mass_extract GROUP BY 1, 2""")
+def manifest_counts(spark: SparkSession, d: str) -> DataFrame:
+    m = table(spark, d, "mass_extract")
+    return m.groupBy("case_id", "source_kind").agg(
+        F.count("*").alias("rows"),
+        F.count_if(D.row_time(F.col("msg_timestamp")).isNull()).alias("unreadable"),
+        F.count_if(timestamps.is_estimated("estimated_timestamp") == "True").alias("estimated"),
+        F.countDistinct("conv_key").alias("conversations"),
+        F.count_if(T.is_unresolved(F.col("sender")) | T.is_unresolved(F.col("receiver"))).alias("unresolved"),
+    )
+
+
+# ---------------------------------------------------------------------------------------------- text
+
+@query(f"SELECT row_id, {_FINAL.format(_SQUEEZE.format(_QUOTED.format('message')))} AS message FROM mass_extract WHERE message IS NOT NULL")
+def clean_final_message(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "mass_extract").filter("message is not null").select("row_id", T.final_message(F.col("message")).alias("message"))
+
+
+@query(f"SELECT case_id, {_KEY.format('message')} AS k, count(*) AS n, min(row_id) AS first_row FROM mass_extract WHERE message IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1")
+def normalize_dedupe_key(spark: SparkSession, d: str) -> DataFrame:
+    keyed = table(spark, d, "mass_extract").filter("message is not null").select("case_id", "row_id", T.dedupe_key(F.col("message")).alias("k"))
+    return keyed.groupBy("case_id", "k").agg(F.count("*").alias("n"), F.min("row_id").alias("first_row")).filter("n > 1")
+
+
+@query(rf"""SELECT row_id, {_SQUEEZE.format(r"regexp_replace(message, '[\x{{1F1E6}}-\x{{1F1FF}}\x{{1F300}}-\x{{1F64F}}\x{{1F680}}-\x{{1FAFF}}\x{{2600}}-\x{{27BF}}\x{{FE0E}}\x{{FE0F}}\x{{200D}}]+', '', 'g')".replace('{{', '{').replace('}}', '}'))} AS message FROM mass_extract WHERE message IS NOT NULL""")
+def strip_emojis(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "mass_extract").filter("message is not null").select("row_id", T.without_emoji(F.col("message")).alias("message"))
+
+
+@query(rf"""SELECT row_id, {_SQUEEZE.format(r"regexp_replace(regexp_replace(message, '(^|[^A-Za-z0-9])\d{1,2}[:.,;]\d{2}($|[^A-Za-z0-9])', '\1 \2', 'g'), '(^|[^A-Za-z0-9])\d{1,2}[:.,;]\d{2}($|[^A-Za-z0-9])', '\1 \2', 'g')")} AS message FROM mass_extract WHERE message IS NOT NULL""")
+def leaked_time_removal(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "mass_extract").filter("message is not null").select("row_id", T.without_leaked_times(F.col("message")).alias("message"))
+
+
+@query(rf"""SELECT source_kind, count(*) AS rows, count(*) FILTER (WHERE coalesce(trim(message) = '' OR regexp_matches(message, '(^|[^A-Za-z0-9])\d{{1,2}}[:.,;]\d{{2}}($|[^A-Za-z0-9])') OR
+  {' + '.join("(regexp_matches(message, '" + p.replace("'", "''") + "'))::INT" for p in T.ARTIFACTS)} >= 2, true)) AS noisy FROM mass_extract GROUP BY 1""")
+def noisy_text_score(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "mass_extract").groupBy("source_kind").agg(F.count("*").alias("rows"), F.count_if(T.is_noisy(F.col("message"))).alias("noisy"))
+
+
+@query(rf"""SELECT row_id FROM mass_extract WHERE coalesce(lower(trim(message)) = '' OR {' OR '.join("contains(lower(trim(message)), '" + w.replace("'", "''") + "')" for w in T.SCREEN_WORDS)}
+  OR regexp_matches(lower(trim(message)), '^({T.SCREEN_CONTROLS})$') OR regexp_matches(lower(trim(message)), '^[0o]{{2,4}}$') OR regexp_matches(lower(trim(message)), '^[✓✔v]{{1,4}}$')
+  OR regexp_matches(lower(trim(message)), '^\d{{1,2}}[:.,;*]\d{{2}}$') OR regexp_matches(lower(trim(message)), '^\d{{1,2}}/\d{{1,2}}/\d{{4}}$'), true)""")
+def ui_noise_filter(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "mass_extract").filter(T.is_screen_text(F.col("message"))).select("row_id")
+
+
+@query(r"""SELECT row_id, len(v) AS n, array_to_string(v, ' ') AS found FROM (SELECT row_id, regexp_extract_all(message, '(?i)(https?://\S+|www\.\S+|[\w.+-]+@[\w.-]+\.[A-Za-z]{2,})', 1) AS v FROM mass_extract WHERE message IS NOT NULL) WHERE len(v) > 0""")
+def protected_addresses(spark: SparkSession, d: str) -> DataFrame:
+    found = F.regexp_extract_all("message", F.lit(r"(?i)(https?://\S+|www\.\S+|[\w.+-]+@[\w.-]+\.[A-Za-z]{2,})"), 1)
+    return table(spark, d, "mass_extract").filter("message is not null").select("row_id", F.size(found).alias("n"), F.array_join(found, " ").alias("found")).filter("n > 0")
+
+
+@query(f"SELECT case_id, sum(len(w)) AS words, count(DISTINCT row_id) AS rows, max(len(w)) AS longest FROM (SELECT case_id, row_id, {_WORDS.format('message')} AS w FROM mass_extract WHERE message IS NOT NULL) GROUP BY 1")
+def message_tokens(spark: SparkSession, d: str) -> DataFrame:
+    w = table(spark, d, "mass_extract").filter("message is not null").select("case_id", "row_id", F.size(T.words(F.col("message"))).alias("n"))
+    return w.groupBy("case_id").agg(F.sum("n").alias("words"), F.countDistinct("row_id").alias("rows"), F.max("n").alias("longest"))
+
+
+@query(r"""SELECT segment_id, trim(regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(message, '\s+', ' ', 'g')), '\s+([,.?!:;])', '\1', 'g'), '([(\[{])\s+', '\1', 'g'), '\s+([)\]}])', '\1', 'g')) AS message FROM audio_utils WHERE message IS NOT NULL""")
+def clean_speech(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "audio_utils").filter("message is not null").select("segment_id", T.clean_message(F.col("message")).alias("message"))
+
+
+# ---------------------------------------------------------------------------------------------- dates and years
+
+@query(r"""WITH y AS (SELECT case_id, doc_id, unnest(regexp_extract_all(text, '\b(20\d{2})\b', 1)) AS year FROM documents WHERE case_id IS NOT NULL),
+n AS (SELECT case_id, year, count(*) AS n FROM y GROUP BY 1, 2)
+SELECT case_id, year, n FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY n DESC, year DESC) AS k FROM n) WHERE k = 1""")
+def report_year_mode(spark: SparkSession, d: str) -> DataFrame:
+    """The year that a case's documents name most often; of equally frequent ones the later."""
+    y = table(spark, d, "documents").filter("case_id is not null").select("case_id", F.explode(D.years(F.col("text"))).alias("year"))
+    n = y.groupBy("case_id", "year").agg(F.count("*").alias("n"))
+    best = F.max(F.struct("n", "year"))
+    return n.groupBy("case_id").agg(best.alias("b")).select("case_id", "b.year", "b.n")
+
+
+@query(r"""SELECT case_id, first(year ORDER BY doc_id) AS year FROM (SELECT case_id, doc_id, regexp_extract_all(text, '\b(20\d{2})\b', 1)[1] AS year FROM documents WHERE case_id IS NOT NULL) WHERE year IS NOT NULL GROUP BY 1""")
+def report_year_first(spark: SparkSession, d: str) -> DataFrame:
+    y = table(spark, d, "documents").filter("case_id is not null").select("case_id", "doc_id", F.get(D.years(F.col("text")), 0).alias("year")).filter("year is not null")
+    return y.groupBy("case_id").agg(F.min_by("year", "doc_id").alias("year"))
+
+
+@query(rf"""SELECT DISTINCT case_id, strftime(d, '%d/%m/%Y') AS day FROM (
+  SELECT case_id, {_ROW_TIME.format('msg_timestamp')}::DATE AS d FROM mass_extract WHERE source_kind = 'chat'
+  UNION ALL SELECT case_id, try_strptime(replace(unnest(regexp_extract_all(text, '\b(\d{{1,2}}[/-]\d{{1,2}}[/-]\d{{4}})\b', 1)), '-', '/'), '%d/%m/%Y')::DATE FROM documents
+  UNION ALL SELECT case_id, try_strptime(unnest(regexp_extract_all(text, '\b(\d{{4}}-\d{{1,2}}-\d{{1,2}})\b', 1)), '%Y-%m-%d')::DATE FROM documents) WHERE d IS NOT NULL AND case_id IS NOT NULL""")
+def evidence_dates(spark: SparkSession, d: str) -> DataFrame:
+    """The days that chat rows or documents of a case name."""
+    chat = table(spark, d, "mass_extract").filter("source_kind = 'chat'").select("case_id", D.row_time(F.col("msg_timestamp")).cast("date").alias("d"))
+    docs = table(spark, d, "documents").select("case_id", F.explode(D.report_dates(F.col("text"))).alias("d"))
+    return chat.union(docs).filter("d is not null and case_id is not null").select("case_id", F.date_format("d", "dd/MM/yyyy").alias("day")).distinct()
+
+
+@query(rf"""WITH d AS (SELECT case_id, {_ROW_TIME.format('msg_timestamp')}::DATE AS d, row_id FROM mass_extract WHERE source_kind = 'chat'),
+n AS (SELECT case_id, d, count(*) AS n, min(row_id) AS first_row FROM d WHERE d IS NOT NULL GROUP BY 1, 2)
+SELECT case_id, strftime(d, '%d/%m/%Y') AS day, n FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY n DESC, first_row) AS k FROM n) WHERE k = 1""")
+def mode_audio_date(spark: SparkSession, d: str) -> DataFrame:
+    """The day with most chat rows of a case, the first seen of equal ones: the date its recordings get."""
+    days = table(spark, d, "mass_extract").filter("source_kind = 'chat'").select("case_id", "row_id", D.row_time(F.col("msg_timestamp")).cast("date").alias("d")).filter("d is not null")
+    n = days.groupBy("case_id", "d").agg(F.count("*").alias("n"), F.min("row_id").alias("first_row"))
+    return n.groupBy("case_id").agg(F.max_by(F.struct("d", "n"), F.struct(F.col("n"), -F.col("first_row"))).alias("b")).select("case_id", F.date_format("b.d", "dd/MM/yyyy").alias("day"), F.col("b.n").alias("n"))
+
+
+@query(rf"""SELECT m.row_id, coalesce(last_value(strftime({_ROW_TIME.format('m.msg_timestamp')}, '%d/%m/%Y') IGNORE NULLS) OVER (PARTITION BY m.conv_key ORDER BY m.source_row, m.row_id ROWS UNBOUNDED PRECEDING), s.last_visible_date) AS day
+  FROM mass_extract m LEFT JOIN conversation_state s USING (conv_key) WHERE m.source_kind = 'chat'""")
+def date_carry_forward(spark: SparkSession, d: str) -> DataFrame:
+    """Each chat row's day: that of the last row with a readable time, else the one remembered for the conversation."""
+    m = table(spark, d, "mass_extract").filter("source_kind = 'chat' and conv_key is not null").select("row_id", "conv_key", "source_row", D.row_time(F.col("msg_timestamp")).alias("ts"))
+    from deponent.operators.scan import carry_forward
+
+    run = carry_forward(m.withColumn("_block", F.floor(F.coalesce("source_row", F.lit(0)) / 4096)), ["conv_key"], "_block", ["source_row", "row_id"], {"day": F.date_format("ts", "dd/MM/yyyy")})
+    return lookup_join(run, table(spark, d, "conversation_state").select("conv_key", "last_visible_date"), "conv_key").select("row_id", F.coalesce("day", "last_visible_date").alias("day"))
+
+
+# ---------------------------------------------------------------------------------------------- order
+
+@query(rf"""WITH t AS (SELECT row_id, conv_key, source_row, {_ROW_TIME.format('msg_timestamp')} AS ts FROM mass_extract WHERE source_kind = 'chat'),
+n AS (SELECT *, epoch(date_trunc('minute', ts))::BIGINT AS m, row_number() OVER (PARTITION BY conv_key, ts IS NOT NULL ORDER BY source_row, row_id) AS n FROM t)
+SELECT row_id, CASE WHEN ts IS NOT NULL THEN max(m - n) OVER (PARTITION BY conv_key, ts IS NOT NULL ORDER BY source_row, row_id ROWS UNBOUNDED PRECEDING) + n END AS seconds FROM n""")
+def monotone_seconds(spark: SparkSession, d: str) -> DataFrame:
+    m = table(spark, d, "mass_extract").filter("source_kind = 'chat'").select("row_id", "conv_key", "source_row", D.row_time(F.col("msg_timestamp")).alias("ts"))
+    return sequence.rising_seconds(m, ["conv_key"], ["source_row", "row_id"], "ts", "out").select("row_id", F.unix_timestamp("out").alias("seconds"))
+
+
+_ONCE = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY recording_id, segment_no ORDER BY segment_id) AS k FROM audio_utils) WHERE k = 1"
+_LABEL = r"""CASE WHEN regexp_extract(upper(trim(speaker)), '^\[?SPEAKER_(\d+)', 1) <> '' THEN printf('S%02d', regexp_extract(upper(trim(speaker)), '^\[?SPEAKER_(\d+)', 1)::INT + 1)
+  WHEN regexp_extract(upper(trim(speaker)), '^\[?(SPEAKER[\s-]?|SPKR[ -]?|SPK[ -]?|S)(\d+)', 2) <> '' THEN printf('S%02d', regexp_extract(upper(trim(speaker)), '^\[?(SPEAKER[\s-]?|SPKR[ -]?|SPK[ -]?|S)(\d+)', 2)::INT)
+  WHEN upper(trim(speaker)) = '' THEN 'S00' ELSE upper(trim(speaker)) END"""
+
+
+def _segments_once(spark: SparkSession, d: str) -> DataFrame:
+    a = table(spark, d, "audio_utils").filter("recording_id is not null and segment_no is not null")
+    return dedupe.keep_first(a, [F.col("recording_id"), F.col("segment_no")], ["segment_id"])
+
+
+@query(f"SELECT segment_id, {_LABEL} AS label FROM audio_utils WHERE speaker IS NOT NULL")
+def speaker_labels(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "audio_utils").filter("speaker is not null").select("segment_id", sequence.speaker_label(F.col("speaker")).alias("label"))
+
+
+@query(f"""WITH s AS (SELECT recording_id, segment_no, segment_id, start_s, end_s, coalesce(message, '') AS message, {_LABEL.replace('speaker', "coalesce(speaker, '')")} AS label FROM ({_ONCE})),
+b AS (SELECT *, CASE WHEN lag(label) OVER (PARTITION BY recording_id ORDER BY segment_no) = label THEN 0 ELSE 1 END AS new FROM s),
+g AS (SELECT *, sum(new) OVER (PARTITION BY recording_id ORDER BY segment_no ROWS UNBOUNDED PRECEDING) AS turn FROM b)
+SELECT recording_id, min(segment_no) AS first_no, any_value(label) AS label, count(*) AS segments, round(min(start_s), 2) AS start_s, round(max(end_s), 2) AS end_s, string_agg(message, ' ' ORDER BY segment_no) AS message FROM g GROUP BY recording_id, turn""")
+def merge_same_speaker(spark: SparkSession, d: str) -> DataFrame:
+    """Neighbouring segments of one label as one turn, their texts joined in order."""
+    s = _segments_once(spark, d).withColumn("label", sequence.speaker_label(F.coalesce("speaker", F.lit("")))).withColumn("_block", F.floor(F.col("segment_no") / 4096))
+    runs = sequence.islands(s, ["recording_id"], "_block", ["segment_no"], "label", "run")
+    texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("segment_no", F.coalesce("message", F.lit("")).alias("m")))), lambda x: x["m"]), " ")
+    return runs.groupBy("recording_id", F.col("run.segment_no").alias("first_no")).agg(F.max("label").alias("label"), F.count("*").alias("segments"), F.round(F.min("start_s"), 2).alias("start_s"), F.round(F.max("end_s"), 2).alias("end_s"), texts.alias("message"))
+
+
+@query(f"""SELECT recording_id, segment_id, printf('%.3f', greatest(0, coalesce(start_s, 0) - first_value(coalesce(start_s, 0)) OVER (PARTITION BY recording_id ORDER BY segment_no))) AS offset_s FROM ({_ONCE})""")
+def audio_offset_rebase(spark: SparkSession, d: str) -> DataFrame:
+    """Offsets from the first segment's start, never negative."""
+    s = _segments_once(spark, d)
+    first = s.groupBy("recording_id").agg(F.min_by(F.coalesce("start_s", F.lit(0.0)), "segment_no").alias("first"))
+    return lookup_join(s, first, "recording_id").select("recording_id", "segment_id", F.format_string("%.3f", F.greatest(F.lit(0.0), F.coalesce("start_s", F.lit(0.0)) - F.col("first"))).alias("offset_s"))
+
+
+@query(f"""SELECT recording_id, bool_and(ok) AS complete, count(*) AS segments FROM (SELECT recording_id, coalesce(start_s IS NOT NULL AND end_s IS NOT NULL AND start_s >= 0 AND end_s >= start_s
+  AND start_s >= coalesce(lag(start_s) OVER (PARTITION BY recording_id ORDER BY segment_no), -1), false) AS ok FROM ({_ONCE})) GROUP BY 1""")
+def timing_complete_check(spark: SparkSession, d: str) -> DataFrame:
+    """Whether all segments of a recording have times that never run back."""
+    s = _segments_once(spark, d)
+    before = F.coalesce(F.lag("start_s").over(Window.partitionBy("recording_id").orderBy("segment_no")), F.lit(-1.0))
+    ok = F.coalesce(F.col("start_s").isNotNull() & F.col("end_s").isNotNull() & (F.col("start_s") >= 0) & (F.col("end_s") >= F.col("start_s")) & (F.col("start_s") >= before), F.lit(False))
+    return s.withColumn("ok", ok).groupBy("recording_id").agg(F.bool_and("ok").alias("complete"), F.count("*").alias("segments"))
+
+
+@query("""WITH g AS (SELECT *, CASE WHEN epoch(ts)::BIGINT - epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id))::BIGINT <= 1800 THEN 0 ELSE 1 END AS new FROM events),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM g)
+SELECT user_id, session, count(*) AS events, min(event_id) AS first_event, round(sum(value), 2) AS total FROM s GROUP BY 1, 2""")
+def session_recordings(spark: SparkSession, d: str) -> DataFrame:
+    s = sequence.sessions(table(spark, d, "events"), "user_id", "ts", 1800, ["event_id"])
+    return s.groupBy("user_id", F.col("session").cast("long").alias("session")).agg(F.count("*").alias("events"), F.min("event_id").alias("first_event"), F.round(F.sum("value"), 2).alias("total"))
+
+
+# ---------------------------------------------------------------------------------------------- duplicates
+
+@query("SELECT sha256(text) AS digest, count(*) AS copies, min(doc_id) AS first_doc FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
+def sha256_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").filter("text is not null").groupBy(F.sha2("text", 256).alias("digest")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_doc")).filter("copies > 1")
+
+
+@query(f"""SELECT row_id FROM (SELECT row_id, row_number() OVER (PARTITION BY source_kind = 'audio', case_id, CASE WHEN source_kind = 'audio' THEN source_csv ELSE msg_timestamp END,
+  CASE WHEN source_kind = 'audio' THEN source_row::VARCHAR ELSE sender END, CASE WHEN source_kind <> 'audio' THEN receiver END, CASE WHEN source_kind <> 'audio' THEN {_KEY.format('message')} END ORDER BY row_id) AS k FROM ({_READABLE})) WHERE k = 1""")
+def final_chat_dedupe(spark: SparkSession, d: str) -> DataFrame:
+    return dedupe.transcript_unique(merge.readable_rows(table(spark, d, "mass_extract"))).select("row_id")
+
+
+@query("""SELECT recording_id, segment_id FROM (SELECT *, row_number() OVER (PARTITION BY recording_id, segment_no, coalesce(start_s, -1), lower(trim(coalesce(speaker, ''))), trim(regexp_replace(lower(coalesce(message, '')), '\\s+', ' ', 'g')) ORDER BY segment_id) AS k FROM audio_utils) WHERE k > 1""")
+def recording_exact_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Segments that repeat another of the same place, start, speaker and text."""
+    a = table(spark, d, "audio_utils")
+    keys = [F.col("recording_id"), F.col("segment_no"), F.coalesce("start_s", F.lit(-1.0)), F.lower(F.trim(F.coalesce("speaker", F.lit("")))), T.dedupe_key(F.coalesce("message", F.lit("")))]
+    first = dedupe.keep_first(a, keys, ["segment_id"])
+    return a.join(first.select("segment_id"), "segment_id", "left_anti").select("recording_id", "segment_id")
+
+
+@query(f"""WITH w AS (SELECT row_id, conv_key, source_row, sender, {_KEY.format('message')} AS k FROM mass_extract WHERE source_kind = 'chat' AND message IS NOT NULL AND conv_key IS NOT NULL),
+n AS (SELECT *, lag(k) OVER v AS before, lag(sender) OVER v AS who, lead(k) OVER v AS after, lead(sender) OVER v AS next FROM w WINDOW v AS (PARTITION BY conv_key ORDER BY source_row, row_id))
+SELECT row_id FROM n WHERE k <> '' AND length(k) < 40 AND ((who = sender AND length(before) > length(k) AND contains(before, k)) OR (next = sender AND length(after) > length(k) AND contains(after, k)))""")
+def short_contained_duplicate(spark: SparkSession, d: str) -> DataFrame:
+    """Short messages that the same sender's message just before or after contains."""
+    m = table(spark, d, "mass_extract").filter("source_kind = 'chat' and message is not null and conv_key is not null").select("row_id", "conv_key", "source_row", "sender", T.dedupe_key(F.col("message")).alias("k"))
+    w = Window.partitionBy("conv_key").orderBy("source_row", "row_id")
+    n = m.withColumns({"before": F.lag("k").over(w), "who": F.lag("sender").over(w), "after": F.lead("k").over(w), "next": F.lead("sender").over(w)})
+    inside = lambda other, who: (F.col(who) == F.col("sender")) & (F.length(other) > F.length("k")) & F.contains(F.col(other), F.col("k"))
+    return n.filter((F.col("k") != "") & (F.length("k") < 40) & (F.coalesce(inside("before", "who"), F.lit(False)) | F.coalesce(inside("after", "next"), F.lit(False)))).select("row_id")
+
+
+@query()
+def adjacent_near_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    m = table(spark, d, "mass_extract").filter("source_kind = 'chat' and conv_key is not null").select("row_id", "conv_key", "source_row", "sender", "message", D.row_time(F.col("msg_timestamp")).alias("ts"))
+    days = m.withColumns({"day": F.coalesce(F.to_date("ts").cast("string"), F.lit("")), "minutes": F.unix_timestamp("ts") / 60.0}).drop("ts")
+    return dedupe.adjacent_near_duplicates(days, ["conv_key"], "day", ["source_row", "row_id"], "sender", "message", "minutes").filter("dropped").select("row_id")
+
+
+@query()
+def recording_coverage(spark: SparkSession, d: str) -> DataFrame:
+    a = lookup_join(_segments_once(spark, d), table(spark, d, "recordings").select("recording_id", "case_id"), "recording_id", "inner")
+    return dedupe.covered_recordings(a)
+
+
+# ---------------------------------------------------------------------------------------------- joins and identity
+
+@query(rf"""WITH w AS (SELECT row_id, conv_key, source_row, {_WORDS.format('message')} AS w FROM mass_extract WHERE source_kind = 'chat' AND message IS NOT NULL AND conv_key IS NOT NULL),
+p AS (SELECT row_id, w AS a, lag(w) OVER (PARTITION BY conv_key ORDER BY source_row, row_id) AS b FROM w)
+SELECT row_id, CASE WHEN least(len(a), len(b)) > 0 THEN round(list_sum(list_transform(list_distinct(a), lambda x: least(len(list_filter(a, lambda y: y = x)), len(list_filter(b, lambda y: y = x)))))::DOUBLE / least(len(a), len(b)), 4) ELSE 0.0 END AS ratio FROM p WHERE b IS NOT NULL""")
+def token_overlap_adjacent(spark: SparkSession, d: str) -> DataFrame:
+    m = table(spark, d, "mass_extract").filter("source_kind = 'chat' and message is not null and conv_key is not null").select("row_id", "conv_key", "source_row", T.words(F.col("message")).alias("a"))
+    p = m.withColumn("b", F.lag("a").over(Window.partitionBy("conv_key").orderBy("source_row", "row_id"))).filter("b is not null")
+    return p.select("row_id", F.round(T.overlap_ratio(F.col("a"), F.col("b")), 4).alias("ratio"))
+
+
+@query("""SELECT m.row_id, min(p.participant_id) AS participant_id FROM mass_extract m JOIN (SELECT case_id, participant_id, lower(trim(full_name)) AS k FROM case_participants WHERE full_name IS NOT NULL
+  UNION SELECT case_id, participant_id, lower(trim(a)) FROM (SELECT case_id, participant_id, unnest(aliases) AS a FROM case_participants)) p ON p.case_id = m.case_id AND p.k = lower(trim(m.sender)) GROUP BY 1""")
+def canonical_name_lookup(spark: SparkSession, d: str) -> DataFrame:
+    return identity.known_senders(table(spark, d, "mass_extract"), table(spark, d, "case_participants"))
+
+
+@query(r"""WITH p AS (SELECT participant_id, case_id, regexp_replace(unnest(contact_numbers), '\D', '', 'g') AS digits FROM case_participants),
+f AS (SELECT row_id, case_id, regexp_replace(unnest(regexp_extract_all(message, '(\+?\(?\d[\d\s().-]{6,18}\d)', 1)), '\D', '', 'g') AS digits FROM mass_extract WHERE message IS NOT NULL)
+SELECT DISTINCT f.row_id, p.participant_id FROM f JOIN p ON p.case_id = f.case_id AND p.digits = f.digits WHERE length(f.digits) >= 7""")
+def phone_owner_join(spark: SparkSession, d: str) -> DataFrame:
+    return identity.phone_owners(table(spark, d, "mass_extract"), table(spark, d, "case_participants"))
+
+
+@query("""SELECT m.row_id, CASE WHEN lower(trim(m.sender)) = lower(trim(s.left_name)) THEN 'LEFT' WHEN lower(trim(m.sender)) = lower(trim(s.right_name)) THEN 'RIGHT' ELSE 'UNKNOWN' END AS side FROM mass_extract m LEFT JOIN conversation_state s USING (conv_key) WHERE m.source_kind = 'chat'""")
+def apply_side_map(spark: SparkSession, d: str) -> DataFrame:
+    m = table(spark, d, "mass_extract").filter("source_kind = 'chat'").select("row_id", "conv_key", "sender")
+    j = lookup_join(m, table(spark, d, "conversation_state").select("conv_key", "left_name", "right_name"), "conv_key")
+    name = lambda c: F.lower(F.trim(c))
+    return j.select("row_id", F.when(name("sender") == name("left_name"), "LEFT").when(name("sender") == name("right_name"), "RIGHT").otherwise("UNKNOWN").alias("side"))
+
+
+@query("""SELECT row_id FROM mass_extract m WHERE EXISTS (SELECT 1 FROM case_participants a WHERE a.case_id = m.case_id AND lower(trim(a.full_name)) = lower(trim(m.sender))) AND EXISTS (SELECT 1 FROM case_participants b WHERE b.case_id = m.case_id AND lower(trim(b.full_name)) = lower(trim(m.receiver))) AND lower(trim(sender)) <> lower(trim(receiver))""")
+def interaction_pair_semi(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of which sender and receiver are different parties of the case by their full names."""
+    names = table(spark, d, "case_participants").filter("full_name is not null").select("case_id", F.lower(F.trim("full_name")).alias("k")).distinct()
+    m = table(spark, d, "mass_extract").select("row_id", "case_id", F.lower(F.trim("sender")).alias("s"), F.lower(F.trim("receiver")).alias("r")).filter("s <> r")
+    return m.join(names.withColumnRenamed("k", "s"), ["case_id", "s"], "left_semi").join(names.withColumnRenamed("k", "r"), ["case_id", "r"], "left_semi").select("row_id")
+
+
+@query(f"""SELECT case_id, n FROM (SELECT case_id, count(*) FILTER (WHERE {_UNRESOLVED.format('sender')}) AS n FROM mass_extract GROUP BY 1) WHERE n > 0""")
+def unresolved_senders(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "mass_extract").groupBy("case_id").agg(F.count_if(T.is_unresolved(F.col("sender"))).alias("n")).filter("n > 0")
+
+
+@query(r"""WITH r AS (SELECT recording_id, CASE WHEN json_extract(speaker_map, '$.speaker_map') IS NOT NULL THEN json_extract(speaker_map, '$.speaker_map') ELSE json(speaker_map) END AS m FROM recordings WHERE speaker_map IS NOT NULL),
+k AS (SELECT recording_id, m, unnest(json_keys(m)) AS label FROM r)
+SELECT recording_id, label, json_extract_string(m, '$.' || label) AS name FROM k""")
+def speaker_map_entries(spark: SparkSession, d: str) -> DataFrame:
+    return identity.speaker_names(table(spark, d, "recordings"))
+
+
+@query()
+def unique_donor_fill(spark: SparkSession, d: str) -> DataFrame:
+    return joins.filled_from_donors(table(spark, d, "mass_extract").filter("source_kind = 'audio'"))
+
+
+@query()
+def bubble_best_match(spark: SparkSession, d: str) -> DataFrame:
+    a = lookup_join(table(spark, d, "audio_utils").select("segment_id", "recording_id", "message"), table(spark, d, "recordings").select("recording_id", "case_id"), "recording_id", "inner")
+    m = table(spark, d, "mass_extract").filter("source_kind = 'audio'").select("row_id", "case_id", "message")
+    return joins.best_overlap(m, "row_id", a, "segment_id", "case_id", "message", 0.58)
+
+
+# ---------------------------------------------------------------------------------------------- retrieval
+
+@query(rf"""WITH a AS (SELECT DISTINCT case_id, unnest({_WORDS.format('message')}) AS t FROM mass_extract WHERE source_kind = 'audio' AND message IS NOT NULL),
+t AS (SELECT case_id, t FROM a WHERE length(t) >= 4 AND t NOT IN ({', '.join("'" + w + "'" for w in retrieval.CONTEXT_STOPWORDS)})),
+c AS (SELECT row_id, case_id, {_ROW_TIME.format('msg_timestamp')}::DATE AS d, list_distinct({_WORDS.format('message')}) AS w FROM mass_extract WHERE source_kind = 'chat' AND message IS NOT NULL),
+o AS (SELECT c.row_id, c.case_id, c.d, count(t.t) AS overlap FROM (SELECT row_id, case_id, d, unnest(CASE WHEN len(w) = 0 THEN [NULL] ELSE w END) AS x FROM c WHERE d IS NOT NULL) c LEFT JOIN t ON t.case_id = c.case_id AND t.t = c.x GROUP BY 1, 2, 3),
+g AS (SELECT case_id, d, row_number() OVER (PARTITION BY case_id ORDER BY sum(overlap) DESC, max(overlap) DESC, d) AS place FROM o GROUP BY case_id, d),
+r AS (SELECT o.*, g.place, row_number() OVER (PARTITION BY o.case_id, o.d ORDER BY o.overlap DESC, o.row_id) AS k FROM o JOIN g ON g.case_id = o.case_id AND g.d = o.d WHERE g.place <= 14)
+SELECT case_id, place, strftime(d, '%d/%m/%Y') AS day, row_id, overlap FROM r WHERE k <= 8 AND case_id IN (SELECT case_id FROM t)""")
+def date_grouped_context(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.date_context(table(spark, d, "mass_extract"))
+
+
+@query(rf"""WITH p AS (SELECT doc_id, case_id, unnest(string_split_regex(text, '\n\s*\n')) AS body, generate_subscripts(string_split_regex(text, '\n\s*\n'), 1) - 1 AS pos FROM documents WHERE case_id IS NOT NULL AND text IS NOT NULL),
+names AS (SELECT DISTINCT case_id, lower(trim(full_name)) AS k FROM case_participants WHERE full_name IS NOT NULL AND trim(full_name) <> ''),
+s AS (SELECT p.doc_id, p.case_id, p.pos, count(n.k) AS names FROM p LEFT JOIN names n ON n.case_id = p.case_id AND contains(lower(p.body), n.k) WHERE trim(p.body) <> '' GROUP BY 1, 2, 3)
+SELECT case_id, doc_id, pos, names, k AS place FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY names DESC, doc_id, pos) AS k FROM s WHERE names > 0) WHERE k <= 12""")
+def relevant_passages_topk(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.passages_naming_parties(table(spark, d, "documents"), table(spark, d, "case_participants"))
+
+
+# ---------------------------------------------------------------------------------------------- files
+
+@query(f"SELECT file_id, {files.PLATFORM_SQL} AS platform, {files.EXTENSION_SQL} AS ext, {files.KIND_SQL} AS kind FROM file_inventory")
+def platform_by_path(spark: SparkSession, d: str) -> DataFrame:
+    return files.classified(table(spark, d, "file_inventory")).select("file_id", "platform", "ext", "kind")
+
+
+@query(f"SELECT coalesce(case_id, '') AS case_id, coalesce(lower(file_status), 'unknown') AS status, {files.KIND_SQL} AS kind, count(*) AS files FROM file_inventory GROUP BY 1, 2, 3")
+def inventory_status(spark: SparkSession, d: str) -> DataFrame:
+    f = files.classified(table(spark, d, "file_inventory"))
+    return f.groupBy(F.coalesce("case_id", F.lit("")).alias("case_id"), F.coalesce(F.lower("file_status"), F.lit("unknown")).alias("status"), "kind").agg(F.count("*").alias("files"))
+
+
+@query(r"""WITH s AS (SELECT file_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(rel_path, '^.*/', ''), '\.[^.]*$', ''), '[^A-Za-z0-9._-]+', '_', 'g'), '_+', '_', 'g') AS a FROM file_inventory WHERE rel_path IS NOT NULL),
+t AS (SELECT file_id, CASE WHEN regexp_replace(a, '^[._]+|[._]+$', '', 'g') = '' THEN 'input' ELSE regexp_replace(a, '^[._]+|[._]+$', '', 'g') END AS stem FROM s)
+SELECT file_id, CASE WHEN k = 1 THEN stem ELSE stem || '_' || printf('%03d', k) END AS stem FROM (SELECT *, row_number() OVER (PARTITION BY lower(stem) ORDER BY file_id) AS k FROM t)""")
+def unique_output_stem(spark: SparkSession, d: str) -> DataFrame:
+    return files.unique_stems(table(spark, d, "file_inventory"))
+
+
+@query(f"""SELECT case_id, rel_path, score FROM (SELECT case_id, rel_path, score, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, depth, rel_path DESC) AS k FROM
+  (SELECT case_id, rel_path, {files.SCORE_SQL} AS score, len(string_split(rel_path, '/')) AS depth FROM file_inventory WHERE rel_path IS NOT NULL AND case_id IS NOT NULL)) WHERE k = 1""")
+def report_discovery(spark: SparkSession, d: str) -> DataFrame:
+    return files.best_report(table(spark, d, "file_inventory"))
+
+
+# ---------------------------------------------------------------------------------------------- general joins and aggregates
+
+@query("""SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_price, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= DATE '1998-09-02' GROUP BY 1, 2""")
+def grouped_totals(spark: SparkSession, d: str) -> DataFrame:
+    li = table(spark, d, "lineitem").filter(F.col("l_shipdate") <= F.lit("1998-09-02").cast("date"))
+    price = F.col("l_extendedprice")
+    return li.groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum(price), 2).alias("sum_price"), F.round(F.sum(price * (1 - F.col("l_discount"))), 2).alias("sum_disc"), F.count("*").alias("n"))
+
+
+@query("""SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1""")
+def joined_totals(spark: SparkSession, d: str) -> DataFrame:
+    li, o, c, n = (table(spark, d, t) for t in ("lineitem", "orders", "customer", "nation"))
+    j = li.join(o, li.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey).join(F.broadcast(n), c.c_nationkey == n.n_nationkey)
+    return j.groupBy("n_name").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
+
+
+@query("""SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M') AS hour, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2""")
+def tumbling_events(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").groupBy(F.window(F.col("ts").cast("timestamp"), "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
+    return e.select(F.date_format("w.start", "yyyy-MM-dd HH:mm").alias("hour"), "event_type", "n", "total")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p4_found": p4_found}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
