@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from deponent.llm.peg import ahead_not, choice, later, many, maybe, named, seq, token
 from deponent.operators.scan import carry_forward
-from deponent.session import lookup_join
+from deponent.session import checkpointed, lookup_join
 
 #: Segments in one piece of a recording, and seconds in one, for running values.
 BLOCK_SEGMENTS, BLOCK_SECONDS = 4096, 3600
@@ -151,11 +151,12 @@ def speech_segments(segments: DataFrame, recordings: DataFrame) -> DataFrame:
     maps = recordings.groupBy("recording_id").agg(F.max("speaker_map").alias("speaker_map"))
     read = lookup_join(once, maps, "recording_id").withColumn("r", F.pandas_udf(_read, _READ)("speaker", "message", "speaker_map"))
     read = read.select("recording_id", "segment_no", "segment_id", "start_s", "end_s", "r.number", "r.words", "r.speech", F.floor(F.col("segment_no") / BLOCK_SEGMENTS).alias("_block"))
+    read = checkpointed(read)  # each text is parsed once, though three running values read the rows
     timed = F.when(F.col("start_s").isNotNull() & ~F.isnan("start_s"), F.struct("start_s", "segment_no"))
     placed = carry_forward(read, ["recording_id"], "_block", ["segment_no"], {"anchor": timed})
     placed = placed.withColumn("at", F.struct(F.coalesce(F.col("anchor.start_s"), F.lit(float("-inf"))).alias("t"), F.coalesce(F.col("anchor.segment_no"), F.lit(-1)).alias("n"), F.col("segment_no").alias("k")))
     placed = placed.withColumn("_block", F.floor(F.greatest(F.coalesce(F.col("anchor.start_s"), F.lit(0.0)), F.lit(0.0)) / BLOCK_SECONDS)).drop("anchor")
-    voiced = carry_forward(placed, ["recording_id"], "_block", ["at"], {"speaker_no": F.col("number")})
+    voiced = carry_forward(checkpointed(placed), ["recording_id"], "_block", ["at"], {"speaker_no": F.col("number")})
     speech = voiced.filter("speech and speaker_no is not null")
     turned = carry_forward(speech, ["recording_id"], "_block", ["at"], {"last_no": F.col("speaker_no")}, inclusive=False)
     return turned.select("recording_id", "segment_id", "at", "_block", "start_s", "end_s", "speaker_no", "words", (F.col("last_no").isNull() | (F.col("last_no") != F.col("speaker_no"))).alias("first_of_turn"))
