@@ -52,3 +52,15 @@ def lookup_join(facts: DataFrame, dim: DataFrame, key: str, how: str = "left", l
     salted = facts.withColumn("_salt", F.pmod(F.xxhash64(*facts.columns[:4]), F.lit(SALTS)).cast("int"))
     spread = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return salted.join(spread, [key, "_salt"], how).drop("_salt")
+
+
+def bounded_sample(df: DataFrame, column: str, limit: int) -> DataFrame:
+    """At most ``limit`` rows with a ``column``, evenly by a hash of it, the same on every run; all rows if there are no more.
+
+    Only as many rows as the share of the hash range lets through are read on, so no task gets more than a few thousand.
+    """
+    rows = df.filter(F.col(column).isNotNull())
+    share = 1.2 * limit / max(1, df.count())
+    if share < 1:
+        rows = rows.filter(F.pmod(F.xxhash64(column), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
+    return rows.limit(limit)
