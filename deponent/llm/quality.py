@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from deponent.llm.quality_examples import EXAMPLES
 from deponent.llm.trees import BoostedTrees, calibrate
+from deponent.session import bounded_sample
 
-#: Documents on which the trees are fitted, at most; taken in the order of a hash of their text.
+#: Documents on which the trees are fitted, at most; taken evenly by a hash of their text.
 TRAIN_DOCUMENTS = 4000
 KINDS = ("prose", "list", "table", "junk")
 FEATURES = (
@@ -252,7 +253,7 @@ def document_statistics(documents: DataFrame, common_words: DataFrame) -> DataFr
 def train(documents: DataFrame, common_words: DataFrame, limit: int = TRAIN_DOCUMENTS) -> BoostedTrees:
     """Trees fitted on at most ``limit`` weakly labelled documents and calibrated on the texts labelled by hand."""
     common = _word_lists(common_words)
-    sample = documents.filter("text is not null").select("doc_id", "text", F.xxhash64("text").alias("h")).orderBy("h", "doc_id").limit(limit)
+    sample = bounded_sample(documents.select("doc_id", "text"), "text", limit)
     rows = document_statistics(sample, common_words).select(*FEATURES).collect()
     labelled = [(list(r), y) for r in rows if (y := weak_label(list(r))) is not None]
     # Structural examples made from the hand-labelled shapes keep every kind present in a small sample.

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from deponent.session import bounded_sample
+
 #: Words are known from this share of all words on, but at least KNOWN_COUNT times; line shapes are kept from SHAPE_COUNT on.
 KNOWN_SHARE, KNOWN_COUNT, SHAPE_COUNT = 1e-7, 3, 3
 #: The known words and line shapes are sent to the tasks up to these numbers; more are refused.
@@ -430,7 +432,7 @@ def train(rows: DataFrame) -> Repairer:
     least = max(KNOWN_COUNT, KNOWN_SHARE * float(words.n.sum()))
     shapes = {k: (int(n), int(b)) for k, n, b in zip(lines.key, lines.n, lines.breaks)}
     known = {k: int(n) for k, n in zip(words.key, words.n) if n >= least}
-    sample = rows.filter(F.col("message").contains("\n")).select("message", F.xxhash64("message").alias("h")).orderBy("h").limit(TRAIN_MESSAGES)
+    sample = bounded_sample(rows.select("message").filter(F.col("message").contains("\n")), "message", TRAIN_MESSAGES)
     return Repairer(PageModel(shapes).train([r["message"] for r in sample.collect()]), Editor(known).train())
 
 
