@@ -43,8 +43,12 @@ def distance(a: str, b: str, most: int = 2) -> int:
     two: list[int] = []
     last = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
-        now = [i] + [0] * len(b)
-        for j, y in enumerate(b, 1):
+        lo, hi = max(1, i - most), min(len(b), i + most)
+        now = [most + 1] * (len(b) + 1)
+        if i <= most:
+            now[0] = i
+        for j in range(lo, hi + 1):
+            y = b[j - 1]
             now[j] = min(last[j] + 1, now[j - 1] + 1, last[j - 1] + (x != y))
             if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
                 now[j] = min(now[j], two[j - 2] + 1)
@@ -59,7 +63,7 @@ def near(a: str, b: str) -> int | None:
     if a == b:
         return 0
     short = min(len(a), len(b))
-    if short < 4:
+    if short < 4 or short > 64:  # a "word" beyond that is no name
         return None
     d = distance(a, b, 2 if short >= 9 else 1)
     return d if d <= (2 if short >= 9 else 1) else None

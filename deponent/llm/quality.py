@@ -34,7 +34,7 @@ _FIELD = re.compile(r"(?:^|\s{2,})[A-Za-z][\w ]{0,14}: ?")
 _SPEAKER = re.compile(r"\s*(?:\[?\d{1,2}[:.]\d{2}(?::\d{2})?\]?\s*(?:[-–]\s*)?)?[^\W\d][\w .'’-]{1,40}(?::| [-–])\s+\S")
 _LETTER = re.compile(r"(?:Dear|Hello|Hi|Good day|Statement of|Date|From|To|Subject|Re)\b|.{1,40},$")
 _DAMAGE = re.compile(r"[\u0080-\u009f�†‡™œŒ¿½¼¾¤¶©®€¦§¨¬±²³¹º»«ÂÃÐðþÞ]")
-_KEY = re.compile(r"(?=\S*\d)(?=\S*[A-Z])(?=\S*[a-z])[A-Za-z0-9+/=_\-]{32,}")
+_RUN = re.compile(r"[A-Za-z0-9+/=_\-]{32,}")
 _SPLIT = re.compile(r"\s*[»›|·•→]\s*|\s[>/–-]\s|\s{2,}")
 _NUMBERS = re.compile(r"[\d\s.,:+\-]+$")
 _SENTENCE = re.compile(r"[^\W\d_]{2,}[.!?…]+(?=\s|$|[\"”)])|[,;:](?=\s)")
@@ -45,6 +45,11 @@ _UPPER, _DIGITS, _BLANK = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t\n\
 _TO_WORDS = {c: c if chr(c).isalpha() or c == 39 else 32 for c in range(128)} | {0x2019: 39, 0x201C: 32, 0x201D: 32, 0x2026: 32, 0x2014: 32, 0x2013: 32}
 
 
+def _key(body: str) -> bool:
+    """Whether a text holds a long run of mixed key characters."""
+    return any(not x.isalpha() and not x.islower() and not x.isupper() and any(c.isdigit() for c in x) for x in _RUN.findall(body))
+
+
 def _words(text: str) -> list[str]:
     return text.lower().translate(_TO_WORDS).split()
 
@@ -94,7 +99,7 @@ def _junk_line(body: str) -> bool:
     if letters > 0.75 * solid:
         if not body.isascii() and len(_DAMAGE.findall(body)) > 0.08 * len(body):
             return True
-        return size >= 32 and (body.count(" ") <= 1 + size // 60 and _KEY.search(body) is not None or (("  " in body or "|" in body or not body.isascii() or "/" in body or ">" in body or " - " in body) and _menu(body)))
+        return size >= 32 and (body.count(" ") <= 1 + size // 60 and _key(body) or (("  " in body or "|" in body or not body.isascii() or "/" in body or ">" in body or " - " in body) and _menu(body)))
     digits = size - len(b.translate(None, _DIGITS))
     if digits and _NUMBERS.match(body):
         return body.count(" ") >= 3
@@ -105,11 +110,11 @@ def _junk_line(body: str) -> bool:
     words = body.split()
     if len(words) >= 4 and max(map(len, words)) <= 2 and len(set(words)) <= 3:
         return True
-    if re.fullmatch(r"(?:[il1|I]+[\s|]*){3,}", body):
+    if len(body) >= 3 and not body.strip("il1|I "):
         return True
     if not body.isascii() and len(_DAMAGE.findall(body)) > 0.08 * len(body):
         return True
-    return size >= 32 and (len(words) <= 2 + size // 60 and _KEY.search(body) is not None or _menu(body))
+    return size >= 32 and (len(words) <= 2 + size // 60 and _key(body) or _menu(body))
 
 
 def text_features(text: str, common: dict[str, frozenset]) -> list[float]:

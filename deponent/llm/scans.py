@@ -34,7 +34,7 @@ MISREADINGS = (
 )
 _TRAINED = {m for m in MISREADINGS[:32]}
 
-_TOKEN = re.compile(r"(?<![\w@+!$|.])[A-Za-zÀ-ÿ0-9@+!$|]*[A-Za-zÀ-ÿ][A-Za-zÀ-ÿ0-9@+!$|]*(?![\w@])")
+_TOKEN = re.compile(r"(?<![\w@+!$|.])[A-Za-zÀ-ÿ0-9@+!$|]++(?![\w@])")
 _PLAIN = re.compile(r"[a-zà-ÿ]{2,}")
 _HYPHEN = "-‐‑‒­¬"
 _BREAK = re.compile(rf"[^\W\d_][{_HYPHEN}][ \t]*$")
@@ -62,12 +62,19 @@ def shape(line: str) -> str:
 
 def _neighbours(lines: list[str]) -> Iterator[tuple[int, str, str, str]]:
     """Each line that is not blank, with the nearest ones before and after it that are neither blank nor page numbers."""
-    real = [k for k, x in enumerate(lines) if x.strip()]
-    text = [k for k in real if not _PAGE.match(lines[k])]
-    for k in real:
-        before = next((lines[j] for j in reversed(text) if j < k), "")
-        after = next((lines[j] for j in text if j > k), "")
-        yield k, lines[k], before, after
+    before, after, last = [""] * len(lines), [""] * len(lines), ""
+    for k, x in enumerate(lines):
+        before[k] = last
+        if x.strip() and not _PAGE.match(x):
+            last = x
+    last = ""
+    for k in range(len(lines) - 1, -1, -1):
+        after[k] = last
+        if lines[k].strip() and not _PAGE.match(lines[k]):
+            last = lines[k]
+    for k, x in enumerate(lines):
+        if x.strip():
+            yield k, x, before[k], after[k]
 
 
 def _interrupts(before: str, after: str) -> bool:
@@ -380,6 +387,8 @@ class Repairer:
     @staticmethod
     def _word(text: str, m: re.Match) -> bool:
         token = m[0]
+        if len(token) > 40 or not any(c.isalpha() for c in token):
+            return False
         if token.isalpha():
             return text[m.end() : m.end() + 1] != "@" and not re.match(r"\.\w+@|[\w.+-]*@", text[m.end() : m.end() + 30])
         return not re.search(r"[^\W\d_]!$|^[+@]", token) and not re.match(r"[.\w-]*@|\.\w", text[m.end() : m.end() + 30]) and ("@" not in token or re.fullmatch(r"[A-Za-z]*@[a-z]*", token) is not None)

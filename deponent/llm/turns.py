@@ -56,7 +56,10 @@ def read_segment(text: str | None) -> tuple[str, str, bool]:
     """The label at the start, the words spoken, and whether there are any, of one segment; null counts as empty."""
     if not text:
         return "", "", False
-    end, nodes = _segment(text, 0)
+    try:
+        _, nodes = _segment(text, 0)
+    except RecursionError:  # brackets nested beyond any annotation are taken as marks
+        _, nodes = _segment(re.sub(r"[\[\](){}<>*]", " ", text), 0)
     label, words = "", []
     for name, part, _ in nodes:
         if name == "label":
