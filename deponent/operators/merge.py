@@ -11,6 +11,7 @@ from deponent.operators.dedupe import transcript_unique
 from deponent.operators.ordering import number_in_order
 from deponent.operators.sequence import renumbered
 from deponent.operators.timestamps import is_estimated
+from deponent.session import checkpointed
 
 
 def readable_rows(rows: DataFrame) -> DataFrame:
@@ -26,6 +27,7 @@ def merged_transcript(rows: DataFrame) -> DataFrame:
     Rows of a case are ordered by time, unreadable times last, then by ``row_id``. Null cases form a case of their own.
     """
     clean = readable_rows(rows).withColumn("message", T.final_message(F.col("message"))).filter("message <> ''")
-    final = renumbered(transcript_unique(clean)).withColumn("_ts", D.row_time(F.col("msg_timestamp"))).withColumn("_day", F.to_date("_ts"))
-    numbered = number_in_order(final, ["case_id"], "_day", [F.col("_ts").asc_nulls_last(), "row_id"], "seq")
+    # The running numbers below read their rows several times; the cleaned rows are made once.
+    final = renumbered(checkpointed(transcript_unique(clean))).withColumn("_ts", D.row_time(F.col("msg_timestamp"))).withColumn("_day", F.to_date("_ts"))
+    numbered = number_in_order(checkpointed(final), ["case_id"], "_day", [F.col("_ts").asc_nulls_last(), "row_id"], "seq")
     return numbered.select("case_id", "seq", "row_id", "msg_timestamp", "estimated", "sender", "receiver", "message")
