@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from deponent.functions import dates as D
 from deponent.functions import text as T
-from deponent.operators import dedupe, files, identity, joins, merge, retrieval, sequence, timestamps
+from deponent.operators import dedupe, evidence, files, identity, joins, merge, retrieval, sequence, timestamps
 from deponent.session import lookup_join, table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -447,6 +447,90 @@ def report_discovery(spark: SparkSession, d: str) -> DataFrame:
     return files.best_report(table(spark, d, "file_inventory"))
 
 
+# ---------------------------------------------------------------------------------------------- evidence
+
+_AMOUNTS = r"list_transform(regexp_extract_all({0}, '((?:[$€£]|\b(?:USD|PHP|EUR|GBP)\s?)\d[\d,]*(?:\.\d{{2}})?)', 1), lambda x: regexp_replace(x, '[,\s]', '', 'g'))"
+
+
+@query(r"""SELECT * FROM (SELECT row_id, nullif(trim(regexp_extract(message, '(?im)^(?:from|sender):?[ \t]+([^<\n]+)', 1)), '') AS mail_from, lower(nullif(trim(regexp_extract(message, '(?im)^(?:from|sender):?[ \t]+[^<\n]*\n?<([^>\n]+)>', 1)), '')) AS mail_address,
+  nullif(trim(regexp_extract(message, '(?im)^subject:[ \t]*([^\n]+)$', 1)), '') AS subject FROM mass_extract WHERE message IS NOT NULL) WHERE mail_from IS NOT NULL OR subject IS NOT NULL""")
+def email_headers(spark: SparkSession, d: str) -> DataFrame:
+    return evidence.mail_headers(table(spark, d, "mass_extract"))
+
+
+@query(f"""WITH b AS (SELECT case_id, unnest({_AMOUNTS.format('message')}) AS amount FROM mass_extract WHERE source_kind = 'email' AND message IS NOT NULL AND case_id IS NOT NULL
+  INTERSECT SELECT case_id, unnest({_AMOUNTS.format('text')}) FROM documents WHERE case_id IS NOT NULL AND text IS NOT NULL) SELECT case_id, amount, count(*) OVER (PARTITION BY case_id) = 1 AS agreed FROM b""")
+def amount_consensus_intersect(spark: SparkSession, d: str) -> DataFrame:
+    return evidence.agreed_amounts(table(spark, d, "mass_extract"), table(spark, d, "documents"))
+
+
+@query(rf"""WITH p AS (SELECT case_id, participant_id, {_WORDS.format('full_name')}[1] AS w FROM case_participants WHERE full_name IS NOT NULL AND case_id IS NOT NULL),
+t AS (SELECT row_id, case_id, lower(message) AS m, unnest(list_distinct({_WORDS.format('message')})) AS w FROM mass_extract WHERE message IS NOT NULL AND case_id IS NOT NULL)
+SELECT row_id, participant_id, CASE WHEN regexp_matches(m, '\b(i''m|i am|this is|my name is) ' || p.w || '\b') THEN 'self' WHEN regexp_matches(m, '(^|[.!?,\n] ?)(hi|hello|dear|good day),? ' || p.w || '\b') OR regexp_matches(m, '(^|\n)' || p.w || ',? please') THEN 'address' ELSE 'mention' END AS cue
+FROM t JOIN p ON p.case_id = t.case_id AND p.w = t.w WHERE length(p.w) >= 3""")
+def identity_cues(spark: SparkSession, d: str) -> DataFrame:
+    return evidence.identity_cues(table(spark, d, "mass_extract"), table(spark, d, "case_participants"))
+
+
+@query(f"""WITH s AS (SELECT conv_key, trim(sender) AS name, count(*) AS n FROM mass_extract WHERE source_kind = 'chat' AND conv_key IS NOT NULL AND NOT {_UNRESOLVED.format('sender')} GROUP BY 1, 2),
+k AS (SELECT *, row_number() OVER (PARTITION BY conv_key ORDER BY n DESC, name) AS k FROM s),
+p AS (SELECT a.conv_key, a.name AS l, b.name AS r, a.n + b.n + CASE WHEN lower(a.name) = lower(trim(c.left_name)) THEN 50 ELSE 0 END + CASE WHEN lower(b.name) = lower(trim(c.right_name)) THEN 50 ELSE 0 END AS score
+  FROM k a JOIN k b ON a.conv_key = b.conv_key AND a.name <> b.name LEFT JOIN conversation_state c ON c.conv_key = a.conv_key WHERE a.k <= 16 AND b.k <= 16)
+SELECT conv_key, l AS "left", r AS "right", score, place FROM (SELECT *, row_number() OVER (PARTITION BY conv_key ORDER BY score DESC, l, r) AS place FROM p) WHERE place <= 10""")
+def hypothesis_ranking(spark: SparkSession, d: str) -> DataFrame:
+    return evidence.side_hypotheses(table(spark, d, "mass_extract"), table(spark, d, "conversation_state"))
+
+
+@query(f"""WITH s AS (SELECT conv_key, trim(receiver) AS name, count(*) AS n FROM mass_extract WHERE source_kind = 'chat' AND conv_key IS NOT NULL AND NOT {_UNRESOLVED.format('receiver')} GROUP BY 1, 2),
+k AS (SELECT *, row_number() OVER w AS k, coalesce(lead(n) OVER w, 0) AS second FROM s WINDOW w AS (PARTITION BY conv_key ORDER BY n DESC, name)) SELECT conv_key, name, n FROM k WHERE k = 1 AND n >= 4 AND n >= second + 2""")
+def counterpart_margin(spark: SparkSession, d: str) -> DataFrame:
+    return evidence.clear_counterparts(table(spark, d, "mass_extract"))
+
+
+@query(r"""SELECT doc_id, trim(regexp_extract(text, '(?m)^Statement of ([^\n]+)$', 1)) AS name, nullif(regexp_extract(text, '(?m)^Date: [^\n]*(20\d{2})[^\n]*$', 1), '') AS year FROM documents WHERE regexp_matches(text, '(?m)^Statement of ([^\n]+)$')""")
+def statement_makers(spark: SparkSession, d: str) -> DataFrame:
+    return evidence.statement_makers(table(spark, d, "documents"))
+
+
+@query("""SELECT r.recording_id, arg_max(m.row_id, (m.loaded_at, m.row_id)) AS row_id FROM recordings r LEFT JOIN mass_extract m ON m.case_id = r.case_id AND m.source_kind = 'chat' AND m.loaded_at <= r.recorded_at WHERE r.case_id IS NOT NULL AND r.recorded_at IS NOT NULL GROUP BY 1""")
+def last_chat_before_recording(spark: SparkSession, d: str) -> DataFrame:
+    return evidence.last_chat_before(table(spark, d, "recordings"), table(spark, d, "mass_extract"))
+
+
+@query("""SELECT m.row_id FROM mass_extract m WHERE m.source_image IS NOT NULL AND NOT EXISTS (SELECT 1 FROM file_inventory f WHERE f.rel_path = m.source_image)""")
+def rows_without_file(spark: SparkSession, d: str) -> DataFrame:
+    """Rows whose screenshot is not in the inventory."""
+    known = table(spark, d, "file_inventory").select(F.col("rel_path").alias("source_image"))
+    return table(spark, d, "mass_extract").filter("source_image is not null").select("row_id", "source_image").join(known, "source_image", "left_anti").select("row_id")
+
+
+@query("""SELECT conv_key, row_id, k FROM (SELECT conv_key, row_id, row_number() OVER (PARTITION BY conv_key ORDER BY length(message) DESC, row_id) AS k FROM mass_extract WHERE message IS NOT NULL) WHERE k <= 3""")
+def longest_messages_topk(spark: SparkSession, d: str) -> DataFrame:
+    k = F.row_number().over(Window.partitionBy("conv_key").orderBy(F.length("message").desc(), "row_id"))
+    return table(spark, d, "mass_extract").filter("message is not null").select("conv_key", "row_id", k.cast("long").alias("k")).filter("k <= 3")
+
+
+@query("""SELECT coalesce(case_id, '*') AS case_id, coalesce(source_kind, '*') AS source_kind, count(*) AS n FROM mass_extract WHERE case_id IS NOT NULL AND source_kind IS NOT NULL GROUP BY ROLLUP (case_id, source_kind)""")
+def rows_rolled_up(spark: SparkSession, d: str) -> DataFrame:
+    r = table(spark, d, "mass_extract").filter("case_id is not null and source_kind is not null").rollup("case_id", "source_kind").agg(F.count("*").alias("n"))
+    return r.select(F.coalesce("case_id", F.lit("*")).alias("case_id"), F.coalesce("source_kind", F.lit("*")).alias("source_kind"), "n")
+
+
+@query("""SELECT conv_key, last_visible_date, any_value(n) AS rows FROM (SELECT s.conv_key, s.last_visible_date, (SELECT count(*) FROM mass_extract m WHERE m.conv_key = s.conv_key) AS n FROM conversation_state s) GROUP BY 1, 2""")
+def conversation_sizes(spark: SparkSession, d: str) -> DataFrame:
+    n = table(spark, d, "mass_extract").groupBy("conv_key").agg(F.count("*").alias("rows"))
+    return table(spark, d, "conversation_state").select("conv_key", "last_visible_date").join(n, "conv_key", "left").select("conv_key", "last_visible_date", F.coalesce("rows", F.lit(0)).alias("rows"))
+
+
+@query(r"""WITH v AS (SELECT conv_key, source_row, row_id, message, row_number() OVER (PARTITION BY conv_key ORDER BY source_row, row_id) AS pos FROM mass_extract WHERE source_kind = 'chat' AND message IS NOT NULL AND conv_key IS NOT NULL)
+SELECT row_id, CASE WHEN regexp_matches(message, '[.!?…]\s*$') THEN 'finished' WHEN regexp_matches(message, '[,;:]\s*$') THEN 'open' ELSE 'bare' END AS ending, CASE WHEN regexp_matches(trim(message), '^[a-z]') THEN 'lower' ELSE 'other' END AS start FROM v""")
+def message_endings(spark: SparkSession, d: str) -> DataFrame:
+    """How messages end and begin, which decides whether a row can continue the one before."""
+    m = table(spark, d, "mass_extract").filter("source_kind = 'chat' and message is not null and conv_key is not null")
+    ending = F.when(F.col("message").rlike(r"[.!?…]\s*$"), "finished").when(F.col("message").rlike(r"[,;:]\s*$"), "open").otherwise("bare")
+    return m.select("row_id", ending.alias("ending"), F.when(F.trim("message").rlike("^[a-z]"), "lower").otherwise("other").alias("start"))
+
+
 # ---------------------------------------------------------------------------------------------- general joins and aggregates
 
 @query("""SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_price, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= DATE '1998-09-02' GROUP BY 1, 2""")
