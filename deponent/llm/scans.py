@@ -60,20 +60,26 @@ def shape(line: str) -> str:
     return re.sub(r"\s+", " ", re.sub(r"\d+", "9", line.strip().lower()))
 
 
+def _is_page(line: str) -> bool:
+    return len(line) <= 40 and _PAGE.match(line) is not None
+
+
 def _neighbours(lines: list[str]) -> Iterator[tuple[int, str, str, str]]:
     """Each line that is not blank, with the nearest ones before and after it that are neither blank nor page numbers."""
+    filled = [bool(x) and not x.isspace() for x in lines]
+    text = [f and not _is_page(x) for x, f in zip(lines, filled)]
     before, after, last = [""] * len(lines), [""] * len(lines), ""
     for k, x in enumerate(lines):
         before[k] = last
-        if x.strip() and not _PAGE.match(x):
+        if text[k]:
             last = x
     last = ""
     for k in range(len(lines) - 1, -1, -1):
         after[k] = last
-        if lines[k].strip() and not _PAGE.match(lines[k]):
+        if text[k]:
             last = lines[k]
     for k, x in enumerate(lines):
-        if x.strip():
+        if filled[k]:
             yield k, x, before[k], after[k]
 
 
@@ -129,7 +135,7 @@ class PageModel:
         first = next((j for j in range(len(lines)) if lines[j].strip()), 0)
         out = [
             "bias", f"seen{min(8, _bucket(n))}", f"break{int(4 * breaks / n) if n >= 3 else 'x'}", f"upper{int(4 * upper)}", f"words{min(9, len(words))}", f"wrapped{wrapped}",
-            f"interrupts{_interrupts(before, after)}", f"page{any(x.strip() and _PAGE.match(x) is not None for x in near)}", f"first{k == first}", f"last{k == last}",
+            f"interrupts{_interrupts(before, after)}", f"page{any(x.strip() and _is_page(x) for x in near)}", f"first{k == first}", f"last{k == last}",
             f"ended{_ENDED.search(body) is not None}", f"comma{body.endswith(',')}", f"field{_FIELD.match(body) is not None}", f"bullet{_BULLET.match(body) is not None}", f"closing{_CLOSING.match(body) is not None}",
             f"pageword{_PAGE_WORDS.search(body) is not None}", f"bars{'|' in body or ' / ' in body or '   ' in body}", f"digits{any(c.isdigit() for c in body)}", f"at{'@' in body}", f"capital{body[:1].isupper()}", f"tail{words[-1].lower() in _OPEN if words else False}",
             f"lower{sum(w.islower() and w not in _OPEN for w in words) * 4 // max(1, len(words))}",
@@ -159,7 +165,7 @@ class PageModel:
                 continue
             wrapped = self.wrapped(lines)
             for k, line, before, after in _neighbours(lines):
-                if _PAGE.match(line):
+                if _is_page(line):
                     sure, breaks = _SURE_PAGE.match(line.strip()) is not None, _interrupts(before, after)
                     if sure or not wrapped or breaks:
                         pages.append((self.page_features(k, line, before, after, lines, wrapped), wrapped and (sure or breaks)))
@@ -183,10 +189,12 @@ class PageModel:
         if len(lines) < 2 or not self.wrapped(lines):
             return kinds
         for k, line, before, after in _neighbours(lines):
-            if _PAGE.match(line):
+            if _is_page(line):
                 if self.page.score(self.page_features(k, line, before, after, lines, True)) > 0:
                     kinds[k] = "page_number"
-            elif len(line) <= 80 and not line.strip()[:1].islower() and self.header.score(self.features(k, line, before, after, lines, True)) > 0:
+                continue
+            body = line.strip()  # titles are short, begin with a capital or a sign, and are no sentences
+            if len(body) <= 80 and not body[0].islower() and body[-1] not in ".,!?;:…" and body.count(" ") <= 11 and self.header.score(self.features(k, line, before, after, lines, True)) > 0:
                 kinds[k] = "header"
         return kinds
 
@@ -299,7 +307,7 @@ def _collected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if not PageModel.wrapped(lines):
                     continue
                 for _, line, before, after in _neighbours(lines):
-                    if len(line) <= 80 and not _PAGE.match(line):
+                    if len(line) <= 80 and not _is_page(line):
                         key = shape(line)
                         lines_seen[key] += 1
                         breaks[key] += _interrupts(before, after)
@@ -347,7 +355,7 @@ class Repairer:
     """Both models; made once for each task."""
 
     def __init__(self, pages: PageModel, editor: Editor):
-        self.pages, self.editor = pages, editor
+        self.pages, self.editor, self.fine = pages, editor, set()
 
     def broken(self, message: str, kinds: list[str]) -> list[tuple[int, int]]:
         """Lines whose last word is broken, with the line on which it goes on."""
@@ -380,10 +388,20 @@ class Repairer:
         text = joined_lines(message, kinds)[0] if "\n" in message else message
         if "header" in out:
             text += "\n" + "\n".join(x for x, k in zip(message.split("\n"), kinds) if k == "header")
-        if any(self.editor.misread(m[0]) for m in _TOKEN.finditer(text) if self._word(text, m)):
+        odd = {w for w in set(_TOKEN.findall(text)) - self.fine if self._meant(w)}
+        if odd and any(m[0] in odd and self._word(text, m) for m in _TOKEN.finditer(text)):
             out.append("misread")
         return out
 
+    def _meant(self, token: str) -> str | None:
+        """What a token was misread from, or None; tokens found to be fine are kept so that each is judged once."""
+        got = self.editor.misread(token) if len(token) <= 40 else None
+        if got is None:
+            if len(self.fine) > 500_000:
+                self.fine.clear()
+            self.fine.add(token)
+        return got
+
     @staticmethod
     def _word(text: str, m: re.Match) -> bool:
         token = m[0]
@@ -425,7 +443,7 @@ class Repairer:
 
     def _mended(self, text: str, m: re.Match) -> str:
         token = m[0]
-        if not self._word(text, m) or (to := self.editor.misread(token)) is None:
+        if token in self.fine or (to := self._meant(token)) is None or not self._word(text, m):
             return token
         return to.upper() if token.isupper() and len(token) > 1 else to.capitalize() if token[0].isupper() else to
 
