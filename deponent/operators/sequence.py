@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deponent.functions import dates as D
 from deponent.operators.ordering import number_in_order
-from deponent.operators.scan import carry_forward
+from deponent.operators.scan import carry_forward, lagged, running_max
 
 
 def speaker_label(c: Column) -> Column:
@@ -25,17 +25,16 @@ def islands(df: DataFrame, key: list[str], block: str, order: list[str], value:
     return carry_forward(starts, key, block, order, {name: F.col("_start")}).drop("_start")
 
 
-def rising_seconds(df: DataFrame, key: list[str], order: list[str], time: str, name: str) -> DataFrame:
+def rising_seconds(df: DataFrame, key: list[str], block: str, order: list[str], time: str, name: str) -> DataFrame:
     """Adds ``name``: whole minutes of ``time`` moved on by a second at least from row to row, in order; null times stay null.
 
-    The recurrence out(n) = max(minute(n), out(n-1) + 1) is a running maximum of minute(n) - n.
+    The recurrence out(n) = max(minute(n), out(n-1) + 1) is a running maximum of minute(n) - n, taken over blocks of a key.
     """
-    w = Window.partitionBy(*key, F.col(time).isNotNull()).orderBy(*order)
-    n = F.row_number().over(w)
-    minute = F.unix_timestamp(F.date_trunc("minute", time))
-    step = df.withColumn("_n", n).withColumn("_m", minute - F.col("_n"))
-    run = F.max("_m").over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.col("_n")
-    return step.withColumn(name, F.when(F.col(time).isNotNull(), F.timestamp_seconds(run))).drop("_n", "_m")
+    timed = number_in_order(df.filter(F.col(time).isNotNull()), key, block, order, "_n")
+    step = timed.withColumn("_m", F.unix_timestamp(F.date_trunc("minute", time)) - F.col("_n"))
+    run = running_max(step, key, block, order, "_m", "_run")
+    done = run.select(*df.columns, F.timestamp_seconds(F.col("_run") + F.col("_n")).alias(name))
+    return done.unionByName(df.filter(F.col(time).isNull()).withColumn(name, F.lit(None).cast("timestamp")))
 
 
 def renumbered(rows: DataFrame, block_rows: int = 4096) -> DataFrame:
@@ -56,7 +55,13 @@ def renumbered(rows: DataFrame, block_rows: int = 4096) -> DataFrame:
 
 
 def sessions(df: DataFrame, key: str, time: str, gap_seconds: int, order: list[str]) -> DataFrame:
-    """Adds ``session``: from 1, a new one after a pause of more than ``gap_seconds``."""
-    w = Window.partitionBy(key).orderBy(time, *order)
-    new = F.when(F.unix_timestamp(F.col(time).cast("timestamp")) - F.unix_timestamp(F.lag(time).over(w).cast("timestamp")) <= gap_seconds, 0).otherwise(1)
-    return df.withColumn("_new", new).withColumn("session", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    """Adds ``session_start``: the time and order columns of the first row after a pause of more than ``gap_seconds``.
+
+    Rows are compared with the one before over blocks of a day, so a key that holds most rows is spread over tasks.
+    """
+    dated = df.withColumns({"_t": F.col(time).cast("timestamp"), "_day": F.to_date(time)}).filter(F.col("_t").isNotNull())
+    at = ["_t", *order]
+    near = lagged(dated, [key], "_day", at, {"_before": "_t"})
+    new = F.col("_before").isNull() | (F.unix_timestamp("_t") - F.unix_timestamp("_before") > gap_seconds)
+    starts = near.withColumn("_start", F.when(new, F.struct(*at)))
+    return carry_forward(starts, [key], "_day", at, {"session_start": F.col("_start")}).select(*df.columns, "session_start")

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from deponent.functions import dates as D
 from deponent.functions import text as T
 from deponent.operators import dedupe, evidence, files, identity, joins, merge, retrieval, sequence, timestamps
+from deponent.operators.ordering import number_in_order
+from deponent.operators.scan import carry_forward, lagged
 from deponent.session import lookup_join, table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -219,20 +221,23 @@ def mode_audio_date(spark: SparkSession, d: str) -> DataFrame:
 def date_carry_forward(spark: SparkSession, d: str) -> DataFrame:
     """Each chat row's day: that of the last row with a readable time, else the one remembered for the conversation."""
     m = table(spark, d, "mass_extract").filter("source_kind = 'chat' and conv_key is not null").select("row_id", "conv_key", "source_row", D.row_time(F.col("msg_timestamp")).alias("ts"))
-    from deponent.operators.scan import carry_forward
-
-    run = carry_forward(m.withColumn("_block", F.floor(F.coalesce("source_row", F.lit(0)) / 4096)), ["conv_key"], "_block", ["source_row", "row_id"], {"day": F.date_format("ts", "dd/MM/yyyy")})
+    run = carry_forward(m.withColumn("_block", _row_block()), ["conv_key"], "_block", ["source_row", "row_id"], {"day": F.date_format("ts", "dd/MM/yyyy")})
     return lookup_join(run, table(spark, d, "conversation_state").select("conv_key", "last_visible_date"), "conv_key").select("row_id", F.coalesce("day", "last_visible_date").alias("day"))
 
 
 # ---------------------------------------------------------------------------------------------- order
 
+def _row_block():
+    """The block of a conversation or recording that a row belongs to."""
+    return F.floor(F.coalesce("source_row", F.lit(0)) / 4096)
+
+
 @query(rf"""WITH t AS (SELECT row_id, conv_key, source_row, {_ROW_TIME.format('msg_timestamp')} AS ts FROM mass_extract WHERE source_kind = 'chat'),
 n AS (SELECT *, epoch(date_trunc('minute', ts))::BIGINT AS m, row_number() OVER (PARTITION BY conv_key, ts IS NOT NULL ORDER BY source_row, row_id) AS n FROM t)
 SELECT row_id, CASE WHEN ts IS NOT NULL THEN max(m - n) OVER (PARTITION BY conv_key, ts IS NOT NULL ORDER BY source_row, row_id ROWS UNBOUNDED PRECEDING) + n END AS seconds FROM n""")
 def monotone_seconds(spark: SparkSession, d: str) -> DataFrame:
     m = table(spark, d, "mass_extract").filter("source_kind = 'chat'").select("row_id", "conv_key", "source_row", D.row_time(F.col("msg_timestamp")).alias("ts"))
-    return sequence.rising_seconds(m, ["conv_key"], ["source_row", "row_id"], "ts", "out").select("row_id", F.unix_timestamp("out").alias("seconds"))
+    return sequence.rising_seconds(m.withColumn("_block", _row_block()), ["conv_key"], "_block", ["source_row", "row_id"], "ts", "out").select("row_id", F.unix_timestamp("out").alias("seconds"))
 
 
 _ONCE = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY recording_id, segment_no ORDER BY segment_id) AS k FROM audio_utils) WHERE k = 1"
@@ -276,7 +281,8 @@ def audio_offset_rebase(spark: SparkSession, d: str) -> DataFrame:
 def timing_complete_check(spark: SparkSession, d: str) -> DataFrame:
     """Whether all segments of a recording have times that never run back."""
     s = _segments_once(spark, d)
-    before = F.coalesce(F.lag("start_s").over(Window.partitionBy("recording_id").orderBy("segment_no")), F.lit(-1.0))
+    s = lagged(s.withColumn("_block", F.floor(F.col("segment_no") / 4096)), ["recording_id"], "_block", ["segment_no"], {"before_s": "start_s"})
+    before = F.coalesce("before_s", F.lit(-1.0))
     ok = F.coalesce(F.col("start_s").isNotNull() & F.col("end_s").isNotNull() & (F.col("start_s") >= 0) & (F.col("end_s") >= F.col("start_s")) & (F.col("start_s") >= before), F.lit(False))
     return s.withColumn("ok", ok).groupBy("recording_id").agg(F.bool_and("ok").alias("complete"), F.count("*").alias("segments"))
 
@@ -286,7 +292,9 @@ s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS U
 SELECT user_id, session, count(*) AS events, min(event_id) AS first_event, round(sum(value), 2) AS total FROM s GROUP BY 1, 2""")
 def session_recordings(spark: SparkSession, d: str) -> DataFrame:
     s = sequence.sessions(table(spark, d, "events"), "user_id", "ts", 1800, ["event_id"])
-    return s.groupBy("user_id", F.col("session").cast("long").alias("session")).agg(F.count("*").alias("events"), F.min("event_id").alias("first_event"), F.round(F.sum("value"), 2).alias("total"))
+    totals = s.groupBy("user_id", "session_start").agg(F.count("*").alias("events"), F.min("event_id").alias("first_event"), F.round(F.sum("value"), 2).alias("total"))
+    numbered = number_in_order(totals.withColumn("day", F.to_date("session_start._t")), ["user_id"], "day", ["session_start"], "session")
+    return numbered.select("user_id", "session", "events", "first_event", "total")
 
 
 # ---------------------------------------------------------------------------------------------- duplicates
@@ -317,8 +325,9 @@ SELECT row_id FROM n WHERE k <> '' AND length(k) < 40 AND ((who = sender AND len
 def short_contained_duplicate(spark: SparkSession, d: str) -> DataFrame:
     """Short messages that the same sender's message just before or after contains."""
     m = table(spark, d, "mass_extract").filter("source_kind = 'chat' and message is not null and conv_key is not null").select("row_id", "conv_key", "source_row", "sender", T.dedupe_key(F.col("message")).alias("k"))
-    w = Window.partitionBy("conv_key").orderBy("source_row", "row_id")
-    n = m.withColumns({"before": F.lag("k").over(w), "who": F.lag("sender").over(w), "after": F.lead("k").over(w), "next": F.lead("sender").over(w)})
+    ahead = lagged(m.withColumn("_block", _row_block()), ["conv_key"], "_block", ["source_row", "row_id"], {"before": "k", "who": "sender"})
+    turned = ahead.withColumns({"_block": -F.col("_block"), "_row": -F.col("source_row"), "_id": -F.col("row_id")})
+    n = lagged(turned, ["conv_key"], "_block", ["_row", "_id"], {"after": "k", "next": "sender"})
     inside = lambda other, who: (F.col(who) == F.col("sender")) & (F.length(other) > F.length("k")) & F.contains(F.col(other), F.col("k"))
     return n.filter((F.col("k") != "") & (F.length("k") < 40) & (F.coalesce(inside("before", "who"), F.lit(False)) | F.coalesce(inside("after", "next"), F.lit(False)))).select("row_id")
 
@@ -343,7 +352,7 @@ p AS (SELECT row_id, w AS a, lag(w) OVER (PARTITION BY conv_key ORDER BY source_
 SELECT row_id, CASE WHEN least(len(a), len(b)) > 0 THEN round(list_sum(list_transform(list_distinct(a), lambda x: least(len(list_filter(a, lambda y: y = x)), len(list_filter(b, lambda y: y = x)))))::DOUBLE / least(len(a), len(b)), 4) ELSE 0.0 END AS ratio FROM p WHERE b IS NOT NULL""")
 def token_overlap_adjacent(spark: SparkSession, d: str) -> DataFrame:
     m = table(spark, d, "mass_extract").filter("source_kind = 'chat' and message is not null and conv_key is not null").select("row_id", "conv_key", "source_row", T.words(F.col("message")).alias("a"))
-    p = m.withColumn("b", F.lag("a").over(Window.partitionBy("conv_key").orderBy("source_row", "row_id"))).filter("b is not null")
+    p = lagged(m.withColumn("_block", _row_block()), ["conv_key"], "_block", ["source_row", "row_id"], {"b": "a"}).filter("b is not null")
     return p.select("row_id", F.round(T.overlap_ratio(F.col("a"), F.col("b")), 4).alias("ratio"))
 
 

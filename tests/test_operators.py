@@ -33,7 +33,7 @@ def test_carry_and_numbers_over_blocks(spark):
 def test_rising_seconds_is_the_recurrence(spark):
     rows = [("c", n, f"01/01/2025 10:{m:02d}:33" if m is not None else "no time") for n, m in enumerate([1, 1, None, 1, 0, 2, 2, 2])]
     df = spark.createDataFrame(rows, "c string, n int, t string").withColumn("ts", D.row_time(F.col("t")))
-    got = [r.s for r in sequence.rising_seconds(df, ["c"], ["n"], "ts", "out").orderBy("n").select(F.date_format("out", "mm:ss").alias("s")).collect()]
+    got = [r.s for r in sequence.rising_seconds(df.withColumn("b", F.floor(F.col("n") / 3)), ["c"], "b", ["n"], "ts", "out").orderBy("n").select(F.date_format("out", "mm:ss").alias("s")).collect()]
     assert got == ["01:00", "01:01", None, "01:02", "01:03", "02:00", "02:01", "02:02"]
 
 
@@ -48,6 +48,14 @@ def test_renumbering_closes_gaps_and_stops_at_unreadable_anchors(spark):
         assert got == {1: "10:00:00", 2: "10:00:01", 3: "10:00:02", 4: "soon", 5: "11:00:00", 6: "11:00:00", 7: "11:00:00"}
 
 
+def test_sessions_over_days(spark):
+    base = 86_000  # seconds into the first day, so that sessions cross midnight
+    times = [0, 100, 1900, 1950, 4000, 4001]
+    df = spark.createDataFrame([("u", n, base + t) for n, t in enumerate(times)] + [("u", 99, None)], "k string, id int, s long").withColumn("ts", F.timestamp_seconds("s"))
+    got = sequence.sessions(df, "k", "ts", 1800, ["id"]).groupBy("session_start").count().collect()
+    assert sorted(r["count"] for r in got) == [2, 4]
+
+
 def test_speaker_labels(spark):
     raw = ["SPEAKER_00", "speaker_09", "S1", "[S02]", "Speaker 3", "spkr-4", "SPK 5", "S06:", "", "Anna"]
     got = [r.l for r in spark.createDataFrame([(x,) for x in raw], "s string").select(sequence.speaker_label(F.col("s")).alias("l")).collect()]
