@@ -16,17 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deponent.llm.names import LEXICON_LIMIT, ORGANISATION_WORDS, TITLES, fold
-
-# Short forms of given names.
-SHORT_NAMES = {
-    "alexander": "alex lex sasha xander", "elizabeth": "liz liza beth betty betsy eliza", "william": "bill will billy", "frederick": "fred freddie", "katherine": "kate kathy kat", "benjamin": "ben benjie benny", "theodore": "ted theo teddy",
-    "christopher": "chris topher kit", "samuel": "sam sammy", "daniel": "dan danny", "daniela": "dani", "martin": "marty", "martina": "tina tinay marti", "patricia": "pat trish patty", "margarita": "margie marga rita", "francisco": "paco kiko pancho frank",
-    "guillermo": "memo guiller", "ignacio": "nacho iggy", "concepcion": "connie concha", "dolores": "lola dolly", "josefina": "josie pina", "roberto": "berto bobby bert", "ricardo": "ricky carding", "eduardo": "ed eddie edong", "antonio": "tony tonyo",
-    "ramon": "mon monching", "ramona": "monette mona", "leonardo": "leo nardo", "emmanuel": "manny noel", "victoria": "vicky tori", "veronica": "vera ronnie", "isabella": "isa bella", "gabriela": "gabby ella", "angelica": "angie jelai",
-    "rosalinda": "rosa linda", "teresita": "tess tessie tinay", "susannah": "sue suzie", "philippa": "pippa", "nathaniel": "nate nathan", "jonathan": "jon jonny", "maximilian": "max", "madeleine": "maddie lena", "beatriz": "bea betsy", "cristina": "cris tina",
-    "hannelore": "hanne lore", "siegfried": "siggi", "adrian": "ade", "adriana": "yana", "julian": "jules", "juliana": "juliet",
-}
+from deponent.llm.names import LEXICON_LIMIT, ORGANISATION_WORDS, SHORT_NAMES, TITLES, fold
+
 # Abbreviations in names of organisations, and words that say nothing of which one it is.
 ORGANISATION_SHORT = {"corp": "corporation", "intl": "international", "int'l": "international", "dept": "department", "mgmt": "management", "svcs": "services", "svc": "services", "assoc": "associates", "assocs": "associates", "inv": "investment", "co": "company", "mgt": "management", "dep": "department"}
 _LEGAL = frozenset("inc incorporated ltd limited llc plc gmbh the official verified page company".split())

@@ -15,6 +15,15 @@ ORGANISATION_WORDS = frozenset(
     "inc incorporated corp corporation co company ltd limited llc llp plc gmbh ag sa bv group holdings services service associates department dept desk unit international intl management mgmt "
     "bank lending credit savings trading investment investments payout parcel courier claims recovery consumer complaints office agency institute foundation university ministry bureau trust partners".split()
 )
+# Short forms of given names.
+SHORT_NAMES = {
+    "alexander": "alex lex sasha xander", "elizabeth": "liz liza beth betty betsy eliza", "william": "bill will billy", "frederick": "fred freddie", "katherine": "kate kathy kat", "benjamin": "ben benjie benny", "theodore": "ted theo teddy",
+    "christopher": "chris topher kit", "samuel": "sam sammy", "daniel": "dan danny", "daniela": "dani", "martin": "marty", "martina": "tina tinay marti", "patricia": "pat trish patty", "margarita": "margie marga rita", "francisco": "paco kiko pancho frank",
+    "guillermo": "memo guiller", "ignacio": "nacho iggy", "concepcion": "connie concha", "dolores": "lola dolly", "josefina": "josie pina", "roberto": "berto bobby bert", "ricardo": "ricky carding", "eduardo": "ed eddie edong", "antonio": "tony tonyo",
+    "ramon": "mon monching", "ramona": "monette mona", "leonardo": "leo nardo", "emmanuel": "manny noel", "victoria": "vicky tori", "veronica": "vera ronnie", "isabella": "isa bella", "gabriela": "gabby ella", "angelica": "angie jelai",
+    "rosalinda": "rosa linda", "teresita": "tess tessie tinay", "susannah": "sue suzie", "philippa": "pippa", "nathaniel": "nate nathan", "jonathan": "jon jonny", "maximilian": "max", "madeleine": "maddie lena", "beatriz": "bea betsy", "cristina": "cris tina",
+    "hannelore": "hanne lore", "siegfried": "siggi", "adrian": "ade", "adriana": "yana", "julian": "jules", "juliana": "juliet",
+}
 #: Distinct name tokens that are sent to the tasks, at most; more are refused (such a lexicon grows far slower than the rows).
 LEXICON_LIMIT = 2_000_000
 
@@ -65,5 +74,6 @@ def lexicon(participants: DataFrame) -> tuple[frozenset, frozenset, frozenset]:
     given = {r["token"] for r in rows if r["given"] and r["given"] >= r["family"]} - skip
     family = {r["token"] for r in rows if r["family"] > r["given"]} - skip
     least = 1 if len(rows) < 400 else 2  # a spelling seen only once in many cases may be a slip
-    short = {r["token"] for r in rows if r["alias"] >= least and len(r["token"]) > 2 and r["token"].isalpha()} - given - family - skip
+    short = {r["token"] for r in rows if r["alias"] >= least and len(r["token"]) > 2 and r["token"].isalpha()} | {w for ws in SHORT_NAMES.values() for w in ws.split()}
+    short = short - given - family - skip
     return frozenset(given), frozenset(family), frozenset(short)
