@@ -281,7 +281,7 @@ class Editor:
     def misread(self, token: str) -> str | None:
         """The word meant by a token that was misread, or None."""
         low = token.lower()
-        if len(low) < 3 or low in self.counts and self.counts[low] >= 400 and low.isalpha():
+        if len(low) < 3:  # how often a word occurs counts only against the words it may stand for
             return None
         digits = sum(c.isdigit() for c in low)
         letters = sum(c.isalpha() for c in low)

@@ -32,6 +32,17 @@ def test_models(spark):
     assert sum(r.editor.misread(w) is not None for w in words) <= 0.01 * len(words)
 
 
+def test_recurring_misreadings_at_any_size(spark):
+    counts = trained(spark).editor.counts
+    meant = {"officcr": "officer", "accoiint": "account", "parccl": "parcel", "nurnber": "number"}
+    recurring = {bad: counts[w] // 100 or 1 for bad, w in meant.items()}
+    for times in (1, 10, 100, 1000):
+        editor = S.Editor({w: n * times for w, n in (counts | recurring).items()}).train()
+        assert {bad: editor.misread(bad) for bad in meant} == meant, times
+        common = [w for w, n in counts.items() if n >= 30]
+        assert sum(editor.misread(w) is not None for w in common) <= 0.01 * len(common)
+
+
 def test_joins_over_furniture():
     kinds = ["text", "page_number", "blank", "header", "text"]
     assert S.joined_lines("the voice recor-\n- 9 -\n\nPrint\nding ended", kinds) == ("the voice recording\nended", 1)
