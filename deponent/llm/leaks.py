@@ -3,13 +3,12 @@
 Every text becomes words and every run of K words a hash; of each W neighbouring hashes the smallest is kept. Any K + W - 1
 words shared unchanged then share a kept hash. Twenty words of which at most one in eight is changed always hold six
 neighbouring unchanged ones, so with K = 5 and W = 2 no case is missed. Kept hashes of corpus and passages are joined, and
-hits are extended over the whole document by aligning its words with the passage's.
+from every run of K words that a document and a passage so joined share the alignment is carried on to both sides.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
@@ -128,27 +127,57 @@ def fingerprints(df: DataFrame, key: str, text: str, only: np.ndarray | None = N
     return df.select(F.col(key).cast("long"), text).mapInArrow(run, f"{key} long, words string, hits array<struct<hash:long,pos:int>>")
 
 
-def repeats(document: list[str], passage: list[str], span: int = SPAN, per_change: int = PER_CHANGE) -> bool:
-    """Whether some ``span`` or more consecutive words of the passage stand in the document with at most one change to ``per_change`` words."""
-    blocks = SequenceMatcher(None, passage, document, autojunk=False).get_matching_blocks()
-    cost: list[float] = []  # changes charged to each word of the passage
-    p = d = 0
-    for a, b, n in blocks:
-        missing, extra = a - p, b - d
-        if missing:
-            cost += [max(missing, extra) / missing if p else 1.0] * missing
-        elif extra and cost and n:
-            cost[-1] += extra
-        cost += [0.0] * n
-        p, d = a + n, b + n
-    # f(k) = k - per_change * changes before k; a span from i to j is good if f(j) >= f(i) and j - i >= span.
-    f, best, run = [0.0], float("inf"), 0.0
-    for k, c in enumerate(cost, 1):
-        run += c
-        f.append(k - per_change * run)
-        if k >= span:
-            best = min(best, f[k - span])
-            if f[k] >= best - 1e-9:
+def _reach(a: list, i: int, b: list, j: int, step: int, most: int) -> list[int]:
+    """How many words of ``a``, from place i on in direction ``step``, stand in ``b`` from place j on, with 0 to ``most`` changes."""
+    rest_a, rest_b = (len(a) - i, len(b) - j) if step > 0 else (i + 1, j + 1)
+    front, out = {0: 0}, []  # furthest word of ``a`` by how many more words of ``b`` are passed
+    for e in range(most + 1):
+        if e:
+            ahead: dict[int, int] = {}
+            for k, x in front.items():
+                if x < rest_a:
+                    ahead[k - 1] = max(ahead.get(k - 1, 0), x + 1)
+                    if x + k < rest_b:
+                        ahead[k] = max(ahead.get(k, 0), x + 1)
+                if x + k < rest_b:
+                    ahead[k + 1] = max(ahead.get(k + 1, 0), x)
+            front = ahead
+        for k, x in front.items():
+            while x < rest_a and x + k < rest_b and a[i + step * x] == b[j + step * (x + k)]:
+                x += 1
+            front[k] = x
+        out.append(max([*front.values(), *out[-1:]]))
+    return out
+
+
+def _run_length(span: int, per_change: int) -> int:
+    """Neighbouring unchanged words that any span from ``span`` to twice as many words holds, but at most K."""
+    return min(K, *(-(-(n - n // per_change) // (n // per_change + 1)) for n in range(span, 2 * span)))
+
+
+def _runs(words: list, n: int) -> dict[tuple, list[int]]:
+    """Places of each run of ``n`` words."""
+    found: dict[tuple, list[int]] = {}
+    for at, run in enumerate(zip(*(words[k:] for k in range(n)))):
+        found.setdefault(run, []).append(at)
+    return found
+
+
+def repeats(document: list[str], passage: list[str], span: int = SPAN, per_change: int = PER_CHANGE, runs: dict[tuple, list[int]] | None = None) -> bool:
+    """Whether some ``span`` or more consecutive words of the passage stand in the document with at most one change to ``per_change`` words.
+
+    A span of twice ``span`` words or more has a half that is good by itself, so changes are few; each good span holds a run of
+    unchanged words. From every run that both texts share the alignment is carried on to both sides, whatever stands elsewhere.
+    """
+    n, most = _run_length(span, per_change), (2 * span - 1) // per_change
+    runs = _runs(document, n) if runs is None else runs
+    for p, run in enumerate(zip(*(passage[k:] for k in range(n)))):
+        for d in runs.get(run, ()):
+            if p and d and passage[p - 1] == document[d - 1]:
+                continue  # part of a longer run
+            after = _reach(passage, p, document, d, 1, most)
+            before = _reach(passage, p - 1, document, d - 1, -1, most)
+            if any(before[x] + after[y] >= max(span, per_change * (x + y)) for x in range(most + 1) for y in range(most + 1 - x)):
                 return True
     return False
 
@@ -158,27 +187,8 @@ def _verified(words: pd.Series, passages: pd.Series) -> pd.Series:
     out = []
     for text, candidates in zip(words, passages):
         doc = text.split(" ")
-        codes: dict[str, int] = {}
-        ids = np.fromiter((codes.setdefault(w, len(codes)) for w in doc), np.int64, len(doc))
-        found = []
-        for c in candidates:
-            passage = c["words"].split(" ")
-            of = np.zeros(len(codes) + 1, bool)
-            of[[codes.get(w, len(codes)) for w in passage]] = True
-            of[len(codes)] = False
-            marks = np.append(0, np.cumsum(of[ids]))
-            wide = min(len(doc), SPAN + SPAN // PER_CHANGE + 2)
-            need = SPAN - SPAN // PER_CHANGE
-            dense = np.flatnonzero(marks[wide:] - marks[:-wide] >= need)
-            if not len(dense):
-                continue
-            # Each stretch of dense windows is aligned with the passage by itself.
-            for part in np.split(dense, np.flatnonzero(np.diff(dense) > wide) + 1):
-                lo, hi = max(0, part[0] - 3), min(len(doc), part[-1] + wide + 3)
-                if repeats(doc[lo:hi], passage):
-                    found.append(c["key"])
-                    break
-        out.append(found)
+        runs = _runs(doc, _run_length(SPAN, PER_CHANGE))
+        out.append([c["key"] for c in candidates if repeats(doc, c["words"].split(" "), runs=runs)])
     return pd.Series(out)
 
 

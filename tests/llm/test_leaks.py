@@ -34,6 +34,38 @@ def test_every_span_with_few_changes_shares_a_kept_hash():
         assert set(a) & set(b)
 
 
+def fewest_changes(document, passage):
+    """Whether a span is repeated, by the edit distances of all spans of the passage to all places of the document."""
+    for i in range(len(passage)):
+        row = [0] * (len(document) + 1)
+        for n, w in enumerate(passage[i:], 1):
+            last, row = row, [n]
+            for j, v in enumerate(document, 1):
+                row.append(min(last[j - 1] + (v != w), last[j] + 1, row[j - 1] + 1))
+            if n >= L.SPAN and min(row) * L.PER_CHANGE <= n:
+                return True
+    return False
+
+
+def test_pieces_in_another_order():
+    a, t = [f"a{n}" for n in range(1, 21)], [f"t{n}" for n in range(1, 9)]
+    near = ["x" if w in ("a7", "a14") else w for w in a]
+    assert L.repeats(t + near, a + t) and L.repeats(near[5:] + ["and"] + near, a + t)
+    assert not L.repeats(t + ["x" if w in ("a6", "a11", "a16") else w for w in a], a + t)
+    assert L._verified([" ".join(t + near)], [[{"key": 1, "words": " ".join(a + t)}]]).tolist() == [[1]]
+
+
+def test_repeats_against_all_alignments():
+    rng, seen = random.Random(8), []
+    for _ in range(60):
+        passage = [rng.choice(WORDS[:60]) for _ in range(rng.randrange(18, 42))]
+        cut = rng.randrange(6, len(passage) - 6)
+        doc = ["b"] * 2 + changed(passage[cut:], rng.randrange(1, 4), rng) + changed(passage[:cut], rng.randrange(1, 4), rng) + ["c"]
+        seen.append(fewest_changes(doc, passage))
+        assert L.repeats(doc, passage) == seen[-1]
+    assert 10 < sum(seen) < 50
+
+
 def test_found_leaks_and_their_items(spark):
     rng = random.Random(2)
     p = [[rng.choice(WORDS) for _ in range(60)] for _ in range(3)]
