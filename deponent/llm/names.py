@@ -66,7 +66,7 @@ def name_tokens(participants: DataFrame) -> DataFrame:
 
 
 def lexicon(participants: DataFrame) -> tuple[frozenset, frozenset, frozenset]:
-    """Given names, family names, and further short forms seen as aliases, in lower case."""
+    """Given names, family names, and further names in lower case that need an introduction: short forms, and given names that no party has."""
     rows = name_tokens(participants).limit(LEXICON_LIMIT + 1).collect()
     if len(rows) > LEXICON_LIMIT:
         raise ValueError(f"more than {LEXICON_LIMIT} distinct name tokens")
@@ -74,6 +74,6 @@ def lexicon(participants: DataFrame) -> tuple[frozenset, frozenset, frozenset]:
     given = {r["token"] for r in rows if r["given"] and r["given"] >= r["family"]} - skip
     family = {r["token"] for r in rows if r["family"] > r["given"]} - skip
     least = 1 if len(rows) < 400 else 2  # a spelling seen only once in many cases may be a slip
-    short = {r["token"] for r in rows if r["alias"] >= least and len(r["token"]) > 2 and r["token"].isalpha()} | {w for ws in SHORT_NAMES.values() for w in ws.split()}
+    short = {r["token"] for r in rows if r["alias"] >= least and len(r["token"]) > 2 and r["token"].isalpha()} | {w for name, ws in SHORT_NAMES.items() for w in (name, *ws.split())}
     short = short - given - family - skip
     return frozenset(given), frozenset(family), frozenset(short)

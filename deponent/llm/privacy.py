@@ -2,7 +2,8 @@
 
 One automaton (Aho-Corasick) finds anchors: at-signs and their disguises, cues of identity numbers, street words,
 number words and name tokens; texts with enough digits are also read for numbers. From each anchor a local parser expands to the boundaries of an address, number or name and
-checks it. Names come from the parties of all cases and from the words that introduce a name.
+checks it. Names come from the parties of all cases and from the words that introduce a name: after them one to three words
+with a capital that are neither common words nor an organisation are a name, whether or not anyone knows it.
 """
 
 from __future__ import annotations
@@ -34,6 +35,19 @@ NAME_CUES = (
     "look for", "ask for", "receiver is", "tell", "contact person", "addressed to", "the identity of", "the number of", "i'm", "i am", "this is", "my name is", "for the record,", "full name:", "name:", "dear", "hello", "hi",
     "good day", "from:", "to:", "from", "sender", "the agent called", "did", "regards,", "sincerely,", "thank you,", "thanks,", "best,", "attn:", "remembers that", "mr.", "ms.", "mrs.", "atty.", "sir", "care of", "c/o",
 )
+# Cues after which one unknown word may be a name, those that need two, and those whose line must hold nothing else.
+OPENING_CUES = frozenset(("dear", "hello", "hi", "good day", "my name is", "addressed to", "full name:", "name:", "contact person", "look for", "ask for", "receiver is", "attn:", "care of", "c/o", "mr.", "ms.", "mrs.", "atty."))
+NARROW_CUES = frozenset(("this is", "i am", "i'm", "did", "tell", "the identity of", "the number of", "the agent called", "remembers that", "for the record,"))
+CLOSING_CUES = frozenset(("regards,", "sincerely,", "thank you,", "thanks,", "best,"))
+# Words with a capital that are no names.
+COMMON_WORDS = frozenset(
+    "i it this that these those here there yes no not ok okay please thanks thank kindly good great sorry sure just my your our their his her its who what where why how which all everyone everybody team friend friends customer customers client "
+    "clients user users member members subscriber valued esteemed colleague colleagues guys folks love darling honey babe po opo ate kuya tita tito ma'am maam mam boss day morning afternoon evening night again also only any some one two first second "
+    "last new next monday tuesday wednesday thursday friday saturday sunday january february march april may june july august september october november december viber messenger whatsapp facebook gmail telegram skype "
+    "page pg seite pahina página confidential printout print transcript annex file case report statement draft copy exhibit appendix volume vol circulation subject date sent cc re fwd attached urgent important dispute account accounts "
+    "payment refund transfer order number code street road avenue city filipino english spanish german american british usd php eur gbp".split()
+)
+_NAME_SHAPE = re.compile(r"[^\W\d_a-z][^\W\d_]+(?:['’-][^\W\d_]+)*")
 
 _STREET = re.compile(
     r"(?:(?:Unit|Flat|Apt\.?|Apartment|Suite|Room|Rm\.?|UNIT|FLAT)\s+(?:[A-Z]{0,2}-?\d{1,4}[A-Z]?|[A-Z])\s*,\s*(?:[A-Z][\w'’-]+\s+){0,3}?(?:(?:Tower|Towers|Building|Bldg\.?|House|Mansions?|Residences?|Condominium)\s*,\s*)?)?"
@@ -211,6 +225,7 @@ class Finder:
                 continue
             starts.add(lo)
         cued: set[int] = set()
+        opened: dict[int, str] = {}
         for lo, hi in hits.get("cue", ()):
             if lo and low[lo - 1].isalnum():
                 continue
@@ -218,6 +233,8 @@ class Finder:
             if hi < len(low) and low[hi].isalnum():
                 continue
             cued.add(gap.end())
+            if low[lo:hi] in OPENING_CUES or low[lo:hi] in NARROW_CUES or low[lo:hi] in CLOSING_CUES:
+                opened[gap.end()] = text[lo:hi]
         if not starts and not cued:
             return
         words = [(m.start(), m.end(), m[0]) for m in _WORD.finditer(text)]
@@ -226,7 +243,14 @@ class Finder:
             lo, hi, w = words[k]
             kind = self._kind(w) if (lo in starts or w[0].isupper() or lo in cued) else ""
             if not kind or w.lower() in TITLES:
-                k += 1
+                if lo in opened and w.lower() in TITLES and k + 1 < len(words) and re.fullmatch(r"\.? ", text[hi : words[k + 1][0]]):
+                    opened.setdefault(words[k + 1][0], opened[lo])  # the cue leads on over a title
+                if lo in opened and not kind and (n := self._stranger(text, words, k, opened[lo])):
+                    end = words[k + n - 1][1]
+                    take("name", lo, end - (2 if text[lo:end].endswith(("'s", "’s")) else 0))
+                    k += n
+                else:
+                    k += 1
                 continue
             group, kinds = [k], [kind]
             j = k + 1
@@ -261,12 +285,53 @@ class Finder:
             if good and real:
                 if kinds == ["family"] and k and self._leads(text, words, k):
                     group.insert(0, k - 1)  # an unknown given name or short form before a known family name
+                elif lo in opened and "family" not in kinds and len(group) < 3:  # an unknown family name after an introduced given name
+                    last = group[-1]
+                    glue = text[words[last][1] : words[last + 1][0]] if last + 1 < len(words) else ""
+                    if glue == " " or glue == ". " and kinds[-1] == "initial":
+                        group += range(last + 1, last + 1 + min(3 - len(group), self._capitals(text, words, last + 1, opened[lo].isupper())))
                 end = words[group[-1]][1]
                 take("name", words[group[0]][0], end - (2 if text[words[group[0]][0] : end].endswith(("'s", "’s")) else 0))
                 k = group[-1] + 1
             else:
                 k += 1
 
+    def _stranger(self, text: str, words: list, k: int, cue: str) -> int:
+        """How many words from the k-th on are the name of somebody unknown whom the cue before them introduces."""
+        n = self._capitals(text, words, k, cue.isupper())
+        plain = sum(len(words[j][2]) > 1 for j in range(k, k + n))
+        if plain < (2 if cue.lower() in NARROW_CUES else 1):
+            return 0
+        if cue.lower() in CLOSING_CUES:
+            first, end = words[k][0], words[k + n - 1][1]
+            before = text[text.rfind("\n", 0, first) + 1 : first].strip().lower()
+            if text[end : (text.find("\n", end) + 1 or len(text) + 1) - 1].strip(" .,-–—~") or before and before != cue.lower():
+                return 0
+        return n
+
+    def _capitals(self, text: str, words: list, k: int, loud: bool) -> int:
+        """Words from the k-th on, three and initials among them at most, that may be a name by their form; 0 if they go on to an organisation."""
+        n = plain = 0
+        open_ = True
+        for j in range(k, min(k + 6, len(words))):
+            w = words[j][2]
+            bare = w[:-2] if w.endswith(("'s", "’s")) else w
+            glue = " " if j == k else text[words[j - 1][1] : words[j][0]]
+            if not w[0].isupper() or not (glue in (" ", "\n") or glue == ". " and len(words[j - 1][2]) == 1):
+                break
+            if bare.lower() in ORGANISATION_WORDS:
+                return 0
+            if not open_ or plain == 3:
+                continue
+            initial = len(bare) == 1 and bare != "I" and j > k
+            if bare.lower() in COMMON_WORDS or bare.lower() in _NO_NAME or not initial and (not _NAME_SHAPE.fullmatch(bare) or bare.isupper() and not loud):
+                open_ = False
+                continue
+            if not initial:
+                n, plain = j - k + 1, plain + 1
+            open_ = bare == w and not (plain > 1 and self._kind(w) == "family")
+        return n
+
     @staticmethod
     def _leads(text: str, words: list, k: int) -> bool:
         lo, hi, w = words[k - 1]

@@ -35,6 +35,33 @@ def test_finds(text, want):
     assert [(k, text[a:b]) for k, a, b in FINDER.find(text)] == want
 
 
+STRANGERS = [
+    ("Dear Ramona Montefalko, please call", ["Ramona Montefalko"]),
+    ("my name is Roberto A. Dumayagan and I paid", ["Roberto A. Dumayagan"]),
+    ("It was addressed to Mr Hinterman.", ["Hinterman"]),
+    ("the contact person Martina Hinterman was away", ["Martina Hinterman"]),
+    ("This is Angelica Hinterman from Silverpine", ["Angelica Hinterman"]),
+    ("I paid.\nSincerely,\nEduarda Zubirando", ["Eduarda Zubirando"]),
+    ("DEAR RAMONA MONTEFALKO", ["RAMONA MONTEFALKO"]),
+    ("Dear Daniel Please call", ["Daniel"]),
+    ("Dear Customer, addressed to Meridian Consumer Complaints Unit, hi PHP 500", []),
+    ("Dear Sir or Madam, this is Important. I am Sorry.\nRegards,\nPage 3", []),
+    ("money from Lower Penhurst; dear me", []),
+]
+
+
+@pytest.mark.parametrize(("text", "want"), STRANGERS)
+def test_introduced_strangers(text, want):
+    assert [text[a:b] for k, a, b in FINDER.find(text) if k == "name"] == want
+
+
+def test_given_names_without_a_party(spark):
+    people = spark.createDataFrame([("c", "Daniel Kalverson", "witness", None)], "case_id string, full_name string, case_role string, aliases array<string>")
+    rows = spark.createDataFrame([(1, "please tell Eduardo I came"), (2, "did Guillermo Farnbrook really call?")], "row_id long, message string")
+    got = {r.row_id: r.message for r in P.redacted(rows, people).collect()}
+    assert got == {1: "please tell [NAME] I came", 2: "did [NAME] really call?"}
+
+
 def test_positions_over_broken_lines():
     text = "I met Daniel Kalver-\nson at home 😀 and Martina"
     found = FINDER.find(text)
