@@ -1,4 +1,4 @@
-"""Joins of texts by what they share, blocked on rare runs of words instead of comparing all pairs."""
+"""Joins of texts by what they share, blocked on rare words or on runs of words instead of comparing all pairs."""
 
 from __future__ import annotations
 
@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from deponent.functions import text as T
+from deponent.session import checkpointed, lookup_join
 
-#: Words of a run on which texts are blocked, and the length from which one text inside another is evidence.
-RUN, DONOR_WORDS = 3, 20
+#: The length in words from which one text inside another is evidence.
+DONOR_WORDS = 20
 
 
 def _runs(df: DataFrame, key: str, within: str, text: str, n: int) -> DataFrame:
@@ -16,15 +17,48 @@ def _runs(df: DataFrame, key: str, within: str, text: str, n: int) -> DataFrame:
     return w.select(key, within, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, F.lit(n)), " "))))).alias("s"))
 
 
+def _bags(df: DataFrame, key: str, within: str, text: str) -> DataFrame:
+    """Distinct bags of words of each group: ``w`` (each word with how often it came before) and the smallest ``key``."""
+    w = F.array_sort(T.words(F.col(text)))
+    numbered = F.transform("w", lambda x, i: F.concat(x, F.lit(" "), (i + 1 - F.array_position("w", x)).cast("string")))
+    bags = df.select(F.col(key).alias("k"), within, w.alias("w")).filter(F.col(within).isNotNull() & (F.size("w") > 0))
+    return bags.groupBy(within, "w").agg(F.min("k").alias("k")).select("k", within, numbered.alias("w"))
+
+
 def best_overlap(left: DataFrame, left_key: str, right: DataFrame, right_key: str, within: str, text: str, least: float) -> DataFrame:
     """For each left text the right one of the same group that shares most of the shorter one's words, from ``least`` on.
 
-    Pairs must share a run of RUN words. Ties go to the smaller right key. Columns: both keys and ``ratio``. Null texts match nothing.
+    Exact by prefixes: of the shorter text's n words at least n * ``least`` must be shared, so one of its rarest
+    n - n * ``least`` + 1 words is, whatever the order. Equal bags of words are compared once. Ties go to the smaller right
+    key. Columns: both keys and ``ratio``. Texts without words match nothing.
     """
-    pairs = _runs(left, left_key, within, text, RUN).join(_runs(right, right_key, within, text, RUN), [within, "s"]).select(left_key, right_key).distinct()
-    full = pairs.join(left.select(left_key, T.words(F.col(text)).alias("a")), left_key).join(right.select(right_key, T.words(F.col(text)).alias("b")), right_key)
-    scored = full.select(left_key, right_key, F.round(T.overlap_ratio(F.col("a"), F.col("b")), 4).alias("ratio")).filter(F.col("ratio") >= least)
-    return scored.groupBy(left_key).agg(F.max_by(F.struct(right_key, "ratio"), F.struct(F.col("ratio"), -F.col(right_key))).alias("b")).select(left_key, f"b.{right_key}", "b.ratio")
+    a, b = checkpointed(_bags(left, left_key, within, text)), checkpointed(_bags(right, right_key, within, text))
+    hashed = F.explode(F.transform("w", lambda x: F.xxhash64(x))).alias("t")  # equal hashes of two words only add candidates
+    seen = a.select(hashed).unionByName(b.select(hashed)).groupBy("t").agg(F.count("*").alias("n"))
+    # ``least`` holds for the ratio rounded to four places.
+    need = F.greatest(F.lit(1), F.ceil(F.size("w") * F.lit(least - 0.00005) - 1e-9)).cast("int")
+
+    def placed(bags: DataFrame) -> DataFrame:
+        """Each word of a bag by its place from the rarest on."""
+        words = lookup_join(bags.select("k", within, hashed), seen, "t")
+        ranked = words.groupBy("k", within).agg(F.array_sort(F.collect_list(F.struct("n", "t"))).alias("w"))
+        return ranked.select("k", within, F.size("w").alias("size"), need.alias("need"), F.posexplode("w.t").alias("i", "t"))
+
+    def candidates(short: DataFrame, long: DataFrame, names: tuple[str, str], fits: str) -> DataFrame:
+        s = short.filter("i <= size - need").select(within, "t", F.col("k").alias(names[0]), F.col("size").alias("s"), "need")
+        o = long.select(within, "t", F.col("k").alias(names[1]), F.col("size").alias("o"), "i")
+        return s.join(o, [within, "t"]).filter(fits).filter("o - i >= need").select("x", "y")
+
+    pa, pb = checkpointed(placed(a)), checkpointed(placed(b))
+    pairs = candidates(pa, pb, ("x", "y"), "s <= o").unionByName(candidates(pb, pa, ("y", "x"), "s < o")).distinct()
+    full = pairs.join(a.select(F.col("k").alias("x"), F.col("w").alias("wx")), "x").join(b.select(F.col("k").alias("y"), F.col("w").alias("wy")), "y")
+    ratio = F.round(F.size(F.array_intersect("wx", "wy")) / F.least(F.size("wx"), F.size("wy")), 4)
+    best = full.select("x", "y", ratio.alias("ratio")).filter(F.col("ratio") >= least).groupBy("x").agg(F.max_by(F.struct("y", "ratio"), F.struct(F.col("ratio"), -F.col("y"))).alias("b"))
+    sorted_words = F.array_sort(T.words(F.col(text)))
+    texts = left.select(left_key, within, sorted_words.alias("w")).filter(F.col(within).isNotNull() & (F.size("w") > 0))
+    same = texts.groupBy(within, "w").agg(F.min(left_key).alias("x"), F.collect_set(left_key).alias("all"))
+    every = same.join(best, "x").select(F.explode("all").alias(left_key), "b")
+    return every.groupBy(left_key).agg(F.max_by("b", F.struct(F.col("b.ratio"), -F.col("b.y"))).alias("b")).select(left_key, F.col("b.y").alias(right_key), "b.ratio")
 
 
 def filled_from_donors(rows: DataFrame) -> DataFrame:

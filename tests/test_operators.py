@@ -1,6 +1,7 @@
 """Operators along an order, duplicates, joins and guards against plain Python on small tables."""
 
 import random
+from collections import Counter
 
 import pytest
 from hypothesis import given, settings
@@ -128,6 +129,21 @@ def test_best_overlap(spark):
     assert [(x.l, x.r) for x in joins.best_overlap(left, "l", right, "r", "c", "t", 0.58).collect()] == [(1, 8)]
 
 
+def test_best_overlap_against_all_pairs(spark):
+    rng, vocabulary = random.Random(4), [f"w{n}" for n in range(24)]
+    some = lambda first: [(first + n, rng.choice(["c", "d", None]), rng.choice([None, "", "!"]) if n % 20 == 0 else " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(1, 12)))) for n in range(120)]
+    left, right = some(0), some(1000)
+    left += [(x[0] + 500, *x[1:]) for x in left[:20]]
+    want = {}
+    for k, c, t in left:
+        a = Counter((t or "").replace("!", "").split())
+        rows = [(round((a & b).total() / min(a.total(), b.total()), 4), -r) for r, d, u in right if c and c == d and (b := Counter((u or "").replace("!", "").split())) and a]
+        if rows and max(rows)[0] >= 0.58:
+            want[k] = (-max(rows)[1], max(rows)[0])
+    got = joins.best_overlap(spark.createDataFrame(left, "l long, c string, t string"), "l", spark.createDataFrame(right, "r long, c string, t string"), "r", "c", "t", 0.58)
+    assert {x.l: (x.r, x.ratio) for x in got.collect()} == want and len(want) > 50
+
+
 @pytest.mark.parametrize(
     ("before", "after", "allowed", "reason"),
     [
