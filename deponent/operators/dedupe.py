@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deponent.functions import text as T
+from deponent.operators.joins import sharing_pairs
+from deponent.session import checkpointed
 
 #: Two adjacent messages are the same from this ratio on, or if one of at least so many words is part of the other.
 NEAR_RATIO, NEAR_WORDS = 0.88, 4
@@ -75,22 +77,51 @@ def adjacent_near_duplicates(rows: DataFrame, key: list[str], block: str, order:
     return rows.withColumn("_norm", T.spoken_key(F.col(message))).groupBy(*key, block).applyInPandas(fold, schema)
 
 
-def covered_recordings(segments: DataFrame, shingle: int = 5) -> DataFrame:
+def _matched(rows: pd.Series, pairs: pd.Series) -> pd.Series:
+    """Whether each of so many rows, in order, finds its best partner among those not taken; ``pairs`` holds (x, ratio, share, y)."""
+    out = []
+    for n, found in zip(rows, pairs):
+        taken: set = set()
+        of: dict = {}
+        for p in found:
+            of.setdefault(p["x"], []).append((-p["ratio"], -p["share"], p["y"]))
+        for x in sorted(of):
+            best = min((p for p in of[x] if p[2] not in taken), default=None)
+            if best is None:
+                break
+            taken.add(best[2])
+        out.append(len(taken) == n)
+    return pd.Series(out, dtype="bool")
+
+
+def covered_recordings(segments: DataFrame) -> DataFrame:
     """Pairs of recordings of which the first one's rows are all said by the second: ``recording_id``, ``covered_by``, ``rows``.
 
-    Candidate rows share a run of ``shingle`` words that is not common to more than all recordings of a case; each is then
-    compared in full. A row needs ROW_TOKENS distinct words; of mutual covers the later recording is the covered one.
+    All rows with a message count, and each needs a row of its own in the other recording, taken in order, best first. A row
+    of fewer than ROW_TOKENS distinct words has no match, so its recording is not covered. Where ``recorded_at`` (if there is
+    such a column) has the same day, ROW_RATIO and ROW_SHARE hold, else the stricter values. Of mutual covers the later
+    recording is the covered one. Candidates are all rows that share enough words, by prefixes.
     """
-    said = segments.filter("recording_id is not null").withColumn("norm", T.spoken_key(F.col("message"))).withColumn("w", T.words(F.col("norm"))).filter(F.size(F.array_distinct("w")) >= ROW_TOKENS)
-    rows = said.select("recording_id", "case_id", "segment_id", "norm", "w")
-    runs = rows.withColumn("s", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - shingle + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, F.lit(shingle)), " "))))).select("recording_id", "case_id", "segment_id", "s").distinct()
-    a, b = runs.alias("a"), runs.alias("b")
-    pairs = a.join(b, (F.col("a.s") == F.col("b.s")) & (F.col("a.case_id") == F.col("b.case_id")) & (F.col("a.recording_id") != F.col("b.recording_id"))).select(F.col("a.segment_id").alias("x"), F.col("b.segment_id").alias("y")).distinct()
-    left = rows.select(F.col("segment_id").alias("x"), F.col("recording_id").alias("rx"), F.col("norm").alias("nx"), F.array_distinct("w").alias("wx"))
-    right = rows.select(F.col("segment_id").alias("y"), F.col("recording_id").alias("ry"), F.col("norm").alias("ny"), F.array_distinct("w").alias("wy"))
-    full = pairs.join(left, "x").join(right, "y")
+    when = F.col("recorded_at") if "recorded_at" in segments.columns else F.lit(None).cast("timestamp")
+    said = segments.filter("recording_id is not null and trim(message) <> ''").select("recording_id", "case_id", "segment_id", when.alias("at"), T.spoken_key(F.col("message")).alias("norm"))
+    said = checkpointed(said.withColumn("w", F.array_distinct(F.filter(F.split("norm", " "), lambda x: x != ""))))
+    total = said.groupBy("recording_id").agg(F.count("*").alias("rows"), F.min(F.size("w")).alias("least"), F.min("at").alias("at"))
+    rows = said.filter(F.col("case_id").isNotNull() & (F.size("w") >= ROW_TOKENS))
+    whole = rows.join(total.filter(F.col("least") >= ROW_TOKENS).select("recording_id"), "recording_id", "left_semi")
+    bags = lambda df: df.select(F.col("segment_id").alias("k"), "case_id", "w")
+    side = lambda df, c: df.select(F.col("segment_id").alias(c), F.col("recording_id").alias(f"r{c}"), F.to_date("at").alias(f"d{c}"), F.col("norm").alias(f"n{c}"), F.col("w").alias(f"w{c}"))
+    full = sharing_pairs(bags(whole), bags(rows), "case_id", ROW_SHARE).join(side(whole, "x"), "x").join(side(rows, "y"), "y").filter("rx <> ry")
+    same = F.coalesce(F.col("dx") == F.col("dy"), F.lit(False))
     share = F.size(F.array_intersect("wx", "wy")) / F.least(F.size("wx"), F.size("wy"))
-    near = full.filter(share >= CROSS_SHARE).filter(T.sequence_ratio(F.col("nx"), F.col("ny")) >= CROSS_RATIO)
-    hit = near.groupBy("rx", "ry").agg(F.countDistinct("x").alias("covered"))
-    total = rows.groupBy("recording_id").agg(F.count("*").alias("rows"))
-    return hit.join(total, hit.rx == total.recording_id).filter("covered = rows").select(F.col("rx").alias("recording_id"), F.col("ry").alias("covered_by"), "rows")
+    least = F.when(same, ROW_RATIO).otherwise(CROSS_RATIO)
+    near = full.withColumn("share", share).filter(F.col("share") >= F.when(same, ROW_SHARE).otherwise(CROSS_SHARE))
+    near = near.filter(2 * F.least(F.length("nx"), F.length("ny")) >= (F.length("nx") + F.length("ny")) * least - 1e-9)  # the ratio is at most this
+    near = near.withColumn("ratio", T.sequence_ratio(F.col("nx"), F.col("ny"))).filter(F.col("ratio") >= least)
+    hit = near.groupBy("rx", "ry").agg(F.countDistinct("x").alias("covered"), F.collect_set(F.struct("x", "ratio", "share", "y")).alias("pairs"))
+    every = hit.join(total.select(F.col("recording_id").alias("rx"), "rows", F.col("at").alias("ax")), "rx").filter("covered = rows")
+    covers = every.filter(F.pandas_udf(_matched, "boolean")("rows", "pairs")).join(total.select(F.col("recording_id").alias("ry"), F.col("at").alias("ay")), "ry").select("rx", "ry", "rows", "ax", "ay")
+    covers = checkpointed(covers)
+    turned = covers.select(F.col("ry").alias("rx"), F.col("rx").alias("ry"), F.lit(True).alias("mutual"))
+    far = F.lit("9999-12-31").cast("timestamp")
+    earlier = F.struct(F.coalesce("ax", far), F.col("rx")) < F.struct(F.coalesce("ay", far), F.col("ry"))
+    return covers.join(turned, ["rx", "ry"], "left").filter(F.col("mutual").isNull() | ~earlier).select(F.col("rx").alias("recording_id"), F.col("ry").alias("covered_by"), "rows")

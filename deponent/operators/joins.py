@@ -25,18 +25,11 @@ def _bags(df: DataFrame, key: str, within: str, text: str) -> DataFrame:
     return bags.groupBy(within, "w").agg(F.min("k").alias("k")).select("k", within, numbered.alias("w"))
 
 
-def best_overlap(left: DataFrame, left_key: str, right: DataFrame, right_key: str, within: str, text: str, least: float) -> DataFrame:
-    """For each left text the right one of the same group that shares most of the shorter one's words, from ``least`` on.
-
-    Exact by prefixes: of the shorter text's n words at least n * ``least`` must be shared, so one of its rarest
-    n - n * ``least`` + 1 words is, whatever the order. Equal bags of words are compared once. Ties go to the smaller right
-    key. Columns: both keys and ``ratio``. Texts without words match nothing.
-    """
-    a, b = checkpointed(_bags(left, left_key, within, text)), checkpointed(_bags(right, right_key, within, text))
+def sharing_pairs(a: DataFrame, b: DataFrame, within: str, least: float) -> DataFrame:
+    """Pairs ``x``, ``y`` of keys ``k`` of the same group that may share ``least`` of the shorter set of words ``w``; none that does is missed."""
     hashed = F.explode(F.transform("w", lambda x: F.xxhash64(x))).alias("t")  # equal hashes of two words only add candidates
     seen = a.select(hashed).unionByName(b.select(hashed)).groupBy("t").agg(F.count("*").alias("n"))
-    # ``least`` holds for the ratio rounded to four places.
-    need = F.greatest(F.lit(1), F.ceil(F.size("w") * F.lit(least - 0.00005) - 1e-9)).cast("int")
+    need = F.greatest(F.lit(1), F.ceil(F.size("w") * F.lit(least) - 1e-9)).cast("int")
 
     def placed(bags: DataFrame) -> DataFrame:
         """Each word of a bag by its place from the rarest on."""
@@ -50,7 +43,18 @@ def best_overlap(left: DataFrame, left_key: str, right: DataFrame, right_key: st
         return s.join(o, [within, "t"]).filter(fits).filter("o - i >= need").select("x", "y")
 
     pa, pb = checkpointed(placed(a)), checkpointed(placed(b))
-    pairs = candidates(pa, pb, ("x", "y"), "s <= o").unionByName(candidates(pb, pa, ("y", "x"), "s < o")).distinct()
+    return candidates(pa, pb, ("x", "y"), "s <= o").unionByName(candidates(pb, pa, ("y", "x"), "s < o")).distinct()
+
+
+def best_overlap(left: DataFrame, left_key: str, right: DataFrame, right_key: str, within: str, text: str, least: float) -> DataFrame:
+    """For each left text the right one of the same group that shares most of the shorter one's words, from ``least`` on.
+
+    Exact by prefixes: of the shorter text's n words at least n * ``least`` must be shared, so one of its rarest
+    n - n * ``least`` + 1 words is, whatever the order. Equal bags of words are compared once. Ties go to the smaller right
+    key. Columns: both keys and ``ratio``. Texts without words match nothing.
+    """
+    a, b = checkpointed(_bags(left, left_key, within, text)), checkpointed(_bags(right, right_key, within, text))
+    pairs = sharing_pairs(a, b, within, least - 0.00005)  # ``least`` holds for the ratio rounded to four places
     full = pairs.join(a.select(F.col("k").alias("x"), F.col("w").alias("wx")), "x").join(b.select(F.col("k").alias("y"), F.col("w").alias("wy")), "y")
     ratio = F.round(F.size(F.array_intersect("wx", "wy")) / F.least(F.size("wx"), F.size("wy")), 4)
     best = full.select("x", "y", ratio.alias("ratio")).filter(F.col("ratio") >= least).groupBy("x").agg(F.max_by(F.struct("y", "ratio"), F.struct(F.col("ratio"), -F.col("y"))).alias("b"))

@@ -341,7 +341,7 @@ def adjacent_near_duplicates(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def recording_coverage(spark: SparkSession, d: str) -> DataFrame:
-    a = lookup_join(_segments_once(spark, d), table(spark, d, "recordings").select("recording_id", "case_id"), "recording_id", "inner")
+    a = lookup_join(_segments_once(spark, d), table(spark, d, "recordings").select("recording_id", "case_id", "recorded_at"), "recording_id", "inner")
     return dedupe.covered_recordings(a)
 
 

@@ -2,6 +2,7 @@
 
 import random
 from collections import Counter
+from difflib import SequenceMatcher
 
 import pytest
 from hypothesis import given, settings
@@ -116,6 +117,39 @@ def test_covered_recordings(spark):
     assert [tuple(r) for r in dedupe.covered_recordings(df).collect()] == [("r2", "r1", 1)]
 
 
+def covers(x, y):
+    """The rule for two recordings, each of a day and its rows, row by row."""
+    limits, free = (0.88, 0.85) if x[0] and x[0] == y[0] else (0.96, 0.95), dict(enumerate(y[1]))
+    for a in x[1]:
+        found = []
+        for k, b in free.items():
+            p, q = set(a.split()), set(b.split())
+            ratio, share = SequenceMatcher(None, a, b).ratio(), len(p & q) / max(1, min(len(p), len(q)))
+            if min(len(p), len(q)) >= 8 and ratio >= limits[0] and share >= limits[1]:
+                found.append((-ratio, -share, k))
+        if not found:
+            return False
+        del free[min(found)[2]]
+    return bool(x[1])
+
+
+def test_covered_recordings_against_the_rule(spark):
+    rng, vocabulary = random.Random(6), [f"{a}{b}{c}" for a in "bdkt" for b in "aeiou" for c in ("rin", "sol", "mek")]
+    base = [" ".join(rng.sample(vocabulary, 12)) for _ in range(6)]
+    slip = lambda t, n: " ".join("other" if k in (3, 8)[:n] else w for k, w in enumerate(t.split()))
+    recordings = {"a": ("2025-03-01", base[:2]), "b": ("2025-03-01", [slip(base[0], 1), base[1]]), "c": ("2025-03-02", [base[0], slip(base[1], 1)]), "d": ("2025-03-02", [base[0], base[0]]), "e": ("2025-03-01", [base[0], base[1], "yes of course"]), "f": ("2025-03-04", base[:2]), "g": (None, base[2:5]), "h": (None, base[2:4])}
+    for n in range(12):
+        recordings[f"r{n:02}"] = (rng.choice(["2025-03-01", "2025-03-02", None]), [slip(rng.choice(base), rng.randrange(3)) for _ in range(rng.randrange(1, 4))])
+    rows = [(r, "c", 100 * k + n, t, day and f"{day} 10:00:00") for k, (r, (day, texts)) in enumerate(recordings.items()) for n, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "recording_id string, case_id string, segment_id long, message string, at string").withColumn("recorded_at", F.to_timestamp("at"))
+    said = {(x, y) for x in recordings for y in recordings if x != y and covers(recordings[x], recordings[y])}
+    order = lambda r: (recordings[r][0] or "9", r)
+    want = {(x, y) for x, y in said if (y, x) not in said or order(x) > order(y)}
+    got = dedupe.covered_recordings(df).collect()
+    assert sorted((r.recording_id, r.covered_by) for r in got) == sorted(want) and len(want) < len(said)
+    assert ("f", "a") in want and ("b", "a") in want and not {("c", "a"), ("d", "a"), ("e", "a"), ("a", "d")} & want and ("h", "g") in want
+
+
 def test_donors_fill_only_when_single(spark):
     long = " ".join(f"word{n}" for n in range(22))
     rows = [(1, "c", "f", "Unknown", "Ben", long), (2, "c", "g", "Ann", "Ben", long + " more"), (3, "d", "f", "Unknown", "Ben", long), (4, "d", "g", "Ann", "Ben", long), (5, "d", "h", "Cid", "Ben", long), (6, "e", "f", "Unknown", "Zed", long), (7, "e", "g", "Ann", "Ben", long)]
