@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import posixpath
+import re
 import zipfile
 from collections.abc import Iterator
 
@@ -60,13 +62,23 @@ def audio_csv(spark: SparkSession, path: str, base_date: str | None, include_und
 
 
 def side_csv(spark: SparkSession, path: str) -> DataFrame:
-    """``pos``, ``time``, ``side``, ``message`` of side files; further fields belong to the message, other sides are left out."""
-    lines = spark.read.text(path).filter("not value rlike '^```'").select("value", F.monotonically_increasing_id().alias("pos"))
-    parts = F.from_csv("value", "a string, b string, c string, d string, e string, f string", {"quote": '"', "escape": '"', "mode": "PERMISSIVE"})
-    read = lines.withColumn("p", parts)
-    side = F.upper(F.trim("p.b"))
+    """``pos``, ``time``, ``side``, ``message`` of side files; further fields belong to the message, other sides are left out.
+
+    Quoted messages may hold several lines, so each file is read by one task.
+    """
+
+    def records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        csv.field_size_limit(2**31 - 1)
+        for pdf in batches:
+            for text in pdf["value"]:
+                bare = re.sub(r"(?m)^```.*\n?", "", text.removeprefix("\ufeff"))
+                rows = [(r[0], r[1], ",".join(r[2:])) for r in csv.reader(io.StringIO(bare, newline="")) if len(r) >= 3]
+                yield pd.DataFrame(rows, columns=["time", "side", "message"], dtype="object")
+
+    read = spark.read.text(path, wholetext=True).mapInPandas(records, "time string, side string, message string").withColumn("pos", F.monotonically_increasing_id())
+    side = F.upper(F.trim("side"))
     side = F.when(side.isin("LEFT", "INCOMING"), "LEFT").when(side.isin("RIGHT", "OUTGOING"), "RIGHT")
-    rows = read.select("pos", F.trim("p.a").alias("time"), side.alias("side"), F.trim(F.concat_ws(",", "p.c", "p.d", "p.e", "p.f")).alias("message"))
+    rows = read.select("pos", F.trim("time").alias("time"), side.alias("side"), F.trim("message").alias("message"))
     return rows.filter("lower(time) <> 'time' and time <> '' and side is not null and message <> ''")
 
 

@@ -32,6 +32,13 @@ def test_side_rows(spark, tmp_path):
     assert got == [("10:00", "LEFT", "a,b"), ("10:01", "LEFT", "c")]
 
 
+def test_side_messages_are_whole(spark, tmp_path):
+    long = ",".join(f"piece {n}" for n in range(11))
+    (tmp_path / "s.csv").write_text(f'Time,Side,Message\n10:00,LEFT,{long}\n10:01,RIGHT,a,,b,\n10:02,LEFT,"two, ""or""\nmore lines"\n10:03,RIGHT\n10:04,OUTGOING,end\n')
+    got = [(r.time, r.side, r.message) for r in readers.side_csv(spark, str(tmp_path / "s.csv")).orderBy("pos").collect()]
+    assert got == [("10:00", "LEFT", long), ("10:01", "RIGHT", "a,,b,"), ("10:02", "LEFT", 'two, "or"\nmore lines'), ("10:04", "RIGHT", "end")]
+
+
 def test_blocks_carry_their_screen(spark):
     lines = ["[SCREEN 1]", "[BLOCK 1] [POS=LEFT] [X=1] [Y=2] [W=3] [H=4] [CONF=0.91] hello", "noise", "[SCREEN 2]", "[BLOCK 1] [POS=right] [X=5] [Y=6] [W=7] [H=8] there"]
     df = spark.createDataFrame([("d", k, x) for k, x in enumerate(lines)], "doc string, pos int, line string")
