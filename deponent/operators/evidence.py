@@ -59,7 +59,8 @@ def side_hypotheses(rows: DataFrame, conversations: DataFrame, most: int = 10) -
     """Ordered pairs of a conversation's names as (left, right), ranked: ``conv_key``, ``place``, ``left``, ``right``, ``score``.
 
     A pair scores by the rows sent by each name and by the names remembered for the sides. Names are the conversation's
-    senders; the best 16 by rows take part, so pairs are bounded.
+    senders; the best 16 by rows take part, so pairs are bounded. Cues in messages and contradictions are not weighed, and a
+    remembered name with few rows may be cut (see the README).
     """
     sent = rows.filter("source_kind = 'chat' and conv_key is not null").filter(~T.is_unresolved(F.col("sender"))).groupBy("conv_key", F.trim("sender").alias("name")).agg(F.count("*").alias("n"))
     k = F.row_number().over(Window.partitionBy("conv_key").orderBy(F.desc("n"), "name"))
