@@ -65,6 +65,15 @@ def name_tokens(participants: DataFrame) -> DataFrame:
     return every.na.fill(0)
 
 
+def _shorter(w: str) -> set[str]:
+    return {w[:k] + w[k + 1 :] for k in range(len(w))}
+
+
+def _is_slip(w: str, known: set[str], near: set[str]) -> bool:
+    """Whether a spelling seen once is a letter more, less, changed or swapped away from a known name; ``near`` holds the known names less a letter."""
+    return w in near or not known.isdisjoint(less := _shorter(w)) or not near.isdisjoint(less)
+
+
 def lexicon(participants: DataFrame) -> tuple[frozenset, frozenset, frozenset]:
     """Given names, family names, and further names in lower case that need an introduction: short forms, and given names that no party has."""
     rows = name_tokens(participants).limit(LEXICON_LIMIT + 1).collect()
@@ -73,7 +82,9 @@ def lexicon(participants: DataFrame) -> tuple[frozenset, frozenset, frozenset]:
     skip = TITLES | ORGANISATION_WORDS | {"mobile", "work", "the", "and", "home", "new"}
     given = {r["token"] for r in rows if r["given"] and r["given"] >= r["family"]} - skip
     family = {r["token"] for r in rows if r["family"] > r["given"]} - skip
-    least = 1 if len(rows) < 400 else 2  # a spelling seen only once in many cases may be a slip
-    short = {r["token"] for r in rows if r["alias"] >= least and len(r["token"]) > 2 and r["token"].isalpha()} | {w for name, ws in SHORT_NAMES.items() for w in (name, *ws.split())}
+    aliases = {r["token"]: r["alias"] for r in rows if r["alias"] and len(r["token"]) > 2 and r["token"].isalpha()}
+    known = given | family | {w for w, n in aliases.items() if n > 1} | set(SHORT_NAMES)
+    near = {x for w in known for x in _shorter(w)}
+    short = {w for w, n in aliases.items() if n > 1 or not _is_slip(w, known, near)} | {w for name, ws in SHORT_NAMES.items() for w in (name, *ws.split())}
     short = short - given - family - skip
     return frozenset(given), frozenset(family), frozenset(short)

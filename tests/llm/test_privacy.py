@@ -1,6 +1,7 @@
 import pytest
 
 from deponent.llm import privacy as P
+from deponent.llm.names import lexicon
 
 FINDER = P.Finder(frozenset({"martina", "daniel", "daniela", "frederick"}), frozenset({"salvaleon", "ostranel", "kalverson"}), frozenset({"dani", "will", "mon"}))
 
@@ -62,6 +63,15 @@ def test_given_names_without_a_party(spark):
     assert got == {1: "please tell [NAME] I came", 2: "did [NAME] really call?"}
 
 
+@pytest.mark.parametrize("parties", [1, 450])
+def test_aliases_seen_once_at_any_size(spark, parties):
+    letters = "".join(chr(97 + k) for k in range(26))
+    names = [f"Q{letters[n // 26]}{letters[n % 26]}uvorre Z{letters[n // 26]}{letters[n % 26]}ammilo" for n in range(parties)]
+    rows = [("c", "Daniel Kalverson", "witness", ["Bongbong", "Kalverzon", "Danile"]), *[("c", n, "witness", None) for n in names]]
+    short = lexicon(spark.createDataFrame(rows, "case_id string, full_name string, case_role string, aliases array<string>"))[2]
+    assert "bongbong" in short and not {"kalverzon", "danile"} & short
+
+
 def test_positions_over_broken_lines():
     text = "I met Daniel Kalver-\nson at home 😀 and Martina"
     found = FINDER.find(text)
