@@ -1,9 +1,14 @@
 """Repair of text recognised from scanned pages (problem 1): broken words, misread characters, running titles, page numbers.
 
-Two averaged perceptrons are trained here. One judges lines: it tells running titles and page numbers from text by their
-place on the page, by whether they interrupt a sentence and by how they recur in other messages. The other is a character
-editor: at each character it may keep, replace, delete or insert, and at line ends join or keep the break; its training pairs
-are made by misreading known words, and by slips and short forms that must be left alone.
+Averaged perceptrons are trained here. One pair judges lines: it tells running titles and page numbers from text by their
+place on the page, by whether they interrupt a sentence, by their words, and by how they recur in other messages. The other is
+a character editor: a sequence model that gives each character of a word one operation (keep, replace, delete, each with or
+without an insertion after it), and the hyphen at a line end one of keep and join. Operation sequences are searched along the
+prefixes of the words that the corpus knows; which operations a character may have, and after which, is learned from the
+aligned training pairs: known words misread by the fixed confusions, slips of typists, short forms, and compounds.
+
+Nothing is cut off by size: line shapes are counted and joined back as rows, and the words sent to the tasks are those with
+at least KNOWN_SHARE of all words, which are at most 1 / KNOWN_SHARE in any corpus.
 """
 
 from __future__ import annotations
@@ -11,31 +16,37 @@ from __future__ import annotations
 import math
 import random
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deponent.session import bounded_sample
+from deponent.session import bounded_sample, checkpointed, lookup_join
 
-#: Words are known from this share of all words on, but at least KNOWN_COUNT times; line shapes are kept from SHAPE_COUNT on.
-KNOWN_SHARE, KNOWN_COUNT, SHAPE_COUNT = 1e-7, 3, 3
-#: The known words and line shapes are sent to the tasks up to these numbers; more are refused.
-WORD_LIMIT, SHAPE_LIMIT = 3_000_000, 1_000_000
+#: A word is known if it makes up this share of all words, so at most a million words are known.
+KNOWN_SHARE = 1e-6
 #: Messages whose lines train the line model, and words that train the editor, at most.
 TRAIN_MESSAGES, TRAIN_WORDS = 3000, 4000
+#: Places of a word that may be misread at once.
+PLACES = 3
 
 # What is read, and what it stands for.
 MISREADINGS = (
     ("c", "e"), ("e", "c"), ("!", "i"), ("!", "l"), ("@", "a"), ("+", "t"), ("0", "o"), ("5", "s"), ("$", "s"), ("1", "l"), ("1", "i"), ("9", "g"), ("6", "b"), ("8", "b"), ("|", "l"), ("|", "i"),
     ("ri", "n"), ("n", "ri"), ("cl", "d"), ("d", "cl"), ("ii", "u"), ("u", "ii"), ("li", "h"), ("h", "li"), ("rn", "m"), ("m", "rn"), ("vv", "w"), ("w", "vv"), ("nn", "m"), ("in", "m"), ("iii", "m"), ("tl", "d"), ("0", "e"), ("q", "g"), ("3", "e"), ("4", "a"), ("7", "t"), ("f", "t"), ("t", "f"), ("l", "i"), ("i", "l"), ("l", "t"),
 )
-_TRAINED = {m for m in MISREADINGS[:32]}
+#: The first of them are as common as all others together; they are drawn more often when training pairs are made.
+_FREQUENT = MISREADINGS[:32]
 
 _TOKEN = re.compile(r"(?<![\w@+!$|.])[A-Za-zÀ-ÿ0-9@+!$|]++(?![\w@])")
 _PLAIN = re.compile(r"[a-zà-ÿ]{2,}")
+_COMPOUND = re.compile(r"(?<![\w-])[a-zà-ÿ]{2,}-[a-zà-ÿ]{2,}(?![\w-])")
+_LEFT = re.compile(rf"([^\W_]+(?:['’][^\W_]+)?)[-‐‑‒­¬][ \t]*$")
+_RIGHT = re.compile(r"\s*([^\W_]+)")
 _HYPHEN = "-‐‑‒­¬"
 _BREAK = re.compile(rf"[^\W\d_][{_HYPHEN}][ \t]*$")
 _PAGE = re.compile(
@@ -48,9 +59,10 @@ _ENDED = re.compile(r"[.!?:;…][\"”’)\]]*\s*$")
 _FIELD = re.compile(r"\s*(?:from|to|subject|sender|cc|date|sent|re|fwd|asunto|betreff|von|an|de|para)\b\s*:?", re.I)
 _BULLET = re.compile(r"\s*(?:[-*•–]|\d{1,3}[.)]|[a-z][.)])\s+\S", re.I)
 _CLOSING = re.compile(r"\s*(?:dear|hello|hi|good day|regards|best|thank|thanks|sincerely|yours|kind|cheers|please bring|greetings)\b", re.I)
-_PAGE_WORDS = re.compile(r"\b(?:confidential|printout|print view|transcript of|vol\.|annex|file|continued|circulation|case report|statement|unit|exhibit|appendix|draft|copy|volume|intake|desk|evidence|report)\b", re.I)
 
 
+# Keys beside one another.
+_BESIDE = {"a": "qws", "b": "vn", "c": "xvd", "d": "sfxe", "e": "wrd", "f": "dgcr", "g": "fhvt", "h": "gjby", "i": "uok", "j": "hkn", "k": "jlm", "l": "ko", "m": "nk", "n": "bmj", "o": "ipl", "p": "ol", "q": "wa", "r": "etf", "s": "adwz", "t": "ryg", "u": "yij", "v": "cbg", "w": "qes", "x": "zcs", "y": "tuh", "z": "xa"}
 # Words on which no title ends.
 _OPEN = frozenset("the a an and or of to in on at by for with from that which who was is be had has have not as if but so because el la de y que ang ng na sa der die das und von".split())
 
@@ -60,8 +72,13 @@ def shape(line: str) -> str:
     return re.sub(r"\s+", " ", re.sub(r"\d+", "9", line.strip().lower()))
 
 
+def shape_key(line: str) -> int:
+    """A signed 64-bit hash of a line's shape."""
+    return xxhash.xxh64_intdigest(shape(line)) - 2**63
+
+
 def _is_page(line: str) -> bool:
-    return len(line) <= 40 and _PAGE.match(line) is not None
+    return _PAGE.match(line) is not None
 
 
 def _neighbours(lines: list[str]) -> Iterator[tuple[int, str, str, str]]:
@@ -87,234 +104,367 @@ def _interrupts(before: str, after: str) -> bool:
     return bool(before and after and not _ENDED.search(before) and not before.rstrip().endswith(",") and re.match(r"\s*[a-zà-ÿ]", after))
 
 
+def _placed(lines: list[str], k: int, before: str, after: str) -> bool:
+    """Whether a line stands where page furniture stands: inside a sentence, or beside a page number."""
+    return _interrupts(before, after) or any(0 <= j < len(lines) and _is_page(lines[j]) for j in (k - 2, k - 1, k + 1, k + 2))
+
+
 class Perceptron:
-    """Averaged perceptron over named features, for yes-no decisions; the score is positive for yes."""
+    """Averaged perceptron over named features that chooses among alternatives; an alternative without features scores 0."""
 
     def __init__(self):
         self.w: dict[str, float] = {}
 
     def score(self, features: list[str]) -> float:
         get = self.w.get
-        return sum(get(f, 0.0) for f in features)
+        return sum([get(f, 0.0) for f in features])
 
-    def fit(self, rows: list[tuple[list[str], bool]], epochs: int = 6, seed: int = 7) -> Perceptron:
+    def fit(self, examples: list[tuple[list[list[str]], int]], epochs: int = 6, seed: int = 7) -> Perceptron:
+        """Each example holds the alternatives' features and the place of the right one."""
         rng, total, stamp, step = random.Random(seed), {}, {}, 0
-        rows = list(rows)
+        examples = list(examples)
+
+        def move(features: list[str], by: int) -> None:
+            for f in features:
+                w = self.w.get(f, 0.0)
+                total[f] = total.get(f, 0.0) + (step - stamp.get(f, 0)) * w
+                stamp[f] = step
+                self.w[f] = w + by
+
         for _ in range(epochs):
-            rng.shuffle(rows)
-            for features, yes in rows:
+            rng.shuffle(examples)
+            for alternatives, right in examples:
                 step += 1
-                score = self.score(features)
-                if (score > 0) != yes or abs(score) < 1:
-                    for f in features:
-                        total[f] = total.get(f, 0.0) + (step - stamp.get(f, 0)) * self.w.get(f, 0.0)
-                        stamp[f] = step
-                        self.w[f] = self.w.get(f, 0.0) + (1 if yes else -1)
+                scores = [self.score(x) for x in alternatives]
+                worst = max((k for k in range(len(scores)) if k != right), key=scores.__getitem__, default=None)
+                if worst is not None and scores[right] - scores[worst] < 1:
+                    move(alternatives[right], 1)
+                    move(alternatives[worst], -1)
         self.w = {f: (total.get(f, 0.0) + (step + 1 - stamp.get(f, 0)) * v) / (step + 1) for f, v in self.w.items()}
         return self
 
 
+def _choices(rows: list[tuple[list[str], bool]]) -> list[tuple[list[list[str]], int]]:
+    """Yes-no rows as choices between an alternative and doing nothing."""
+    return [([x, []], 0 if yes else 1) for x, yes in rows]
+
+
 def _bucket(x: float) -> int:
     return int(math.log2(x + 1)) if x > 0 else 0
 
 
+class Page:
+    """The lines of one message and what is known of each from other messages."""
+
+    def __init__(self, message: str, seen: dict[int, tuple[int, int]]):
+        self.lines = message.split("\n")
+        self.seen = [seen.get(shape_key(x), (0, 0)) if x and not x.isspace() else (0, 0) for x in self.lines] if seen else [(0, 0)] * len(self.lines)
+        filled = [k for k, x in enumerate(self.lines) if x and not x.isspace()]
+        self.first, self.last = (filled[0], filled[-1]) if filled else (0, 0)
+        self.times = Counter(shape(x) for x in self.lines)
+        long = [len(x) for x in self.lines if x.count(" ") >= 3]
+        self.width = max(long, default=1)
+        self.form = f"form{min(3, len(long))} {min(4, len(filled))} {min(3, sum(long) // 90)}"
+        #: A page has several lines of running text; others give examples of what is no furniture.
+        self.wrapped = len(long) >= 2 and len(self.lines) >= 4
+
+
 class PageModel:
     """Judges the lines of a message."""
 
-    def __init__(self, shapes: dict[str, tuple[int, int]]):
-        self.shapes, self.header, self.page = shapes, Perceptron(), Perceptron()
+    def __init__(self):
+        self.header, self.page = Perceptron(), Perceptron()
 
-    def features(self, k: int, line: str, before: str, after: str, lines: list[str], wrapped: bool) -> list[str]:
-        key = shape(line)
-        n, breaks = self.shapes.get(key, (0, 0))
+    @staticmethod
+    def features(page: Page, k: int, line: str, before: str, after: str) -> list[str]:
         body = line.strip()
+        n, breaks = page.seen[k]
         words = body.split()
         upper = sum(w[:1].isupper() or not w[:1].isalpha() for w in words) / max(1, len(words))
-        near = [lines[j] for j in (k - 2, k - 1, k + 1, k + 2) if 0 <= j < len(lines)]
-        last = next((j for j in range(len(lines) - 1, -1, -1) if lines[j].strip()), 0)
-        first = next((j for j in range(len(lines)) if lines[j].strip()), 0)
+        near = [page.lines[j] for j in (k - 2, k - 1, k + 1, k + 2) if 0 <= j < len(page.lines)]
+        broken, numbered, share = _interrupts(before, after), any(x and _is_page(x) for x in near), f"break{int(4 * breaks / n) if n >= 3 else 'x'}"
+        end = "" if body[-1].isalnum() or body[-1] not in ".,!?;:…" else body[-1]
+        lead = f"lead{'upper' if body[0].isupper() else 'lower' if body[0].islower() else 'sign'}"
+        size = f"words{min(12, len(words))} {min(4, len(body) // 40)}"
+        lower = f"lower{min(3, sum(w.islower() and w not in _OPEN for w in words))}"
+        signed = f"signed{_CLOSING.match(before) is not None} {before.rstrip()[-1:] in (',', ':')}"
+        again, fill = f"again{min(2, page.times[shape(line)])}", f"fill{min(4, 4 * len(body) // page.width)}"
         out = [
-            "bias", f"seen{min(8, _bucket(n))}", f"break{int(4 * breaks / n) if n >= 3 else 'x'}", f"upper{int(4 * upper)}", f"words{min(9, len(words))}", f"wrapped{wrapped}",
-            f"interrupts{_interrupts(before, after)}", f"page{any(x.strip() and _is_page(x) for x in near)}", f"first{k == first}", f"last{k == last}",
-            f"ended{_ENDED.search(body) is not None}", f"comma{body.endswith(',')}", f"field{_FIELD.match(body) is not None}", f"bullet{_BULLET.match(body) is not None}", f"closing{_CLOSING.match(body) is not None}",
-            f"pageword{_PAGE_WORDS.search(body) is not None}", f"bars{'|' in body or ' / ' in body or '   ' in body}", f"digits{any(c.isdigit() for c in body)}", f"at{'@' in body}", f"capital{body[:1].isupper()}", f"tail{words[-1].lower() in _OPEN if words else False}",
-            f"lower{sum(w.islower() and w not in _OPEN for w in words) * 4 // max(1, len(words))}",
+            "bias", share, f"seen{min(3, n)}", f"upper{int(4 * upper)}", size, page.form, f"broken{broken}", f"numbered{numbered}", f"first{k == page.first}", f"last{k == page.last}", f"end{end}", lead, lower,
+            f"field{_FIELD.match(body) is not None}", f"bullet{_BULLET.match(body) is not None}", f"closing{_CLOSING.match(body) is not None}", f"bars{'|' in body or ' / ' in body or '   ' in body}",
+            f"digits{any(c.isdigit() for c in body)}", f"at{'@' in body}", f"tail{words[-1].lower() in _OPEN}",
         ]
-        return [*out, out[2] + out[1], out[6] + out[15], out[7] + out[15], out[2] + out[15], out[10] + out[15], out[3] + out[15]]
+        told = {"word " + w.strip(".,:;|()[]#-").lower() for w in words if w[0].isupper() and w.lower() not in _OPEN}
+        return [*out, *sorted(told), f"wrapped{page.wrapped}", again, fill, signed, signed + share, lower + share, lower + again, lower + fill, share + again, again + f"{bool(end)}" + lead, share + f" {broken}", share + f" {numbered}", lead + f" end{end}", lead + size, share + lead + f"{bool(end)}", lower + f" {broken}"]
 
-    def page_features(self, k: int, line: str, before: str, after: str, lines: list[str], wrapped: bool) -> list[str]:
+    @staticmethod
+    def page_features(page: Page, k: int, line: str, before: str, after: str) -> list[str]:
         body = line.strip()
         form = re.sub(r"[a-z]+", "a", re.sub(r"\d+", lambda m: f"9x{len(m[0])}", body.lower()))
         bare = re.fullmatch(r"\d+|[ivxl]+", body.lower()) is not None
-        near = [lines[j].strip() for j in (k - 1, k + 1) if 0 <= j < len(lines)]
-        title = any(self.shapes.get(shape(x), (0, 0))[1] * 4 >= self.shapes.get(shape(x), (1, 0))[0] and self.shapes.get(shape(x), (0, 0))[0] >= 3 for x in near if x)
-        out = ["bias", form, f"bare{bare}", f"wrapped{wrapped}", f"interrupts{_interrupts(before, after)}", f"title{title}", f"few{len(lines) < 4}", f"sure{_SURE_PAGE.match(body) is not None}", f"blank{'' in near}"]
-        return [*out, out[2] + out[3], out[2] + out[4], out[2] + out[5], out[2] + out[3] + out[4] + out[8]]
+        near = [j for j in (k - 1, k + 1) if 0 <= j < len(page.lines)]
+        title = any(page.seen[j][1] * 4 >= page.seen[j][0] >= 3 for j in near)
+        out = ["bias", form, f"bare{bare}", f"wrapped{page.wrapped}", page.form, f"broken{_interrupts(before, after)}", f"title{title}", f"sure{_SURE_PAGE.match(body) is not None}", f"blank{any(not page.lines[j].strip() for j in near)}"]
+        return [*out, out[2] + out[3], out[2] + out[5], out[2] + out[6], out[2] + out[3] + out[5] + out[8], out[2] + out[4], out[7] + out[3]]
 
-    @staticmethod
-    def wrapped(lines: list[str]) -> bool:
-        """Whether a message looks like a page: several lines, of sentences."""
-        long = [x for x in lines if len(x.split()) >= 4]
-        return len(long) >= 2 and len(lines) >= 4 and sum(len(x) for x in long) >= 90
-
-    def train(self, messages: list[str]) -> PageModel:
+    def train(self, messages: list[tuple[str, dict[int, tuple[int, int]]]]) -> PageModel:
         heads, pages = [], []
-        for message in messages:
-            lines = message.split("\n")
-            if len(lines) < 2:
+        for message, seen in messages:
+            page = Page(message, seen)
+            if len(page.lines) < 2:
                 continue
-            wrapped = self.wrapped(lines)
-            for k, line, before, after in _neighbours(lines):
+            for k, line, before, after in _neighbours(page.lines):
                 if _is_page(line):
                     sure, breaks = _SURE_PAGE.match(line.strip()) is not None, _interrupts(before, after)
-                    if sure or not wrapped or breaks:
-                        pages.append((self.page_features(k, line, before, after, lines, wrapped), wrapped and (sure or breaks)))
+                    if sure or not page.wrapped or breaks:
+                        pages.append((self.page_features(page, k, line, before, after), page.wrapped and (sure or breaks)))
                     continue
-                n, breaks = self.shapes.get(shape(line), (0, 0))
-                plain = _FIELD.match(line) or _BULLET.match(line) or _CLOSING.match(line) or _ENDED.search(line) and not _PAGE_WORDS.search(line) or line.rstrip().endswith(",") or "@" in line
+                n, breaks = page.seen[k]
+                often = n >= 3 and breaks >= 0.25 * n and page.wrapped
+                plain = not page.wrapped or _FIELD.match(line) or _BULLET.match(line) or _CLOSING.match(line) or _CLOSING.match(before) and breaks < 0.5 * n or _ENDED.search(line) or line.rstrip()[-1] in ",:;" or "@" in line or line.split()[-1].lower() in _OPEN
                 if plain:
-                    heads.append((self.features(k, line, before, after, lines, wrapped), False))
-                elif n >= 3 and breaks >= 0.25 * n and line.strip()[:1].isupper() and len(line.split()) <= 9 and line.split()[-1].lower() not in _OPEN:
-                    heads.append((self.features(k, line, before, after, lines, wrapped), True))
+                    heads.append((self.features(page, k, line, before, after), False))
+                elif often:
+                    words = line.split()
+                    if words[0][0].isupper() and sum(w.islower() and w not in _OPEN for w in words) <= 1:
+                        heads.append((self.features(page, k, line, before, after), True))
                 elif n < 3 or breaks < 0.12 * n:
-                    heads.append((self.features(k, line, before, after, lines, wrapped), False))
-        self.header.fit(heads)
-        self.page.fit(pages)
+                    heads.append((self.features(page, k, line, before, after), False))
+        self.header.fit(_choices(heads))
+        self.page.fit(_choices(pages))
         return self
 
-    def judge(self, message: str) -> list[str]:
+    def judge(self, page: Page) -> list[str]:
         """For each line: text, header, page_number or blank."""
-        lines = message.split("\n")
-        kinds = ["blank" if not x.strip() else "text" for x in lines]
-        if len(lines) < 2 or not self.wrapped(lines):
+        kinds = ["blank" if not x or x.isspace() else "text" for x in page.lines]
+        if len(kinds) < 2:
             return kinds
-        for k, line, before, after in _neighbours(lines):
+        for k, line, before, after in _neighbours(page.lines):
             if _is_page(line):
-                if self.page.score(self.page_features(k, line, before, after, lines, True)) > 0:
+                if self.page.score(self.page_features(page, k, line, before, after)) > 0:
                     kinds[k] = "page_number"
-                continue
-            body = line.strip()  # titles are short, begin with a capital or a sign, and are no sentences
-            if len(body) <= 80 and not body[0].islower() and body[-1] not in ".,!?;:…" and body.count(" ") <= 11 and self.header.score(self.features(k, line, before, after, lines, True)) > 0:
+            elif self.header.score(self.features(page, k, line, before, after)) > 0:
                 kinds[k] = "header"
         return kinds
 
 
-class Editor:
-    """Character editor for words that are not known."""
+KEEP, DELETE, JOIN = "keep", "delete", "join"
+
+
+def operations(read: str, meant: str) -> list[str]:
+    """One operation for each character of ``read`` that turns it into ``meant``."""
+    ops = [KEEP if r == m else "replace " + m for r, m in zip(read, meant)] + [DELETE] * (len(read) - len(meant))
+    if len(meant) > len(read):
+        ops[-1] += " insert " + meant[len(read) :]
+    return ops
+
+
+def _written(c: str, op: str) -> str:
+    """What stands for a character after its operation."""
+    if op == DELETE:
+        return ""
+    kept, _, added = op.partition(" insert ")
+    return (c if kept == KEEP else kept[8:]) + added
 
-    def __init__(self, counts: dict[str, int]):
-        self.counts, self.model = counts, Perceptron()
 
-    def candidates(self, word: str) -> list[tuple[str, list[tuple[int, str, str]]]]:
-        """Words reached by one or two misreadings, with the edits (place, read, meant)."""
-        one: list = []
+Edits = tuple[tuple[int, str], ...]
+
+
+class Editor:
+    """Character editor: one operation for each character of a word, and join or keep for the hyphen of a broken line."""
+
+    def __init__(self, counts: dict[str, int], total: int | None = None, places: int = PLACES):
+        self.counts, self.model, self.places = counts, Perceptron(), places
+        self.total = total or sum(counts.values()) or 1
+        #: Occurrences that a word which is not known may have at most.
+        self.least = max(1.0, self.total * KNOWN_SHARE)
+        self.known = sorted(w for w in counts if "-" not in w)
+        self.starts: dict[str, set[str]] = {}  # operations that may begin a misread place, by character
+        self.follows: dict[tuple[str, str, str], set[str]] = {}  # operations that go on with one, by the one before, its character and the next
+        self.ends: set[tuple[str, str]] = set()  # operations that may end one, with their character
         for read, meant in MISREADINGS:
-            at = word.find(read)
-            while at >= 0:
-                one.append((word[:at] + meant + word[at + len(read) :], [(at, read, meant)]))
-                at = word.find(read, at + 1)
-        found = [x for x in one if x[0] in self.counts]
-        if not found:
-            for w, edits in one:
-                if edits[0][1:] in _TRAINED:
-                    for read, meant in MISREADINGS[:32]:
-                        at = w.find(read, edits[0][0] + len(edits[0][2]))
-                        while at >= 0:
-                            v = w[:at] + meant + w[at + len(read) :]
-                            if v in self.counts:
-                                found.append((v, [*edits, (at, read, meant)]))
-                            at = w.find(read, at + 1)
+            ops = operations(read, meant)
+            self.starts.setdefault(read[0], set()).add(ops[0])
+            self.ends.add((ops[-1], read[-1]))
+            for k in range(1, len(ops)):
+                self.follows.setdefault((ops[k - 1], read[k - 1], read[k]), set()).add(ops[k])
+
+    def readings(self, word: str) -> list[tuple[str, Edits]]:
+        """Known words that operation sequences make of ``word``, with the operations that are not keep."""
+        words, size, found, most = self.known, len(word), [], self.places
+        n = len(words)
+        todo: list[tuple[int, str, Edits, str, int]] = [(0, "", (), KEEP, 0)]
+        while todo:
+            i, out, edits, last, used = todo.pop()
+            whole = last == KEEP or (last, word[i - 1]) in self.ends
+            if i == size:
+                if edits and whole and out in self.counts and out != word:
+                    found.append((out, edits))
+                continue
+            c = word[i]
+            options = [] if last == KEEP else [(op, used) for op in self.follows.get((last, word[i - 1], c), ())]
+            if whole:
+                options.append((KEEP, used))
+                if used < most:
+                    options += [(op, used + 1) for op in self.starts.get(c, ())]
+            for op, u in options:
+                more = out + _written(c, op)
+                k = bisect_left(words, more)
+                if k < n and words[k].startswith(more):
+                    todo.append((i + 1, more, edits if op == KEEP else (*edits, (i, op)), op, u))
         return found
 
-    def features(self, word: str, to: str, edits: list[tuple[int, str, str]]) -> list[str]:
+    def share(self, word: str) -> int:
+        """How frequent a word is among all words, in steps of two."""
+        n = self.counts.get(word, 0)
+        return _bucket(n / self.least) if n else -1
+
+    def features(self, word: str, to: str, edits: Edits) -> list[str]:
         have, want = self.counts.get(word, 0), self.counts.get(to, 0)
         odd = sum(not c.isalpha() for c in word)
-        out = ["bias", f"ratio{min(12, _bucket(want / (have + 1)))}", f"known{have > 0}", f"want{min(12, _bucket(want))}", f"odd{min(3, odd)}", f"edits{len(edits)}", f"size{min(8, len(word))}", f"left{sum(not c.isalpha() for c in to)}"]
-        for at, read, meant in edits:
-            out += [f"{read}>{meant}", f"{read}>{meant} odd{odd > 0}", f"start{at == 0}", f"end{at + len(read) >= len(word)}", f"{read}>{meant} {out[1]}"]
-        return [*out, out[1] + out[6], out[2] + out[1]]
+        ratio, known = f"ratio{min(12, _bucket(want / (have + self.least)))}", f"known{have > 0}"
+        places = sum(1 for k, (i, _) in enumerate(edits) if not k or edits[k - 1][0] != i - 1)
+        out = ["bias", ratio, known, f"want{min(12, self.share(to))}", f"odd{min(3, odd)}", f"places{places}", f"size{min(8, len(word))}", ratio + f" size{min(8, len(word))}", known + ratio]
+        before = ""
+        for i, op in edits:
+            o = f"{word[i]} {op}"
+            out += [o, o + f" odd{odd > 0}", f"{o} start{i == 0}", f"{o} end{i + 1 == len(word)}", o + "<" + word[i - 1 : i], o + ">" + word[i + 1 : i + 2], before + "|" + o, o + " " + ratio]
+            before = o
+        return out
 
-    def best(self, word: str) -> tuple[str, list[tuple[int, str, str]]] | None:
-        """The word meant, if the model prefers an edit to keeping the word."""
+    def best(self, word: str) -> str | None:
+        """The word meant, if the model prefers operations to keeping every character."""
         top, choice = 0.0, None
-        for to, edits in self.candidates(word):
-            if any(not c.isalpha() for c in to) or to == word:
-                continue
+        for to, edits in self.readings(word):
             s = self.model.score(self.features(word, to, edits))
-            if s > top:
-                top, choice = s, (to, edits)
+            if s > top or s == top and choice is not None and to < choice:
+                top, choice = s, to
         return choice
 
+    def join_features(self, left: str, right: str, sign: str, gap: str) -> list[str]:
+        a, b = left.lower(), right.lower()
+        whole, both = self.counts.get(a + b, 0), self.counts.get(f"{a}-{b}", 0)
+        known = f"join whole{min(3, self.share(a + b) + 1)}", f"join parts{min(3, self.share(a) + 1)} {min(3, self.share(b) + 1)}"
+        sort = f"join sign{'hyphen' if sign == '-' else 'other'}"
+        out = ["join", *known, sort, f"join gap{gap}", f"join lower{right[:1].islower()}", f"join compound{min(3, _bucket(4 * both / (whole + 1)))}", f"join sizes{min(4, len(a))} {min(4, len(b))}"]
+        return [*out, known[0] + known[1], known[0] + sort, sort + out[6], known[1] + sort]
+
+    def joins(self, left: str, right: str, sign: str, gap: str) -> bool:
+        """Whether the hyphen at a line end only marks a broken word."""
+        return self.model.score(self.join_features(left, right, sign, gap)) > 0
+
+    def _misreadings(self, w: str, rng: random.Random) -> Iterator[tuple[str, Edits]]:
+        """Misread forms of a word with the operations that mend them."""
+        fit = [(r, m) for r, m in _FREQUENT if m in w]
+        for read, meant in rng.sample(fit, min(4, len(fit))):
+            at = rng.choice([m.start() for m in re.finditer(re.escape(meant), w)])
+            yield w[:at] + read + w[at + len(meant) :], tuple((at + k, op) for k, op in enumerate(operations(read, meant)) if op != KEEP)
+        if len(w) >= 7 and len(fit) > 1:  # two places at once
+            (r1, m1), (r2, m2) = rng.sample(fit, 2)
+            a = w.find(m1)
+            b = w.find(m2, a + len(m1))
+            if b >= 0:
+                first = [(a + k, op) for k, op in enumerate(operations(r1, m1)) if op != KEEP]
+                second = [(b + len(r1) - len(m1) + k, op) for k, op in enumerate(operations(r2, m2)) if op != KEEP]
+                yield w[:a] + r1 + w[a + len(m1) : b] + r2 + w[b + len(m2) :], (*first, *second)
+
+    @staticmethod
+    def _slips(w: str, rng: random.Random) -> list[str]:
+        """How a hurried typist may write a word: letters swapped, doubled, missed, hit beside, or a number for a sound."""
+        k = rng.randrange(len(w) - 1)
+        beside = _BESIDE.get(w[k], w[k])
+        out = [w[:k] + w[k + 1] + w[k] + w[k + 2 :], w[:k] + w[k] + w[k:], w[:k] + w[k + 1 :], w[:k] + rng.choice(beside) + w[k + 1 :], w[:k] + rng.choice(beside) + w[k:]]
+        out += [w.replace(a, b, 1) for a, b in (("to", "2"), ("for", "4"), ("ate", "8"), ("eat", "8")) if a in w]
+        return [x for x in out if x != w]
+
     def train(self, seed: int = 11) -> Editor:
+        """Fits the model on known words; what would be ambiguous, as both forms are words, is left out."""
         rng = random.Random(seed)
-        ranked = sorted((w for w, n in self.counts.items() if len(w) >= 4), key=lambda w: (-self.counts[w], w))
+        ranked = sorted((w for w in self.known if len(w) >= 4), key=lambda w: (-self.counts[w], w))
         common = ranked[: TRAIN_WORDS // 2]
-        rows: list = []
+        examples: list = []
+
+        def add(word: str, right: tuple[str, Edits] | None) -> None:
+            found = self.readings(word)
+            if right is not None and right not in found:
+                return
+            if found:
+                examples.append(([*(self.features(word, to, e) for to, e in found), []], found.index(right) if right is not None else len(found)))
+
         for w in common:
-            options = [(r, m) for r, m in _TRAINED if m in w]
-            for read, meant in rng.sample(sorted(options), min(4, len(options))):
-                at = rng.choice([m.start() for m in re.finditer(re.escape(meant), w)])
-                bad = w[:at] + read + w[at + len(meant) :]
-                if self.counts.get(bad, 0) * 8 > self.counts[w]:
-                    continue
-                for to, edits in self.candidates(bad):
-                    if to != bad and to.isalpha():
-                        rows.append((self.features(bad, to, edits), to == w))
+            for bad, edits in self._misreadings(w, rng):
+                if self.counts.get(bad, 0) * 8 <= self.counts[w]:
+                    add(bad, (w, edits))
             for slip in self._slips(w, rng):
-                for to, edits in self.candidates(slip)[:4]:
-                    if to != slip and to.isalpha():
-                        rows.append((self.features(slip, to, edits), False))
-        for w in ranked[:: max(1, len(ranked) // TRAIN_WORDS)]:
-            for to, edits in self.candidates(w)[:3]:
-                if to != w and to.isalpha() and self.counts[to] < 40 * self.counts[w]:
-                    rows.append((self.features(w, to, edits), False))
-        self.model.fit(rows)
+                if self.counts.get(slip, 0) * 8 <= self.counts[w]:
+                    add(slip, None)
+        short = sorted(w for w in self.known if 3 <= len(w) <= 4)
+        for w in [*ranked[:: max(1, len(ranked) // TRAIN_WORDS)], *short[:: max(1, len(short) // TRAIN_WORDS)] * 2]:
+            if not any(self.counts[to] > (40 if len(w) > 4 else 400) * self.counts[w] for to, _ in self.readings(w)):
+                add(w, None)
+        examples += self._breaks(ranked, common, rng)
+        self.model.fit(examples)
         return self
 
-    @staticmethod
-    def _slips(w: str, rng: random.Random) -> list[str]:
-        """How a hurried typist may write a word: letters swapped, doubled, missed, or hit beside."""
-        k = rng.randrange(len(w) - 1)
-        swapped, doubled, missed = w[:k] + w[k + 1] + w[k] + w[k + 2 :], w[:k] + w[k] + w[k:], w[:k] + w[k + 1 :]
-        return [x for x in (swapped, doubled, missed) if x != w]
+    def _breaks(self, ranked: list[str], common: list[str], rng: random.Random) -> list:
+        """Words broken at a line end, and compounds whose own hyphen stands there."""
+        rows = []
+        counts = self.counts
+        for w in [*common, *ranked[len(common) :: max(1, len(ranked) // 500)]]:
+            if len(w) >= 5:
+                k = rng.randrange(2, len(w) - 1)
+                rows.append((self.join_features(w[:k], w[k:], rng.choice("---¬‐"), rng.choice(("none", "none", "page"))), True))
+                unseen = self.join_features(w[:k] + "qx", w[k:], "-", "none")  # a word that is not known, broken
+                rows.append((unseen, counts.get(w[k:], 0) < self.least or rng.random() < 0.5))
+        compounds = sorted(w for w in counts if "-" in w and counts[w] > 8 * counts.get(w.replace("-", ""), 0))
+        plain = [w for w in common if len(w) >= 4]
+        for w in compounds[: TRAIN_WORDS // 2]:
+            a, b = w.split("-")
+            rows.append((self.join_features(a, b, "-", "none"), False))
+        for _ in range(len(common) // 2 if plain else 0):
+            a, b = rng.choice(plain), rng.choice(plain)
+            if a + b not in counts:
+                rows.append((self.join_features(a, b, "-", rng.choice(("none", "page", "blank"))), False))
+        for w in plain[:: max(1, len(plain) // 300)]:  # a list or a dash, not a broken word
+            rows.append((self.join_features(w, w.capitalize(), "-", "blank"), False))
+        return _choices(rows)
 
     def misread(self, token: str) -> str | None:
-        """The word meant by a token that was misread, or None."""
+        """The word meant by a token that was misread, or None. Two letters are too little to tell."""
         low = token.lower()
-        if len(low) < 3:  # how often a word occurs counts only against the words it may stand for
-            return None
-        digits = sum(c.isdigit() for c in low)
-        letters = sum(c.isalpha() for c in low)
-        if digits > 2 or letters < 2 or digits * 2 > letters and digits > 1:
-            return None
-        got = self.best(low)
-        return got[0] if got else None
+        return self.best(low) if len(low) >= 3 and sum(map(str.isalpha, low)) >= 2 else None
 
 
 def _collected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of words and of line shapes in each batch, added up before they are shuffled."""
+    """Counts of words in each batch, added up before they are shuffled, and the line shapes of each text (by its hash)."""
     for batch in batches:
         words: Counter = Counter()
-        lines_seen: Counter = Counter()
-        breaks: Counter = Counter()
-        for message in batch.column(0).to_pylist():
+        lines: dict[tuple[int, int], list[int]] = {}
+        for key, message in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if not message:
                 continue
-            text = joined_lines(message, None)[0] if "\n" in message else message
-            words.update(_PLAIN.findall(text.lower()))
-            if message.count("\n") >= 3:
-                lines = message.split("\n")
-                if not PageModel.wrapped(lines):
-                    continue
-                for _, line, before, after in _neighbours(lines):
-                    if len(line) <= 80 and not _is_page(line):
-                        key = shape(line)
-                        lines_seen[key] += 1
-                        breaks[key] += _interrupts(before, after)
-        keys = [*words, *lines_seen]
+            text = (joined_lines(message, None)[0] if "\n" in message else message).lower()
+            words.update(_PLAIN.findall(text))
+            if "-" in text:
+                words.update(_COMPOUND.findall(text))
+            if "\n" not in message:
+                continue
+            parts = message.split("\n")
+            for k, line, before, after in _neighbours(parts):
+                if not _is_page(line):
+                    got = lines.setdefault((key, shape_key(line)), [0, 0])
+                    got[0] += 1
+                    got[1] += _placed(parts, k, before, after)
+        n, m = len(words), len(lines)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([False] * len(words) + [True] * len(lines_seen)), pa.array(keys, pa.string()), pa.array([*words.values(), *lines_seen.values()], pa.int64()), pa.array([0] * len(words) + [breaks[k] for k in lines_seen], pa.int64())],
-            ["is_line", "key", "n", "breaks"],
+            [
+                pa.array([*words, *[None] * m], pa.string()),
+                pa.array([*[None] * n, *[k for k, _ in lines]], pa.int64()),
+                pa.array([*[None] * n, *[x for _, x in lines]], pa.int64()),
+                pa.array([*words.values(), *[x for x, _ in lines.values()]], pa.int64()),
+                pa.array([*[0] * n, *[x for _, x in lines.values()]], pa.int64()),
+            ],
+            ["word", "text_key", "shape", "n", "breaks"],
         )
 
 
@@ -357,37 +507,35 @@ class Repairer:
     def __init__(self, pages: PageModel, editor: Editor):
         self.pages, self.editor, self.fine = pages, editor, set()
 
-    def broken(self, message: str, kinds: list[str]) -> list[tuple[int, int]]:
+    def broken(self, lines: list[str], kinds: list[str]) -> list[tuple[int, int]]:
         """Lines whose last word is broken, with the line on which it goes on."""
-        lines = message.split("\n")
-        found = []
+        found, after = [], len(lines)
+        following = [after] * len(lines)
+        for k in range(len(lines) - 1, -1, -1):
+            following[k] = after
+            if kinds[k] == "text":
+                after = k
         for k, line in enumerate(lines):
-            if kinds[k] != "text" or not _BREAK.search(line):
-                continue
-            j = k + 1
-            while j < len(lines) and kinds[j] != "text" and j - k <= 8:
-                j += 1
-            if j >= len(lines) or kinds[j] != "text" or j - k > 1 and all(x == "blank" for x in kinds[k + 1 : j]):
+            if kinds[k] != "text" or not _BREAK.search(line) or (j := following[k]) == len(lines):
                 continue
-            left = re.search(rf"([^\W_]+(?:['’][^\W_]+)?)[{_HYPHEN}][ \t]*$", line)
-            right = re.match(r"\s*([^\W_]+)", lines[j])
+            left, right = _LEFT.search(line), _RIGHT.match(lines[j])
             if not left or not right:
                 continue
-            whole, counts = (left[1] + right[1]).lower(), self.editor.counts
-            sign = line.rstrip()[-1]
-            if sign == "-" and whole not in counts and counts.get(left[1].lower(), 0) >= 20 and counts.get(right[1].lower(), 0) >= 20 and right[1].lower() in counts:
-                continue  # a compound written with its own hyphen
-            found.append((k, j))
+            between = kinds[k + 1 : j]
+            gap = "none" if not between else "blank" if all(x == "blank" for x in between) else "page"
+            if self.editor.joins(left[1], right[1], line.rstrip()[-1], gap):
+                found.append((k, j))
         return found
 
-    def defects(self, message: str) -> list[str]:
-        kinds = self.pages.judge(message)
+    def defects(self, message: str, seen: dict[int, tuple[int, int]] | None = None) -> list[str]:
+        page = Page(message, seen or {})
+        kinds = self.pages.judge(page)
         out = [x for x in ("header", "page_number") if x in kinds]
-        if "\n" in message and self.broken(message, kinds):
+        if len(kinds) > 1 and self.broken(page.lines, kinds):
             out.append("hyphenation")
-        text = joined_lines(message, kinds)[0] if "\n" in message else message
+        text = joined_lines(message, kinds)[0] if len(kinds) > 1 else message
         if "header" in out:
-            text += "\n" + "\n".join(x for x, k in zip(message.split("\n"), kinds) if k == "header")
+            text += "\n" + "\n".join(x for x, k in zip(page.lines, kinds) if k == "header")
         odd = {w for w in set(_TOKEN.findall(text)) - self.fine if self._meant(w)}
         if odd and any(m[0] in odd and self._word(text, m) for m in _TOKEN.finditer(text)):
             out.append("misread")
@@ -395,7 +543,7 @@ class Repairer:
 
     def _meant(self, token: str) -> str | None:
         """What a token was misread from, or None; tokens found to be fine are kept so that each is judged once."""
-        got = self.editor.misread(token) if len(token) <= 40 else None
+        got = self.editor.misread(token)
         if got is None:
             if len(self.fine) > 500_000:
                 self.fine.clear()
@@ -404,18 +552,19 @@ class Repairer:
 
     @staticmethod
     def _word(text: str, m: re.Match) -> bool:
+        """Whether a token is a word of the text, not part of an address or a code."""
         token = m[0]
-        if len(token) > 40 or not any(c.isalpha() for c in token):
+        if not any(c.isalpha() for c in token):
             return False
         if token.isalpha():
             return text[m.end() : m.end() + 1] != "@" and not re.match(r"\.\w+@|[\w.+-]*@", text[m.end() : m.end() + 30])
         return not re.search(r"[^\W\d_]!$|^[+@]", token) and not re.match(r"[.\w-]*@|\.\w", text[m.end() : m.end() + 30]) and ("@" not in token or re.fullmatch(r"[A-Za-z]*@[a-z]*", token) is not None)
 
-    def repair(self, message: str) -> str:
+    def repair(self, message: str, seen: dict[int, tuple[int, int]] | None = None) -> str:
         """Continuous paragraphs with whole words, right characters and no page furniture."""
-        kinds = self.pages.judge(message)
-        lines = message.split("\n")
-        joins = dict(self.broken(message, kinds)) if len(lines) > 1 else {}
+        page = Page(message, seen or {})
+        kinds, lines = self.pages.judge(page), page.lines
+        joins = dict(self.broken(lines, kinds)) if len(lines) > 1 else {}
         paragraphs: list[list[str]] = [[]]
         carry = ""
         for k, line in enumerate(lines):
@@ -448,41 +597,50 @@ class Repairer:
         return to.upper() if token.isupper() and len(token) > 1 else to.capitalize() if token[0].isupper() else to
 
 
-def train(rows: DataFrame) -> Repairer:
-    """Both models, from the words and line shapes of all rows and a bounded sample of messages."""
-    counts = rows.select("message").mapInArrow(_collected, "is_line boolean, key string, n long, breaks long").groupBy("is_line", "key").agg(F.sum("n").alias("n"), F.sum("breaks").alias("breaks"))
-    kept = counts.filter((F.col("is_line") & (F.col("breaks") >= 1) & (F.col("n") >= SHAPE_COUNT)) | (~F.col("is_line") & (F.col("n") >= KNOWN_COUNT)))
-    got = kept.limit(WORD_LIMIT + SHAPE_LIMIT + 1).toPandas()
-    if len(got) > WORD_LIMIT + SHAPE_LIMIT:
-        raise ValueError("more words and line shapes than the limits allow")
-    lines, words = got[got.is_line], got[~got.is_line]
-    least = max(KNOWN_COUNT, KNOWN_SHARE * float(words.n.sum()))
-    shapes = {k: (int(n), int(b)) for k, n, b in zip(lines.key, lines.n, lines.breaks)}
-    known = {k: int(n) for k, n in zip(words.key, words.n) if n >= least}
-    sample = bounded_sample(rows.select("message").filter(F.col("message").contains("\n")), "message", TRAIN_MESSAGES)
-    return Repairer(PageModel(shapes).train([r["message"] for r in sample.collect()]), Editor(known).train())
-
-
-def found_defects(rows: DataFrame) -> DataFrame:
-    """``row_id``, ``defect`` for each kind of defect a message has; null and empty messages have none."""
-    shared = rows.sparkSession.sparkContext.broadcast(train(rows))
-
+def prepared(rows: DataFrame) -> tuple[DataFrame, Repairer]:
+    """The rows, ``row_id``, ``message`` and ``seen`` (what other messages tell of the message's lines), and both models.
+
+    Words are counted over all rows. Line shapes are counted by text, so copies are added up before they meet, and joined
+    back by the text's hash; a shape or a text that makes up most of the rows is salted by the join.
+    """
+    keyed = rows.select(F.col("row_id").cast("long").alias("row_id"), "message", F.xxhash64("message").alias("text_key"))
+    found = checkpointed(keyed.select("text_key", "message").mapInArrow(_collected, "word string, text_key long, shape long, n long, breaks long"))
+    words = found.filter("word is not null").groupBy("word").agg(F.sum("n").alias("n"))
+    total = int(found.filter("word is not null").agg(F.sum("n")).first()[0] or 0)
+    known = {r["word"]: int(r["n"]) for r in words.filter(F.col("n") >= max(1.0, KNOWN_SHARE * total)).collect()}
+    lines = found.filter("shape is not null").groupBy("text_key", "shape").agg(F.sum("n").alias("n"), F.sum("breaks").alias("breaks"))
+    shapes = lines.groupBy("shape").agg(F.sum("n").alias("n"), F.sum("breaks").alias("breaks")).filter("n >= 2 and breaks >= 1")
+    told = lookup_join(lines.select("text_key", "shape"), shapes, "shape", "inner")
+    maps = told.groupBy("text_key").agg(F.map_from_entries(F.collect_list(F.struct("shape", F.array("n", "breaks")))).alias("seen"))
+    paged = F.contains("message", F.lit("\n"))
+    joined = lookup_join(keyed.filter(paged), maps, "text_key").select("row_id", "message", "seen")
+    plain = keyed.filter(F.coalesce(~paged, F.lit(True))).select("row_id", "message", F.lit(None).cast("map<bigint,array<bigint>>").alias("seen"))
+    sample = [(r["message"], {k: tuple(v) for k, v in (r["seen"] or {}).items()}) for r in bounded_sample(joined, "message", TRAIN_MESSAGES).collect()]
+    return joined.unionByName(plain), Repairer(PageModel().train(sample), Editor(known, total).train())
+
+
+def _applied(shared, judge: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            got = [(i, d) for i, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if m for d in model.defects(m)]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.int64()), pa.array([x for _, x in got], pa.string())], ["row_id", "defect"])
+            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist())
+            if judge:
+                got = [(i, d) for i, m, seen in rows if m for d in model.defects(m, {k: tuple(v) for k, v in seen or ()})]
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.int64()), pa.array([x for _, x in got], pa.string())], ["row_id", "defect"])
+            else:
+                texts = [m and model.repair(m, {k: tuple(v) for k, v in seen or ()}) for _, m, seen in rows]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["row_id", "message"])
 
-    return rows.select(F.col("row_id").cast("long"), "message").mapInArrow(run, "row_id long, defect string")
+    return run
 
 
-def repaired(rows: DataFrame) -> DataFrame:
-    """``row_id``, ``message`` of every row, the message repaired; null stays null."""
-    shared = rows.sparkSession.sparkContext.broadcast(train(rows))
+def found_defects(rows: DataFrame) -> DataFrame:
+    """``row_id``, ``defect`` for each kind of defect a message has; null and empty messages have none."""
+    every, model = prepared(rows)
+    return every.mapInArrow(_applied(rows.sparkSession.sparkContext.broadcast(model), True), "row_id long, defect string")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m and model.repair(m) for m in batch.column(1).to_pylist()], pa.string())], ["row_id", "message"])
 
-    return rows.select(F.col("row_id").cast("long"), "message").mapInArrow(run, "row_id long, message string")
+def repaired(rows: DataFrame) -> DataFrame:
+    """``row_id``, ``message`` of every row, the message repaired; null stays null."""
+    every, model = prepared(rows)
+    return every.mapInArrow(_applied(rows.sparkSession.sparkContext.broadcast(model), False), "row_id long, message string")
