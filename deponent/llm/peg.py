@@ -73,6 +73,16 @@ def named(name: str, part: Parser) -> Parser:
     return parse
 
 
+def where(part: Parser, ok: Callable[[list], bool]) -> Parser:
+    """The part, if its nodes pass a test."""
+
+    def parse(s: str, i: int):
+        r = part(s, i)
+        return r if r is not None and ok(r[1]) else None
+
+    return parse
+
+
 def later(get: Callable[[], Parser]) -> Parser:
     """A rule that refers to one defined further down."""
     return lambda s, i: get()(s, i)
