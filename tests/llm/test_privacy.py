@@ -27,6 +27,16 @@ CASES = [
     ("Regards,\nFrederick\nOstranel", [("name", "Frederick\nOstranel")]),
     ("from martina.salvaleon@letters.test", [("email", "martina.salvaleon@letters.test")]),
     ("Kalverson Trading Services", []),
+    ("IBAN DE89 3704 0044 0532 0130 00, DE88 3704 0044 0532 0130 00", [("account", "DE89 3704 0044 0532 0130 00")]),
+    ("account number 1234567890123, card 4111 1111 1111 1111 or 4111 1111 1111 1112", [("account", "1234567890123"), ("account", "4111 1111 1111 1111")]),
+    ("call 5550142 or call me at 555 0142, not 5550143", [("phone", "5550142"), ("phone", "555 0142")]),
+    ("I moved from 14 rose lane, 5 minutes down the road", [("address", "14 rose lane")]),
+    ("at 14 Rose Lane. Then 2 Elm St. was shut", [("address", "14 Rose Lane"), ("address", "2 Elm St.")]),
+    ("SSN 999-99-9999 123-45-6789", [("id_number", "999-99-9999"), ("id_number", "123-45-6789")]),
+    ("mailto:a.b@c.test, http://x.test/+639155550189 and tel:+639155550189", [("email", "a.b@c.test"), ("phone", "+639155550189")]),
+    ("x@" + "y" * 200 + ".test", [("email", "x@" + "y" * 200 + ".test")]),
+    ("w" * 300 + "@box.test", [("email", "w" * 300 + "@box.test")]),
+    ("see me @ Noon. Then (+63 915 555 0189)", [("phone", "+63 915 555 0189")]),
     ("", []),
 ]
 
@@ -48,9 +58,34 @@ STRANGERS = [
     ("Dear Customer, addressed to Meridian Consumer Complaints Unit, hi PHP 500", []),
     ("Dear Sir or Madam, this is Important. I am Sorry.\nRegards,\nPage 3", []),
     ("money from Lower Penhurst; dear me", []),
+    ("My name is Priyanka Okonkwo", ["Priyanka Okonkwo"]),
+    ("Dear Mr. Okonkwo, hello", ["Okonkwo"]),
+    ("this is R. Dallimorn from Oakstone, receiver is Wexcombe, Alexander / paid", ["R. Dallimorn", "Wexcombe, Alexander"]),
+    ("please tell Samuela I came. Maximus Wexcombe visited us.\nSamuela, please answer", ["Samuela", "Maximus Wexcombe", "Samuela"]),
+    ("The Officer said it. Silverpine Payout Department said no. For the record, Greyford, a town", []),
 ]
 
 
+def test_names_that_no_party_has(spark):
+    """Recall and precision of names of which no word is in the lexicon, against what the whole lexicon finds."""
+    given, family, short = lexicon(spark.read.parquet("/root/testdata/sf0.1/case_participants.parquet"))
+    hidden = {w for k, w in enumerate(sorted(given | family)) if k % 5 == 0}
+    whole, part = P.Finder(given, family, short), P.Finder(given - hidden, family - hidden, short - hidden)
+    found = total = extra = 0
+    for r in spark.read.parquet("/root/testdata/sf0.01/mass_extract.parquet").select("message").collect():
+        if not r.message:
+            continue
+        ours = {a for k, a, _ in part.find(r.message) if k == "name"}
+        want = [(a, r.message[a:b].lower().replace("\n", " ").split()) for k, a, b in whole.find(r.message) if k == "name"]
+        extra += len(ours - {a for a, _ in want})
+        for a, words in want:
+            words = {w.strip(".,'") for w in words if len(w.strip(".,")) > 1}
+            if words & hidden and not words & ((given | family | short) - hidden):
+                total += 1
+                found += a in ours
+    assert total > 50 and found >= 0.9 * total and extra <= 0.1 * total, (found, total, extra)
+
+
 @pytest.mark.parametrize(("text", "want"), STRANGERS)
 def test_introduced_strangers(text, want):
     assert [text[a:b] for k, a, b in FINDER.find(text) if k == "name"] == want
