@@ -45,7 +45,7 @@ SCHEMES = ("http://", "https://", "www.", "ftp://", "mailto:", "tel:", "sms:")
 NO_STREET = frozenset("the of a an on to in at down up along this that these my our his her their your its per and or for from with by minutes minute hours hour days day weeks months years people persons calls times messages more other each every next same one two way".split())
 NAME_CUES = (
     "look for", "ask for", "receiver is", "tell", "contact person", "addressed to", "the identity of", "the number of", "i'm", "i am", "this is", "my name is", "for the record,", "full name:", "name:", "dear", "hello", "hi",
-    "good day", "from:", "to:", "from", "sender", "the agent called", "did", "regards,", "sincerely,", "thank you,", "thanks,", "best,", "attn:", "remembers that", "mr.", "ms.", "mrs.", "atty.", "sir", "care of", "c/o",
+    "good day", "from:", "to:", "from", "sender", "the agent called", "did", "regards,", "sincerely,", "thank you,", "thanks,", "best,", "attn:", "remembers that", "mr.", "ms.", "mrs.", "atty.", "sir", "care of", "c/o", " -",
 )
 # Cues by how they introduce an unknown name: one word will do; two are needed; nothing else may stand in the line; a header's end must follow; one word will do if small letters follow; a comma ends the greeting.
 # Words after a name that begins a sentence; a name before a verb has two words, or an initial and one.
@@ -64,6 +64,7 @@ COMMON_WORDS = frozenset(
     "page pg seite pahina página confidential printout print transcript annex file case report statement draft copy exhibit appendix volume vol circulation subject date sent cc re fwd attached urgent important dispute account accounts "
     "payment refund transfer order number code street road avenue city filipino english spanish german american british usd php eur gbp".split()
 )
+_SMALL_NAME = re.compile(r"[a-zà-ÿ][\w'’-]+ [a-zà-ÿ][\w'’-]+(?=\s*<)")
 _NAME_SHAPE = re.compile(r"[^\W\d_a-z][^\W\d_]+(?:['’-][^\W\d_]+)*")
 
 _STREET = re.compile(
@@ -396,7 +397,7 @@ class Finder:
             if hi < len(low) and low[hi].isalnum():
                 continue
             cued.add(gap.end())
-            if low[lo:hi] in OPENING_CUES or low[lo:hi] in NARROW_CUES or low[lo:hi] in CLOSING_CUES or low[lo:hi] in HEADER_CUES:
+            if low[lo:hi] in OPENING_CUES or low[lo:hi] == " -" or low[lo:hi] in NARROW_CUES or low[lo:hi] in CLOSING_CUES or low[lo:hi] in HEADER_CUES:
                 opened[gap.end()] = text[lo:hi]
         words = [(m.start(), m.end(), m[0]) for m in _WORD.finditer(text)]
         later: list[tuple[str, int, int]] = []
@@ -482,6 +483,8 @@ class Finder:
     def _stranger(self, text: str, words: list, k: int, cue: str) -> int:
         """How many words from the k-th on are the name of somebody unknown whom the cue before them introduces."""
         low = cue.lower()
+        if low in HEADER_CUES and _SMALL_NAME.match(text, words[k][0]):
+            return 2
         n = self._capitals(text, words, k, cue.isupper(), low not in GREETINGS)
         if not n:
             return 0
@@ -490,6 +493,8 @@ class Finder:
         if low in NARROW_CUES and n < 2:
             if low not in SINGLE_CUES or not re.match(r"(?:['’]s)?(?: [a-z]| I |[.!?]?$)", line):
                 return 0
+        if low == " -" and (n > 2 or not re.match(r"\s*(?:[.,!?…]|$)", line) or text[: words[k][0]].rstrip(" -")[-1:] in ("", "\n")):
+            return 0  # a dash before a signature ends a line of text
         if low in HEADER_CUES and line.strip(" ") and not line.lstrip().startswith(("<", "/")):
             return 0
         if low in CLOSING_CUES:

@@ -72,7 +72,7 @@ def test_names_that_no_party_has(spark):
     hidden = {w for k, w in enumerate(sorted(given | family)) if k % 5 == 0}
     whole, part = P.Finder(given, family, short), P.Finder(given - hidden, family - hidden, short - hidden)
     found = total = extra = 0
-    for r in spark.read.parquet("/root/testdata/sf0.01/mass_extract.parquet").select("message").collect():
+    for r in spark.read.parquet("/root/testdata/sf0.1/mass_extract.parquet").filter("row_id % 4 = 0").select("message").collect():
         if not r.message:
             continue
         ours = {a for k, a, _ in part.find(r.message) if k == "name"}
