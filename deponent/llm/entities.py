@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deponent.llm.names import LEXICON_LIMIT, ORGANISATION_WORDS, SHORT_NAMES, TITLES, fold
+from deponent.llm.names import ORGANISATION_WORDS, SHORT_NAMES, TITLES, TOKEN_SHARE, fold
 
 # Abbreviations in names of organisations, and words that say nothing of which one it is.
 ORGANISATION_SHORT = {"corp": "corporation", "intl": "international", "int'l": "international", "dept": "department", "mgmt": "management", "svcs": "services", "svc": "services", "assoc": "associates", "assocs": "associates", "inv": "investment", "co": "company", "mgt": "management", "dep": "department"}
@@ -111,6 +111,7 @@ class Profile:
         self.given: Counter = Counter()
         self.family: Counter = Counter()
         self.short: set[str] = set()
+        self.initials: set[str] = set()  # first letters of given and family name that its spellings show, together
         self.sets: list[tuple[str, ...]] = []
         self.is_org = False
         self.party = False
@@ -120,6 +121,7 @@ class Profile:
         self.given += other.given
         self.family += other.family
         self.short |= other.short
+        self.initials |= other.initials
         self.sets += [x for x in other.sets if x not in self.sets]
         self.is_org |= other.is_org
         self.party |= other.party
@@ -185,6 +187,9 @@ class Resolver:
                     first, last = last, first
             p.given[first] += 1
             p.family[last] += 1
+            p.initials |= {x[0] + last[0] for x in (first, *self.long_of.get(first, ()), *self.short_of.get(first, ()))}
+        elif len(words) == 1 and s.initials:
+            p.initials |= {x + words[0][0] for x in s.initials} | {words[0][0] + x for x in s.initials}
         return p
 
     @staticmethod
@@ -274,7 +279,7 @@ class Resolver:
 
     def keys(self, p: Profile) -> set[str]:
         """Blocks a profile stands in: starts, ends and skeletons of its words, its initials, and its acronym."""
-        out: set[str] = set()
+        out: set[str] = {"." + x for x in p.initials}
         for s in p.spellings:
             for w in [*s.words, *s.extra]:
                 out |= {"<" + w[:3], ">" + w[-3:]}
@@ -331,13 +336,13 @@ class Resolver:
                 order = sorted((k for k, p in enumerate(profiles) if p is not None), key=lambda k: (profiles[k].party, -len(profiles[k].spellings)))
                 for k in order:
                     p = profiles[k]
-                    if p is None or p.party:
+                    if p is None or p.party and least < 3:
                         continue
                     around = set().union(*(blocks[key] for key in self.keys(p))) - {k}
                     scored = []
                     for j in around:
                         q = profiles[j]
-                        if q is None:
+                        if q is None or p.party and q.party:
                             continue
                         # A profile fits another by the fullest of its spellings.
                         fits = [f for s in p.spellings if (f := self.fit(s, q)) is not None and f[0] >= least]
@@ -350,11 +355,11 @@ class Resolver:
                     rivals = [x for x in scored[1:] if x[0] == top[0] and not self._alike(profiles[x[2]], profiles[top[2]])]
                     if rivals and not (top[1] and not any(x[1] for x in rivals) and top[0][0] == 3):
                         continue
-                    q = profiles[top[2]]
-                    q.absorb(p)
-                    profiles[k] = None
-                    for key in self.keys(q):
-                        blocks[key].add(top[2])
+                    into, gone = (k, top[2]) if p.party else (top[2], k)  # a party takes in what its spellings fit
+                    profiles[into].absorb(profiles[gone])
+                    profiles[gone] = None
+                    for key in self.keys(profiles[into]):
+                        blocks[key].add(into)
                     merged = True
         wanted = set(names)
         return [sorted({s.text for s in p.spellings} & wanted) for p in profiles if p is not None and not all(s.nobody for s in p.spellings)]
@@ -370,7 +375,7 @@ def learned_shorts(participants: DataFrame, given: frozenset, family: frozenset)
     people = participants.filter(F.col("full_name").isNotNull() & (F.coalesce("case_role", F.lit("")) != "organisation"))
     first = F.element_at(F.split(F.lower(F.trim("full_name")), r"\s+"), 1)
     alone = people.select(first.alias("g"), F.explode("aliases").alias("a")).filter("a rlike '^\\\\p{L}{2,12}$'")
-    rows = alone.groupBy("g", F.lower("a").alias("s")).count().filter("count >= 3").limit(LEXICON_LIMIT).collect()
+    rows = alone.groupBy("g", F.lower("a").alias("s")).count().filter(F.col("count") >= max(3.0, TOKEN_SHARE * participants.count())).collect()
     for r in rows:
         if r["s"] not in given and r["s"] not in family and near(r["g"], r["s"]) is None:
             known.setdefault(r["g"], set()).add(r["s"])
@@ -382,9 +387,7 @@ def _lexicons(participants: DataFrame) -> tuple[frozenset, frozenset]:
     people = participants.filter(F.col("full_name").isNotNull() & (F.coalesce("case_role", F.lit("")) != "organisation")).select(words.alias("w")).filter("size(w) >= 2")
     people = people.filter(~F.exists("w", lambda x: x.isin(*sorted(ORGANISATION_WORDS))))
     kinds = people.select(F.explode(F.array(F.struct(F.element_at("w", 1).alias("t"), F.lit(1).alias("g")), F.struct(F.element_at("w", -1).alias("t"), F.lit(0).alias("g")))).alias("x"))
-    rows = kinds.groupBy("x.t").agg(F.sum("x.g").alias("g"), F.count("*").alias("n")).limit(LEXICON_LIMIT + 1).collect()
-    if len(rows) > LEXICON_LIMIT:
-        raise ValueError(f"more than {LEXICON_LIMIT} distinct name tokens")
+    rows = kinds.groupBy("x.t").agg(F.sum("x.g").alias("g"), F.count("*").alias("n")).filter(F.col("n") >= TOKEN_SHARE * participants.count()).collect()
     given = frozenset(fold(r["t"]) for r in rows if 2 * r["g"] >= r["n"]) | frozenset(SHORT_NAMES)
     return given, frozenset(fold(r["t"]) for r in rows if 2 * r["g"] < r["n"]) - given
 

@@ -24,8 +24,8 @@ SHORT_NAMES = {
     "rosalinda": "rosa linda", "teresita": "tess tessie tinay", "susannah": "sue suzie", "philippa": "pippa", "nathaniel": "nate nathan", "jonathan": "jon jonny", "maximilian": "max", "madeleine": "maddie lena", "beatriz": "bea betsy", "cristina": "cris tina",
     "hannelore": "hanne lore", "siegfried": "siggi", "adrian": "ade", "adriana": "yana", "julian": "jules", "juliana": "juliet",
 }
-#: Distinct name tokens that are sent to the tasks, at most; more are refused (such a lexicon grows far slower than the rows).
-LEXICON_LIMIT = 2_000_000
+#: A name token is sent to the tasks if this share of all parties has it; each party has few, so there are at most a few million in any corpus.
+TOKEN_SHARE = 1e-6
 
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*", re.U)
 _SKELETON = str.maketrans({"0": "o", "1": "l", "!": "l", "|": "l", "i": "l", "5": "s", "$": "s", "@": "a", "4": "a", "+": "t", "7": "t", "3": "e", "c": "e", "9": "g", "q": "g", "6": "b", "8": "b", "(": "e"})
@@ -61,8 +61,9 @@ def name_tokens(participants: DataFrame) -> DataFrame:
     family = known.filter(F.size("w") > 1).select(F.element_at("w", -1).alias("token"), F.lit("family").alias("kind"))
     alias = known.select(F.explode_outer("aliases").alias("a")).filter("a is not null").select(F.explode(F.split(F.lower("a"), r"[\s,().]+")).alias("token"), F.lit("alias").alias("kind"))
     every = given.unionByName(family).unionByName(alias)
-    every = every.filter(F.length("token") > 1).groupBy("token").pivot("kind", ["given", "family", "alias"]).count()
-    return every.na.fill(0)
+    least = TOKEN_SHARE * participants.count()
+    every = every.filter(F.length("token") > 1).groupBy("token").pivot("kind", ["given", "family", "alias"]).count().na.fill(0)
+    return every.filter(F.col("given") + F.col("family") + F.col("alias") >= least)
 
 
 def _shorter(w: str) -> set[str]:
@@ -76,9 +77,7 @@ def _is_slip(w: str, known: set[str], near: set[str]) -> bool:
 
 def lexicon(participants: DataFrame) -> tuple[frozenset, frozenset, frozenset]:
     """Given names, family names, and further names in lower case that need an introduction: short forms, and given names that no party has."""
-    rows = name_tokens(participants).limit(LEXICON_LIMIT + 1).collect()
-    if len(rows) > LEXICON_LIMIT:
-        raise ValueError(f"more than {LEXICON_LIMIT} distinct name tokens")
+    rows = name_tokens(participants).collect()
     skip = TITLES | ORGANISATION_WORDS | {"mobile", "work", "the", "and", "home", "new"}
     given = {r["token"] for r in rows if r["given"] and r["given"] >= r["family"]} - skip
     family = {r["token"] for r in rows if r["family"] > r["given"]} - skip

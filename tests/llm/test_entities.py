@@ -77,3 +77,11 @@ def test_pairs_of_a_table(spark):
     assert got == [("c", "Daniel Zamoreno", "daniel zamoreno"), ("d", "D. Zamoreno", "Daniel Zamoreno")]
     assert E.linked_pairs(df.limit(0), people).count() == 0
     assert E.entities(df, people.limit(0)).filter("case_id = 'c'").count() == 2
+
+
+def test_profiles_hold_initials_and_parties_reenter():
+    p, q = (R.profile(E.Spelling(n, GIVEN, FAMILY)) for n in ("Daniela Kalverson", "D. Kalverson"))
+    q.absorb(p)
+    assert {"dk"} <= q.initials and len(q.spellings) == 2 and ".dk" in R.keys(q)
+    # The party's alias fits a spelling whose own words fit another short name as well.
+    assert groups(["Tinay Brightlow", "tinay.brightlow", "Teresita Brightlow"], [("Teresita Brightlow", ["Tinay Brightlow"])]) == [["Teresita Brightlow", "Tinay Brightlow", "tinay.brightlow"]]
