@@ -48,6 +48,19 @@ def test_search_beats_best_fit():
     assert better >= 3
 
 
+def test_completion_wins_on_blocks_of_real_size():
+    """Sizes at which best-fit wastes much: the search must come near the bound within its budget."""
+    rng = random.Random(5)
+    for sizes, share in (([rng.randint(1100, 2000) for _ in range(1200)], 0.97), ([1400] * 50 + [1300] * 60 + [1396] * 40, 0.9)):
+        got, first = K.complete(sizes, 4096), K.best_fit(sorted(sizes, reverse=True), 4096)
+        assert sorted(itertools.chain.from_iterable(got)) == list(range(len(sizes))) and all(sum(sizes[k] for k in b) <= 4096 for b in got)
+        assert len(got) <= share * len(first) and len(got) <= 1.02 * K.lower_bound(sizes, 4096) + 1
+
+
+def test_dominance():
+    assert K.dominates((70,), (40, 30)) and K.dominates((50, 40), (40, 30, 10)) and not K.dominates((40, 30), (70,)) and not K.dominates((50, 20), (35, 35))
+
+
 def test_fillings_are_undominated():
     # 70 fills the room better than 30 and 40 together, which it could replace.
     assert (70,) in K.fillings(70, [10, 30, 40, 70], 70) and (40, 30) not in K.fillings(70, [10, 30, 40, 70], 70)
