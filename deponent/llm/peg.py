@@ -46,6 +46,17 @@ def choice(*parts: Parser) -> Parser:
     return parse
 
 
+def by_first(options: dict[str, Parser], other: Parser) -> Parser:
+    """Ordered choice that looks at the next character first: the option whose key holds it, else the other."""
+    table = {c: p for key, p in options.items() for c in key}
+    get = table.get
+
+    def parse(s: str, i: int):
+        return get(s[i], other)(s, i) if i < len(s) else None
+
+    return parse
+
+
 def many(part: Parser) -> Parser:
     def parse(s: str, i: int):
         nodes: list = []

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from deponent.llm.peg import ahead_not, choice, later, many, maybe, named, seq, token, where
+from deponent.llm.peg import ahead_not, by_first, choice, later, many, maybe, named, seq, token, where
 from deponent.operators.ordering import number_in_order
 from deponent.operators.scan import carry_forward
 from deponent.session import checkpointed, lookup_join
@@ -78,7 +78,8 @@ _boundary = token(r"[\w'’-]")
 _hesitation = named("hesitation", seq(token(r"(?i)(?:" + "|".join(sorted(map(re.escape, HESITATIONS.split()), key=len, reverse=True)) + ")"), ahead_not(_boundary), token(r"(?:\.\.\.|…|,)?")))
 _word = named("word", token(r"[^\s\[\](){}<>*♪♫♬]+"))
 _other = named("mark", token(r"[\[\](){}<>*]"))
-_item = choice(_space, _stamp, _sound_mark, _hesitation, _word, _other)
+_marked = choice(_stamp, _sound_mark, _word, _other)
+_item = by_first({" \t\n\r": _space, "[({<>})]*♪♫♬": _marked}, choice(_hesitation, _word, _space))
 _segment = seq(maybe(_space), many(choice(_space, _stamp, _lead_stamp)), maybe(_label), many(choice(_space, _stamp, _lead_stamp)), many(_item))
 
 
