@@ -1,8 +1,10 @@
 """Statistics of each document's text, and trees trained on them that tell prose from lists, tables and junk (problem 8).
 
-One pass over each text gives its statistics, among them the share of characters standing in lines that look like items,
-rows of fields or junk. Gradient-boosted trees are fitted on a bounded sample whose labels are weak (from those shares), and
-their probabilities are calibrated on a small set of texts labelled by hand.
+One pass over each text gives two kinds of statistics. Shares of the characters standing in lines that look like items, rows
+of fields or junk (STRUCTURE) give weak labels to a bounded sample. Gradient-boosted trees learn the kinds from the other
+statistics alone (INPUTS: words, characters, and the form of lines), so they do not see what made the labels. Their scores
+are calibrated by a temperature and a shift of each kind on documents checked by hand, and a document is a list, a table or
+junk if these together have a calibrated probability of at least a half.
 """
 
 from __future__ import annotations
@@ -16,17 +18,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deponent.llm.quality_examples import EXAMPLES
+from deponent.llm.quality_examples import CHECKED, EXAMPLES
 from deponent.llm.trees import BoostedTrees, calibrate
 from deponent.session import bounded_sample
 
 #: Documents on which the trees are fitted, at most; taken evenly by a hash of their text.
 TRAIN_DOCUMENTS = 4000
 KINDS = ("prose", "list", "table", "junk")
-FEATURES = (
+WORDING = (
     "n_words", "mean_word_length", "letter_ratio", "digit_ratio", "symbol_ratio", "upper_ratio", "line_end_share", "common_share", "type_ratio", "line_ratio",
-    "mean_line_length", "longest_token", "stop_rate", "item_share", "bare_item_share", "row_share", "junk_line_share", "repeat_share", "damage_share", "salad_share",
+    "mean_line_length", "longest_token", "stop_rate",
 )
+STRUCTURE = ("item_share", "bare_item_share", "row_share", "junk_line_share", "repeat_share", "damage_share", "salad_share")
+FORM = (
+    "marked_lines", "counted_lines", "cut_share", "even_cuts", "gap_share", "short_lines", "words_per_line", "length_spread", "lower_starts", "capital_rate", "vowel_ratio", "beyond_ascii", "labelled_lines", "colon_lines",
+    "separator_rate",
+)
+FEATURES = (*WORDING, *STRUCTURE, *FORM)
+INPUTS = [k for k, f in enumerate(FEATURES) if f not in STRUCTURE]
 
 _ITEM = re.compile(r"\s*(?:[-*•–—·▪◦‣+]|\[[ xX✓✗]?\]|[☐☑☒✓✔]|\(?\d{1,3}[.)]|\(?[A-Za-z][.)]|\(?[ivxIVX]{1,5}[.)])\s+\S")
 _GAP = re.compile(r"(?<=\S)\s{2,}(?=\S)")
@@ -45,6 +54,31 @@ _UPPER, _DIGITS, _BLANK = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t\n\
 _TO_WORDS = {c: c if chr(c).isalpha() or c == 39 else 32 for c in range(128)} | {0x2019: 39, 0x201C: 32, 0x201D: 32, 0x2026: 32, 0x2014: 32, 0x2013: 32}
 
 
+_VOWELS = b"aeiouyAEIOUY"
+_MARKED = re.compile(r"\s*[^\w\s\"'“”‘’(¿¡]").match
+_COUNTED = re.compile(r"\s*[\[(]?(?:\d{1,3}|[A-Za-z]|[ivx]{1,4})[.)\]]\s").match
+_CAPITAL = re.compile(r"(?<!\S)[A-ZÀ-Þ]").findall
+_LABELLED = re.compile(r"[^\s:][^:\n]{1,39}:(?: |$)").match
+
+
+def _form(text: str, b: bytes, letters: int, real: list[str], lengths: list[int]) -> list[float]:
+    """The statistics of FORM for a text with lines that are not blank."""
+    n, total = len(real), sum(lengths)
+    mean = total / n
+    cuts = [x.count("\t") + x.count("|") + x.count(";") + x.count(",") - x.count(", ") for x in real]
+    gaps = [x.count("  ") for x in real]
+    blanks = [x.count(" ") for x in real]
+    words = sum(blanks) + n
+    return [
+        sum(_MARKED(x) is not None for x in real) / n, sum(_COUNTED(x) is not None for x in real) / n,
+        sum(k for k, c in zip(lengths, cuts) if c >= 2) / total, sum(x == y >= 2 for x, y in zip(cuts, cuts[1:])) / max(1, n - 1),
+        sum(k for k, g in zip(lengths, gaps) if g >= 2) / total, sum(x < 6 for x in blanks) / n, words / n, (sum((k - mean) ** 2 for k in lengths) / n) ** 0.5 / mean,
+        sum(x.lstrip()[0].islower() for x in real) / n, len(_CAPITAL(text)) / words, (len(b) - len(b.translate(None, _VOWELS))) / max(1, letters),
+        0.0 if text.isascii() else (len(text) - len(text.encode("ascii", "ignore"))) / len(text), sum(_LABELLED(x) is not None for x in real) / n, sum(x.count(": ") >= 2 for x in real) / n,
+        sum(map(text.count, "»›/>")) / words,
+    ]
+
+
 def _key(body: str) -> bool:
     """Whether a text holds a long run of mixed key characters."""
     return any(not x.isalpha() and not x.islower() and not x.isupper() and any(c.isdigit() for c in x) for x in _RUN.findall(body))
@@ -206,6 +240,7 @@ def text_features(text: str, common: dict[str, frozenset]) -> list[float]:
         len(low), sum(map(len, low)) / max(1, len(low)), letters / solid, digits / solid, max(0.0, (solid - letters - digits) / solid), upper / max(1, letters),
         sum(stopped) / max(1, n), common_share, distinct / max(1, len(low)), len(seen) / max(1, n), total / max(1, n), max(map(len, text.split()), default=0),
         marks / max(1, len(low)), item / chars, bare / chars, row / chars, junk / chars, repeat / chars, damage, salad / chars,
+        *_form(text, b, letters - beyond, real, lengths),
     ]
 
 
@@ -232,6 +267,11 @@ def _word_lists(common_words: DataFrame, limit: int = 20_000) -> dict[str, froze
     return {k: frozenset(v) for k, v in sorted(lists.items())}
 
 
+def decided(p: np.ndarray) -> np.ndarray:
+    """The kind of each row of calibrated probabilities: the likeliest structure if all of them together have a half, else prose."""
+    return np.where(1 - p[:, 0] >= 0.5, 1 + p[:, 1:].argmax(1), 0) if len(p) else np.zeros(0, int)
+
+
 def _feature_batches(common: dict[str, frozenset], model=None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -239,8 +279,8 @@ def _feature_batches(common: dict[str, frozenset], model=None):
             x = np.array(rows, float).reshape(-1, len(FEATURES))
             arrays, names = [batch.column(0).cast(pa.int64())], ["doc_id"]
             if model is not None:
-                p = model.value.predict(x)
-                best = p.argmax(1)
+                p = model.value.predict(x[:, INPUTS])
+                best = decided(p)
                 arrays += [pa.array([KINDS[k] for k in best]), pa.array(p[np.arange(len(p)), best] if len(p) else np.empty(0))]
                 names += ["kind", "probability"]
             arrays += [pa.array(x[:, j]) for j in range(len(FEATURES))]
@@ -256,17 +296,15 @@ def document_statistics(documents: DataFrame, common_words: DataFrame) -> DataFr
 
 
 def train(documents: DataFrame, common_words: DataFrame, limit: int = TRAIN_DOCUMENTS) -> BoostedTrees:
-    """Trees fitted on at most ``limit`` weakly labelled documents and calibrated on the texts labelled by hand."""
+    """Trees fitted on at most ``limit`` weakly labelled documents and calibrated on documents checked by hand."""
     common = _word_lists(common_words)
     sample = bounded_sample(documents.select("doc_id", "text"), "text", limit)
     rows = document_statistics(sample, common_words).select(*FEATURES).collect()
     labelled = [(list(r), y) for r in rows if (y := weak_label(list(r))) is not None]
-    # Structural examples made from the hand-labelled shapes keep every kind present in a small sample.
-    shapes = [(text_features(t, common), KINDS.index(k)) for t, k in EXAMPLES[::2]]
-    held = [(text_features(t, common), KINDS.index(k)) for t, k in EXAMPLES[1::2]]
-    data = labelled + shapes
-    model = BoostedTrees.fit(np.array([x for x, _ in data]), np.array([y for _, y in data]), len(KINDS))
-    return calibrate(model, np.array([x for x, _ in held]), np.array([y for _, y in held]))
+    # Texts made by hand keep every kind present in a small sample.
+    data = labelled + [(text_features(t, common), KINDS.index(k)) for t, k in EXAMPLES]
+    model = BoostedTrees.fit(np.array([x for x, _ in data])[:, INPUTS], np.array([y for _, y in data]), len(KINDS))
+    return calibrate(model, np.array([text_features(t, common) for t, _ in CHECKED])[:, INPUTS], np.array([KINDS.index(k) for _, k in CHECKED]))
 
 
 def document_kinds(documents: DataFrame, common_words: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@ import numpy as np
 
 from deponent.llm import quality as Q
 from deponent.llm.quality_examples import EXAMPLES
-from deponent.llm.trees import BoostedTrees, calibrate
+from deponent.llm.trees import BoostedTrees, calibrate, calibration_error
 
 # Labelled by hand; none of them is used in training or calibration.
 HELD_OUT = [
@@ -28,9 +28,29 @@ def test_held_out_texts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = Q.train(docs, words)
     common = Q._word_lists(words)
-    p = model.predict(np.array([Q.text_features(t, common) for t, _ in HELD_OUT]))
-    assert sum(Q.KINDS[k] == y for k, (_, y) in zip(p.argmax(1), HELD_OUT)) >= len(HELD_OUT) - 1
+    p = model.predict(np.array([Q.text_features(t, common) for t, _ in HELD_OUT])[:, Q.INPUTS])
+    assert sum(Q.KINDS[k] == y for k, (_, y) in zip(Q.decided(p), HELD_OUT)) >= len(HELD_OUT) - 1
     assert np.allclose(p.sum(1), 1)
+    # The trees do not see the shares that made their labels, and agree with them on documents they were not fitted on.
+    assert not {Q.FEATURES[k] for k in Q.INPUTS} & set(Q.STRUCTURE)
+    x = np.array([list(r)[1:] for r in Q.document_statistics(spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("doc_id % 5 = 0"), words).collect()])
+    y = np.array([-1 if (k := Q.weak_label(r)) is None else k for r in x.tolist()])
+    x, y = x[y >= 0], y[y >= 0]
+    p = model.predict(x[:, Q.INPUTS])
+    for kind in range(4):
+        assert (Q.decided(p)[y == kind] == kind).mean() >= 0.95, Q.KINDS[kind]
+    assert calibration_error(p, y) <= 0.03
+
+
+def test_calibration_moves_the_decision():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(400, 2))
+    y = (x[:, 0] + 0.8 * rng.normal(size=400) > 0).astype(int)
+    m = BoostedTrees.fit(x[:200], (y[:200] | (rng.random(200) < 0.4)).astype(int), 2, rounds=20, depth=3)  # labels that lean to one class
+    before, error = m.predict(x[300:]).argmax(1), calibration_error(m.predict(x[300:]), y[300:])
+    calibrate(m, x[200:300], y[200:300])
+    after = m.predict(x[300:])
+    assert (after.argmax(1) != before).any() and calibration_error(after, y[300:]) < error and (after.argmax(1) == y[300:]).mean() >= (before == y[300:]).mean()
 
 
 def test_statistics_of_odd_texts(spark):
