@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from deponent.llm.text import plain_words
-from deponent.session import BROADCAST_LIMIT, checkpointed, estimated_bytes
+from deponent.session import checkpointed, lookup_join
 
 #: Words in a hashed run, and neighbouring hashes of which one is kept.
 K, W = 5, 2
@@ -209,11 +209,10 @@ def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
     corpus = fingerprints(documents, "doc_id", "text", only)
     corpus = checkpointed(corpus) if only is not None else corpus
     hits = corpus.select("doc_id", F.explode("hits.hash").alias("hash"))
-    small = estimated_bytes(tests) <= BROADCAST_LIMIT
-    hint = F.broadcast if small else (lambda x: x)
-    pairs = hits.distinct().join(hint(hashes), "hash").select("doc_id", "key").distinct()
-    passages = pairs.join(hint(tests.select("key", "words")), "key").groupBy("doc_id").agg(F.collect_list(F.struct("key", "words")).alias("passages"))
+    # Each side of a checked size is broadcast; a larger one meets salted rows, so a hash or passage that most documents hold is split.
+    pairs = lookup_join(hits.distinct(), hashes, "hash", "inner").select("doc_id", "key").distinct()
+    passages = lookup_join(pairs, tests.select("key", "words"), "key", "inner").groupBy("doc_id").agg(F.collect_list(F.struct("key", "words")).alias("passages"))
     texts_hit = corpus.groupBy("doc_id").agg(F.first("words").alias("words")) if only is None else corpus.select("doc_id", "words")
     found = texts_hit.join(passages, "doc_id").select("doc_id", F.explode(F.pandas_udf(_verified, "array<bigint>")("words", "passages")).alias("key"))
-    members = items.filter("passage is not null").join(hint(texts), "passage").select("key", "item_id")
-    return found.join(hint(members), "key").select("doc_id", "item_id").distinct()
+    members = lookup_join(items.filter("passage is not null"), texts, "passage", "inner").select("key", "item_id")
+    return lookup_join(found, members, "key", "inner").select("doc_id", "item_id").distinct()
