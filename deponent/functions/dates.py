@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The beginnings of the months' names.
+MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+_MONTH = r"((?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*)"
+_NAMED_DAY, _NAMED_MONTH = rf"(?i)\b(\d{{1,2}})(?:st|nd|rd|th)?\s+{_MONTH}\.?,?\s+(20\d{{2}})\b", rf"(?i)\b{_MONTH}\.?\s+(\d{{1,2}})(?:st|nd|rd|th)?,?\s+(20\d{{2}})\b"
 _ROW_TIME = r"^(\d{1,2})/(\d{1,2})/(\d{4})(?: |, |,)(\d{1,2}):(\d{1,2})(?::(\d{1,2}))?$"
 
 
@@ -19,24 +23,46 @@ def row_text(ts: Column) -> Column:
     return F.date_format(ts, "dd/MM/yyyy HH:mm:ss")
 
 
+#: A clock on a screen: hours, a mark that may be missing between four signs, minutes, receipt marks; narrow letters stand for digits.
+CLOCK = r"^\s*([0-9IJilOo](?:\s*[0-9IJilOo])?)\s*([:.,;*]?)\s*([0-9IJilOo]\s*[0-9IJilOo])\s*(?:(?:[vV][iI]?|✓|✔)\s*)*$"
+#: A day and time anywhere in a text.
+DAY_AND_TIME = r"(\d{1,2})/(\d{1,2})/20\d{2}\s*,?\s*(\d{1,2})[:.;,*](\d{2})"
+
+
 def clock(c: Column) -> Column:
     """A clock read from a screen as HH:MM, receipt marks and misread digits allowed; null if it is none."""
-    t = F.regexp_replace(F.regexp_replace(F.trim(c), r"(?i)\s*(?:vi|v|✓|✔)+\s*$", ""), r"\s+", "")
-    t = F.translate(t, "*,;.", "::::")
-    t = F.when(t.rlike(r"^[0-9IJilOo]{4}$"), F.concat(F.substring(t, 1, 2), F.lit(":"), F.substring(t, 3, 2))).otherwise(t)
-    t = F.when(t.rlike(r"^[0-9IJilOo]{1,2}:[0-9IJilOo]{2}$"), F.translate(t, "IJilOo", "111100")).otherwise(t)
-    h, m = F.regexp_extract(t, r"^(\d{1,2}):(\d{2})$", 1).try_cast("int"), F.regexp_extract(t, r"^(\d{1,2}):(\d{2})$", 2).try_cast("int")
-    return F.when(h.between(0, 23) & m.between(0, 59), F.format_string("%02d:%02d", h, m))
+    digits = lambda i: F.translate(F.regexp_replace(F.regexp_extract(c, CLOCK, i), r"\s", ""), "IJilOo", "111100")
+    hour, minute, apart = digits(1), digits(3), F.regexp_extract(c, CLOCK, 2) != ""
+    fits = (apart | (F.length(hour) == 2)) & hour.try_cast("int").between(0, 23) & minute.try_cast("int").between(0, 59)
+    return F.when(fits, F.concat(F.lpad(hour, 2, "0"), F.lit(":"), minute))
 
 
 def forced_time(c: Column, visible_date: Column, year: Column) -> Column:
-    """A row's time with the date visible on its screen, or with the given year where no date is visible."""
-    s = F.regexp_replace(F.translate(F.trim(c), ";", ":"), r"\s+", " ")
-    full = r"(\d{1,2})/(\d{1,2})/(20\d{2})\s*,?\s*(\d{1,2})[:.;,*](\d{2})"
-    part = lambda i: F.regexp_extract(s, full, i).try_cast("int")
-    at = F.format_string("%02d:%02d", part(4), part(5))
-    dated = F.when(F.coalesce(visible_date, F.lit("")) != "", F.concat_ws(" ", visible_date, at)).otherwise(F.concat(F.format_string("%02d/%02d/", part(1), part(2)), year.cast("string"), F.lit(" "), at))
-    return F.when(s.rlike(full), dated).when(clock(s).isNotNull() & (F.coalesce(visible_date, F.lit("")) != ""), F.concat_ws(" ", visible_date, clock(s))).otherwise(s)
+    """A row's time with the date visible on its screen, or with the given year where no date is visible; a text without a time stays."""
+    said = F.regexp_replace(F.translate(F.regexp_replace(F.trim(c), r'^"+|"+$', ""), ";", ":"), r"\s+", " ")
+    field = lambda i: F.lpad(F.regexp_extract(said, DAY_AND_TIME, i), 2, "0")
+    whole = said.rlike(DAY_AND_TIME)
+    at = F.when(whole, F.concat_ws(":", field(3), field(4))).otherwise(clock(said))
+    day = F.coalesce(F.nullif(visible_date, F.lit("")), F.when(whole, F.concat_ws("/", field(1), field(2), year.cast("string"))))
+    return F.coalesce(F.concat(day, F.lit(" "), at), said)
+
+
+def trailing_time(c: Column) -> Column:
+    """struct<text, time> of a text that ends with a clock after other words; the clock is null where there is none."""
+    tail = F.nullif(F.regexp_extract(c, r"\s(\d{1,2}[:.,;*]\d{2})\s*(?:[✓✔vV]\s*)*$", 1), F.lit(""))
+    at = clock(tail)
+    return F.struct(F.when(at.isNull(), c).otherwise(F.regexp_replace(c, r"\s+\d{1,2}[:.,;*]\d{2}\s*(?:[✓✔vV]\s*)*$", "")).alias("text"), at.alias("time"))
+
+
+def mail_date(c: Column) -> Column:
+    """The day of a mail's date line as DD/MM/YYYY: numbers with the day first, the year first, or a month by name; null if it names none."""
+    month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(F.substring(F.regexp_extract(c, _NAMED_DAY, 2), 1, 3)))
+    other = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(F.substring(F.regexp_extract(c, _NAMED_MONTH, 1), 1, 3)))
+    part = lambda p, i: F.regexp_extract(c, p, i)
+    made = lambda y, m, d: F.when((y != "") & (m.cast("int") > 0) & (d != ""), F.try_to_timestamp(F.concat_ws("-", y, m.cast("string"), d), F.lit("y-M-d")).cast("date"))
+    dash, first = r"\b(\d{1,2})[/.-](\d{1,2})[/.-](20\d{2})\b", r"\b(20\d{2})-(\d{1,2})-(\d{1,2})\b"
+    day = F.coalesce(made(part(first, 1), F.nullif(part(first, 2), F.lit("")), part(first, 3)), made(part(dash, 3), F.nullif(part(dash, 2), F.lit("")), part(dash, 1)), made(part(_NAMED_DAY, 3), month, part(_NAMED_DAY, 1)), made(part(_NAMED_MONTH, 3), other, part(_NAMED_MONTH, 2)))
+    return F.date_format(day, "dd/MM/yyyy")
 
 
 def years(c: Column) -> Column:

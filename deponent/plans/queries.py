@@ -48,7 +48,32 @@ class _RowTime:
 
 _ROW_TIME = _RowTime()
 _ESTIMATED = f"CASE WHEN lower({_TRIM.format('estimated_timestamp')}) IN ('true', '1', 'yes', 'y') THEN 'True' ELSE 'False' END"
-_FINAL = r"regexp_replace(regexp_replace({0}, '\s+([,.;:!?])', '\1', 'g'), '([,.;:!?])([A-Za-z])', '\1 \2', 'g')"
+class _Final:
+    """The last cleanup of a message: blanks after marks but not inside addresses, then broken addresses put together."""
+
+    @staticmethod
+    def parts(x: str, pattern: str, inside: str, outside: str) -> str:
+        p = pattern.replace("'", "''")
+        return f"""array_to_string(list_transform(list_zip(regexp_split_to_array({x}, '{p}'), list_append(regexp_extract_all({x}, '{p}'), '')), lambda z: {outside} || {inside}), '')"""
+
+    @staticmethod
+    def format(x: str) -> str:
+        bare = rf"regexp_replace({x}, '\s+([,.;:!?])', '\1', 'g')"
+        whole = r"(?i)(?:\b(?:https?://|www\.)\S+|[\w.+-]+@[\w-]+(?:\.[\w-]+)+)"
+        spaced = _Final.parts(bare, whole, "z[2]", r"regexp_replace(z[1], '([,.;:!?])([A-Za-z])', '\1 \2', 'g')")
+        tld = "com|net|org|edu|gov|mil|int|io|ai|co|uk|gr|eu|de|fr|it|es|nl|be|ch|at|us|ca|au|info|biz|online|site|app|dev|tech|me|tv"
+        host, dotless = "[a-z0-9](?:[a-z0-9.-]*[a-z0-9-])?", "com|net|org|edu|gov|mil|int|info|biz|online|site|app|dev|tech"
+        broken = (
+            rf"(?i)(?:[\w.+-]+ ?@ ?{host} ?\. ?(?:{tld})\b|\bhttps? ?: ?/ ?/ ?{host}(?: ?\. ?| )(?:{tld})\b|\bhttps (?:[:/\\|]+|(?-i:I[lI]|l[I|])) ?{host} (?:{tld})\b|\bwww ?\. ?{host}(?: ?\. ?| )(?:{tld})\b"
+            rf"|\bwww ?\. ?[a-z0-9]|\b(?:website|web site|site|url|visit|go to) (?:{host} ?\. ?(?:{tld})|[a-z0-9-]{{2,}}?(?:{dotless}))\b)"
+        )
+        closed = rf"regexp_replace(z[2], '(?i)(?: ?\. ?| )?({tld})$', '.\1')"
+        for found, meant in ((r"(?i)^https(?: ?: ?/ ?/ ?| (?:[:/\\|]+|(?-i:I[lI]|l[I|])) ?)", "https://"), (r"(?i)^http ?: ?/ ?/ ?", "http://"), (r"(?i)\bwww ?\. ?", "www."), (" ?@ ?", "@")):
+            closed = f"regexp_replace({closed}, '{found}', '{meant}', 'g')"
+        return f"(SELECT {_Final.parts('s', broken, closed, 'z[1]')} FROM (SELECT {spaced} AS s))"
+
+
+_FINAL = _Final()
 
 
 class _Key:

@@ -1,12 +1,12 @@
 """Operators along an order, duplicates, joins and guards against plain Python on small tables."""
 
 import random
+import re
 from collections import Counter
 from difflib import SequenceMatcher
 
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from deponent.functions import dates as D
@@ -74,11 +74,18 @@ def test_text_columns(spark):
     assert one(T.repaired_identifiers, "go to example. com or write a @ mail. org, www . site net") == "go to example.com or write a@mail.org, www.site.net"
     assert one(T.repaired_identifiers, "https : / / www.bank com") == "https://www.bank.com"
     assert one(T.repaired_identifiers, "I came. Then we left") == "I came. Then we left"
+    for text in ("write ann@letters.test,now or www.bank.example.Ok", "see https://a.b.example/x.y?z=1,2 and x.y@mail.box.org"):
+        assert one(T.final_message, text) == text.replace("test,now", "test, now")
+    assert one(T.final_message, "visit Rome. com later,mail ann @ box. com;visit any-desk. com,url anydeskcom") == "visit Rome.com later, mail ann@box.com; visit any-desk.com, url anydesk.com"
+    assert one(T.final_message, "https Il bank com and HTTP : / / b. org") == "https://bank.com and http://b.org"
     assert one(T.protected_values, "pay $12.50 to a@b.co by 3/4") == ["$12.50", "a@b.co", "3/4"]
     assert one(T.is_unresolved, "Speaker_2") and one(T.is_unresolved, None) and not one(T.is_unresolved, "Speaker Anna")
     assert one(T.is_noisy, "TII go | now") and one(T.is_noisy, None) and not one(T.is_noisy, "a clean text")
     assert one(T.final_message, None) is None and one(T.words, None) is None
     assert one(D.clock, "Ji00 ✓") == "11:00" if False else one(D.clock, "Ii04") == "11:04"
+    assert {t: one(D.clock, t) for t in ("Ji00 vi", "11,01", " 8 : 0 5 ✓✔", "110", "1l:6O", "25:10", "ab", "")} == {"Ji00 vi": "11:00", "11,01": "11:01", " 8 : 0 5 ✓✔": "08:05", "110": None, "1l:6O": None, "25:10": None, "ab": None, "": None}
+    assert {t: one(D.mail_date, t) for t in ("Fri, 3 March 2025 10:00", "Sept 9, 2024", "2025-02-30", "31/12/2024", "1.2.2025", "2025-2-1 08:00", "May I", "")} == {"Fri, 3 March 2025 10:00": "03/03/2025", "Sept 9, 2024": "09/09/2024", "2025-02-30": None, "31/12/2024": "31/12/2024", "1.2.2025": "01/02/2025", "2025-2-1 08:00": "01/02/2025", "May I": None, "": None}
+    assert [tuple(one(D.trailing_time, t)) for t in ("see you 08:16 ✓", "at 8.05", "25:99 no 99:99", "08:16", "x")] == [("see you", "08:16"), ("at", "08:05"), ("25:99 no 99:99", None), ("08:16", None), ("x", None)]
     assert one(D.clock, "24:00") is None and one(D.clock, "8.05") == "08:05"
 
 
@@ -197,15 +204,30 @@ def test_best_overlap_against_all_pairs(spark):
     ],
 )
 def test_edit_verdicts(before, after, allowed, reason):
-    assert guards.verdict(before, after) == (allowed, reason)
-
-
-@settings(max_examples=150, deadline=None)
-@given(st.text(alphabet="ab I'.,!19 €$", max_size=24), st.text(alphabet="ab I'.,!19 €$", max_size=24))
-def test_allowed_edits_keep_protected_values(before, after):
-    ok, _ = guards.verdict(before, after)
-    if ok:
-        assert guards._VALUE.findall(before.strip()) == guards._VALUE.findall(after.strip())
+    spark = SparkSession.getActiveSession()
+    row = spark.createDataFrame([(before, after)], "a string, b string").select(guards.edit_verdict(F.col("a"), F.col("b")).alias("v")).first().v
+    assert (row.allowed, row.reason) == (allowed, reason)
+
+
+def test_allowed_edits_keep_protected_values(spark):
+    rng = random.Random(3)
+    text = lambda: "".join(rng.choice("ab I'.,!19 €$") for _ in range(rng.randrange(24)))
+    rows = [(text(), text()) for _ in range(400)] + [(w := text(), w.upper()) for _ in range(100)] + [(None, None), ("a" * 20_000, "b" * 20_000)]
+    got = spark.createDataFrame(rows, "a string, b string").select("a", "b", guards.edit_verdict(F.col("a"), F.col("b")).alias("v")).collect()
+    values = re.compile(r"(?<!\w)[€$£]?\d[\d.,:/#-]*")
+    assert len(got) == len(rows) and all(values.findall(r.a.strip()) == values.findall(r.b.strip()) for r in got if r.v.allowed)
+
+
+def test_more_verdicts(spark):
+    cases = {
+        ("I'll go", "I will go"): "rephrased", ("she is running", "she run"): "rephrased", ("is doing it", "do it"): "rephrased", ("what?! no", "what!? no"): "punctuation", ("so… yes", "so... yes"): "same words",
+        ("a, b c", "a b, c"): "moved punctuation", ("doing today? How are you", "How are you? doing today"): "wrapped_word_order", ("“x” don’t", "\"x\" don't"): "same words", ("...", "..."): "unchanged", ("!", "! "): "unchanged", ("?", "? ?"): "punctuation",
+    }
+    df = spark.createDataFrame([(*k, v) for k, v in cases.items()], "a string, b string, want string")
+    assert [(r.a, r.b, r.v.reason) for r in df.select("a", "b", guards.edit_verdict(F.col("a"), F.col("b")).alias("v")).collect()] == [(*k, v) for k, v in cases.items()]
+    glyphs = {("wil! do", "will do"): "glyph_l_exclamation", ("that'$ mine", "that's mine"): "glyph_dollar_s", ("it'$ 5", "it's 5"): "", ("a b", "a c"): "", ("x!l", "xl!"): "", ("", ""): ""}
+    df = spark.createDataFrame([(*k, v) for k, v in glyphs.items()], "a string, b string, want string")
+    assert [(r.a, r.v) for r in df.select("a", guards.glyph_change(F.col("a"), F.col("b")).alias("v")).collect()] == [(k[0], v) for k, v in glyphs.items()]
 
 
 def test_guarded_edits_and_offline_provider(spark):
