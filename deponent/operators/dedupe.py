@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from deponent.functions import text as T
 from deponent.operators.joins import sharing_pairs
+from deponent.operators.scan import carry_forward, lagged
 from deponent.session import checkpointed
 
 #: Two adjacent messages are the same from this ratio on, or if one of at least so many words is part of the other.
-NEAR_RATIO, NEAR_WORDS = 0.88, 4
+NEAR_RATIO, NEAR_WORDS, NEAR_MINUTES = 0.88, 4, 2
 #: A row of a recording is covered by another's from these values on; across different dates from the second ones.
 ROW_RATIO, ROW_SHARE, ROW_TOKENS = 0.88, 0.85, 8
 CROSS_RATIO, CROSS_SHARE = 0.96, 0.95
@@ -53,28 +54,47 @@ def near_same(a: str, b: str) -> bool:
     return m.real_quick_ratio() >= NEAR_RATIO and m.quick_ratio() >= NEAR_RATIO and m.ratio() >= NEAR_RATIO
 
 
-def adjacent_near_duplicates(rows: DataFrame, key: list[str], block: str, order: list[str], side: str, message: str, minutes: str, most_minutes: int = 2) -> DataFrame:
-    """Rows that a row kept before them, of the same side and day and at most two minutes off, already says: ``dropped`` true.
+def quality(c: Column) -> Column:
+    """How full and clean a text is, for choosing among near copies: words, length, and whether it ends as a sentence less odd signs."""
+    odd = F.length(F.regexp_replace(c, r"(?U)[\w\s,.;:!?€£$+@%/'\"()-]", ""))
+    return F.struct(F.size(F.filter(F.split(T.spoken_key(c), " "), lambda x: x != "")).alias("words"), F.length(c).alias("length"), (F.when(c.rlike(r"[.!?…]$"), 1).otherwise(0) - odd).alias("tidy"))
 
-    The comparison is with the last kept row, so rows are folded in order within ``key`` and ``block``; a block's first row
-    is compared with nothing before it. Blocks must be chosen where conversations pause (a day).
-    """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        last, dropped = None, []
-        for s, m, t in zip(pdf[side], pdf["_norm"], pdf[minutes]):
-            close = last is not None and s == last[0] and (pd.isna(t) or pd.isna(last[2]) or abs(t - last[2]) <= most_minutes)
-            gone = bool(close and near_same(last[1] or "", m or ""))
-            dropped.append(gone)
-            if not gone:
-                last = (s, m, t)
-        return pdf.drop(columns="_norm").assign(dropped=dropped)
-
-    from pyspark.sql import types as st
-
-    schema = st.StructType([*rows.schema.fields, st.StructField("dropped", st.BooleanType())])
-    return rows.withColumn("_norm", T.spoken_key(F.col(message))).groupBy(*key, block).applyInPandas(fold, schema)
+def _folded(runs: pd.Series) -> pd.Series:
+    """For each run of rows, in order: the row that each one repeats (itself if none), by comparison with the last row kept."""
+    out = []
+    for run in runs:
+        last, kept = None, []
+        for r in run:
+            close = last is not None and (r["minutes"] is None or last["minutes"] is None or abs(r["minutes"] - last["minutes"]) <= NEAR_MINUTES)
+            if not (close and near_same(last["norm"] or "", r["norm"] or "")):
+                last = r
+            kept.append(last["id"])
+        out.append(kept)
+    return pd.Series(out)
+
+
+def adjacent_near_duplicates(rows: DataFrame, key: list[str], block: str, order: list[str], side: str, message: str, time: str, row: str = "row_id") -> DataFrame:
+    """Rows that the row kept before them, of the same side and day and at most NEAR_MINUTES off, already says: ``row``, ``first_row``, ``best_row``.
+
+    ``first_row`` keeps its time; ``best_row`` is the one of its near copies with the best text, the first of equal ones. A row
+    that repeats nothing is its own first row. Only rows of one run, neighbours of one side without a known pause or change of
+    day between them, can repeat each other; runs are found over blocks of a key, so neither a conversation nor its undated
+    rows are ever one group. A run is the talk of one side without a pause.
+    """
+    timed = rows.select(*key, block, *order, F.col(row).alias("_row"), F.coalesce(F.col(side), F.lit("")).alias("_side"), F.col(message).alias("_text"), F.col(time).alias("_time"))
+    near = lagged(timed, key, block, order, {"_before": "_side", "_then": "_time"})
+    pause = (F.to_date("_time") != F.to_date("_then")) | (F.abs(F.unix_timestamp("_time") - F.unix_timestamp("_then")) > 60 * NEAR_MINUTES)
+    start = F.when(F.col("_before").isNull() | (F.col("_before") != F.col("_side")) | F.coalesce(pause, F.lit(False)), F.struct(*order))
+    runs = carry_forward(near.withColumn("_start", start), key, block, order, {"_run": F.col("_start")})
+    item = F.struct(*order, F.col("_row").alias("id"), T.spoken_key(F.col("_text")).alias("norm"), (F.unix_timestamp("_time") / 60.0).alias("minutes"), quality(F.coalesce("_text", F.lit(""))).alias("q"))
+    grouped = runs.groupBy(*key, "_run").agg(F.array_sort(F.collect_list(item)).alias("run"))
+    alone = grouped.filter("size(run) = 1").select(F.col("run")[0]["id"].alias("id"), F.col("run")[0]["id"].alias("first_row"), F.col("run")[0]["q"].alias("q"))
+    several = grouped.filter("size(run) > 1").withColumn("first", F.pandas_udf(_folded, "array<bigint>")(F.transform("run", lambda x: F.struct(x["id"].alias("id"), x["norm"].alias("norm"), x["minutes"].alias("minutes")))))
+    folded = several.select(F.explode(F.arrays_zip("run", "first")).alias("x")).select("x.run.id", F.col("x.first").alias("first_row"), "x.run.q")
+    every = alone.unionByName(folded)
+    best = folded.groupBy("first_row").agg(F.max_by("id", F.struct("q.words", "q.length", "q.tidy", -F.col("id"))).alias("best_row"))
+    return every.join(best, "first_row", "left").select(F.col("id").alias(row), "first_row", F.coalesce("best_row", "id").alias("best_row"))
 
 
 def _matched(rows: pd.Series, pairs: pd.Series) -> pd.Series:

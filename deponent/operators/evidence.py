@@ -107,10 +107,10 @@ def bubbles(blocks: DataFrame, gap: float = 0.9) -> DataFrame:
     the median height, or after a block that ends with a clock. Centred blocks belong to no bubble.
     """
     b = blocks.filter("side in ('LEFT', 'RIGHT')")
-    tall = b.groupBy("doc", "screen").agg(F.percentile("h", 0.5).alias("_tall"))
-    w = Window.partitionBy("doc", "screen").orderBy("y", "block")
+    screen = Window.partitionBy("doc", "screen")
+    w = screen.orderBy("y", "block")
     tail = F.regexp_extract("text", r"(\d{1,2}[:.,;]\d{2})\s*(?:[✓✔v]*)$", 1)
-    timed = b.join(F.broadcast(tall), ["doc", "screen"]).withColumn("_clock", D.clock(F.nullif(tail, F.lit(""))))
+    timed = b.withColumn("_tall", F.percentile("h", 0.5).over(screen)).withColumn("_clock", D.clock(F.nullif(tail, F.lit(""))))
     new = F.lag("side").over(w).isNull() | (F.lag("side").over(w) != F.col("side")) | F.lag("_clock").over(w).isNotNull() | (F.col("y") - F.lag(F.col("y") + F.col("h")).over(w) > gap * F.col("_tall"))
     marked = timed.withColumn("_new", new.cast("int")).withColumn("bubble", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     body = T.squeeze(F.when(F.col("_clock").isNotNull(), F.regexp_replace("text", r"\s*\d{1,2}[:.,;]\d{2}\s*[✓✔v]*$", "")).otherwise(F.col("text")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deponent.functions import dates as D
@@ -27,7 +27,16 @@ def merged_transcript(rows: DataFrame) -> DataFrame:
     Rows of a case are ordered by time, unreadable times last, then by ``row_id``. Null cases form a case of their own.
     """
     clean = readable_rows(rows).withColumn("message", T.final_message(F.col("message"))).filter("message <> ''")
-    # The running numbers below read their rows several times; the cleaned rows are made once.
-    final = renumbered(checkpointed(transcript_unique(clean))).withColumn("_ts", D.row_time(F.col("msg_timestamp"))).withColumn("_day", F.to_date("_ts"))
-    numbered = number_in_order(checkpointed(final), ["case_id"], "_day", [F.col("_ts").asc_nulls_last(), "row_id"], "seq")
-    return numbered.select("case_id", "seq", "row_id", "msg_timestamp", "estimated", "sender", "receiver", "message")
+    once = checkpointed(transcript_unique(clean).select("case_id", "row_id", "source_csv", "source_row", "source_kind", "msg_timestamp", "estimated", "sender", "receiver", "message").withColumn("_id", F.monotonically_increasing_id()))
+    # Places are found for keys and times alone; the messages are joined once, at the end.
+    final = renumbered(once.drop("sender", "receiver", "message")).withColumn("_ts", D.row_time(F.col("msg_timestamp"))).withColumn("_block", order_block(F.col("_ts"), F.col("row_id")))
+    numbered = number_in_order(checkpointed(final.select("_id", "case_id", "row_id", "msg_timestamp", "_ts", "_block")), ["case_id"], "_block", [F.col("_ts").asc_nulls_last(), "row_id"], "seq")
+    return numbered.select("_id", "seq", "msg_timestamp").join(once.drop("msg_timestamp"), "_id").select("case_id", "seq", "row_id", "msg_timestamp", "estimated", "sender", "receiver", "message")
+
+
+def order_block(time: Column, row_id: Column) -> Column:
+    """A number that never falls along (time, nulls last, row_id): the hour of a time, and pieces of ids where there is none.
+
+    Rows without a readable time may be most of a case; they are cut as finely as those with one.
+    """
+    return F.coalesce(F.floor(F.unix_timestamp(time) / 3600), F.lit(1 << 40) + F.floor(row_id / (1 << 16)), F.lit(1 << 60))

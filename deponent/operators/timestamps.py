@@ -187,7 +187,7 @@ def normalized_stamps(rows: DataFrame, conversations: DataFrame) -> DataFrame:
     Rows whose conversation is missing have neither zone nor locale. An empty table gives an empty result.
     """
     facts = rows.select("row_id", "conv_key", "msg_timestamp", "estimated_timestamp")
-    dim = conversations.select("conv_key", "device_tz", "device_locale").dropDuplicates(["conv_key"])
+    dim = conversations.groupBy("conv_key").agg(F.min(F.struct("device_tz", "device_locale")).alias("x")).select("conv_key", "x.device_tz", "x.device_locale")
     found = resolve_utc(lookup_join(facts, dim, "conv_key"), "msg_timestamp", "device_locale", "device_tz").filter(F.col("utc_epoch").isNotNull())
     utc = F.date_format(F.timestamp_seconds("utc_epoch"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     return found.select("row_id", utc.alias("utc_second"), is_estimated("estimated_timestamp").alias("estimated"))

@@ -359,9 +359,9 @@ def short_contained_duplicate(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def adjacent_near_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    """Chat rows that repeat a row kept shortly before, with that row and the one whose text is best."""
     m = table(spark, d, "mass_extract").filter("source_kind = 'chat' and conv_key is not null").select("row_id", "conv_key", "source_row", "sender", "message", D.row_time(F.col("msg_timestamp")).alias("ts"))
-    days = m.withColumns({"day": F.coalesce(F.to_date("ts").cast("string"), F.lit("")), "minutes": F.unix_timestamp("ts") / 60.0}).drop("ts")
-    return dedupe.adjacent_near_duplicates(days, ["conv_key"], "day", ["source_row", "row_id"], "sender", "message", "minutes").filter("dropped").select("row_id")
+    return dedupe.adjacent_near_duplicates(m.withColumn("_block", _row_block()), ["conv_key"], "_block", ["source_row", "row_id"], "sender", "message", "ts").filter("first_row <> row_id")
 
 
 @query()

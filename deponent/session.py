@@ -20,11 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a folder of this machine only where none is named (tests)."""
+    """The shared folder named by spark.checkpoint.dir. Where none is named, a folder of this machine, but only if all runs on this machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     where = named or os.path.join(tempfile.gettempdir(), "deponent-checkpoints")
     spark.sparkContext.setCheckpointDir(where)
     return where

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from deponent.functions import dates as D
 from deponent.functions import text as T
-from deponent.operators import dedupe, guards, joins, providers, sequence
+from deponent.operators import dedupe, guards, joins, merge, providers, sequence
 from deponent.operators.ordering import number_in_order
 from deponent.operators.scan import carry_forward
 from deponent.session import lookup_join
@@ -111,10 +111,20 @@ def test_transcript_unique_keeps_repeated_speech(spark):
 
 
 def test_near_duplicates_compare_with_the_last_kept(spark):
-    rows = [(1, "c", "d", 1, "L", "please send the money today", 0.0), (2, "c", "d", 2, "L", "please send the m0ney today", 1.0), (3, "c", "d", 3, "L", "send the money today", 1.0), (4, "c", "d", 4, "R", "please send the money today", 1.0), (5, "c", "d", 5, "R", None, 1.0), (6, "c", "d", 6, "R", "please send the money today", 9.0)]
-    df = spark.createDataFrame(rows, "row_id long, c string, d string, n int, side string, message string, minutes double")
-    got = {r.row_id: r.dropped for r in dedupe.adjacent_near_duplicates(df, ["c"], "d", ["n"], "side", "message", "minutes").collect()}
-    assert got == {1: False, 2: True, 3: True, 4: False, 5: False, 6: False}
+    at = lambda m: f"2025-01-01 10:{m:02d}:00"
+    rows = [(1, "c", 1, "L", "please send the money today", at(0)), (2, "c", 2, "L", "please send the m0ney today.", at(1)), (3, "c", 3, "L", "send the money today", at(1)), (4, "c", 4, "R", "please send the money today", at(1)), (5, "c", 5, "R", None, at(1)), (6, "c", 6, "R", "please send the money today", at(9)),
+            (7, "d", 1, None, "we met at the old harbour", None), (8, "d", 2, None, "we met at the old harb0ur", None), (9, "d", 3, "L", "we met at the old harbour", None), (10, "d", 4, "L", "we met at the old harbour", "2025-01-02 00:00:00"), (11, "d", 5, "L", "", None)]
+    df = spark.createDataFrame(rows, "row_id long, c string, n int, side string, message string, t string").withColumn("ts", F.col("t").cast("timestamp"))
+    for size in (2, 4096):
+        got = {r.row_id: (r.first_row, r.best_row) for r in dedupe.adjacent_near_duplicates(df.withColumn("b", F.floor(F.col("n") / size)), ["c"], "b", ["n"], "side", "message", "ts").collect()}
+        assert got == {1: (1, 2), 2: (1, 2), 3: (1, 2), 4: (4, 4), 5: (5, 5), 6: (6, 6), 7: (7, 7), 8: (7, 7), 9: (9, 9), 10: (9, 9), 11: (11, 11)}
+
+
+def test_order_blocks_of_undated_rows(spark):
+    df = spark.range(400_000).select(F.col("id").alias("row_id"), F.when(F.col("id") % 10 == 0, F.timestamp_seconds(1_700_000_000 + F.col("id"))).alias("ts"))
+    blocks = df.groupBy(merge.order_block(F.col("ts"), F.col("row_id")).alias("b")).agg(F.count("*").alias("n"), F.min("row_id").alias("lo"), F.max("row_id").alias("hi"), F.max(F.col("ts").isNull()).alias("undated")).orderBy("b").collect()
+    assert max(b.n for b in blocks) <= 1 << 16 and [b.undated for b in blocks] == sorted(b.undated for b in blocks)
+    assert all(x.hi < y.lo for x, y in zip(blocks, blocks[1:]) if x.undated)
 
 
 def test_covered_recordings(spark):
