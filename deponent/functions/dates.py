@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # The beginnings of the months' names.
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 _MONTH = r"((?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*)"
-_NAMED_DAY, _NAMED_MONTH = rf"(?i)\b(\d{{1,2}})(?:st|nd|rd|th)?\s+{_MONTH}\.?,?\s+(20\d{{2}})\b", rf"(?i)\b{_MONTH}\.?\s+(\d{{1,2}})(?:st|nd|rd|th)?,?\s+(20\d{{2}})\b"
+_NAMED_DAY, _NAMED_MONTH = rf"(?i)\b(\d{{1,2}})(?:st|nd|rd|th)?\s+{_MONTH}\b\.?(?:,?\s+(20\d{{2}})\b)?", rf"(?i)\b{_MONTH}\.?\s+(\d{{1,2}})(?:st|nd|rd|th)?\b(?:,?\s+(20\d{{2}})\b)?"
 _ROW_TIME = r"^(\d{1,2})/(\d{1,2})/(\d{4})(?: |, |,)(\d{1,2}):(\d{1,2})(?::(\d{1,2}))?$"
 
 
@@ -54,17 +54,35 @@ def trailing_time(c: Column) -> Column:
     return F.struct(F.when(at.isNull(), c).otherwise(F.regexp_replace(c, r"\s+\d{1,2}[:.,;*]\d{2}\s*(?:[✓✔vV]\s*)*$", "")).alias("text"), at.alias("time"))
 
 
-def mail_date(c: Column) -> Column:
-    """The day of a mail's date line as DD/MM/YYYY: numbers with the day first, the year first, or a month by name; null if it names none."""
-    month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(F.substring(F.regexp_extract(c, _NAMED_DAY, 2), 1, 3)))
-    other = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(F.substring(F.regexp_extract(c, _NAMED_MONTH, 1), 1, 3)))
-    part = lambda p, i: F.regexp_extract(c, p, i)
-    made = lambda y, m, d: F.when((y != "") & (m.cast("int") > 0) & (d != ""), F.try_to_timestamp(F.concat_ws("-", y, m.cast("string"), d), F.lit("y-M-d")).cast("date"))
-    dash, first = r"\b(\d{1,2})[/.-](\d{1,2})[/.-](20\d{2})\b", r"\b(20\d{2})-(\d{1,2})-(\d{1,2})\b"
-    day = F.coalesce(made(part(first, 1), F.nullif(part(first, 2), F.lit("")), part(first, 3)), made(part(dash, 3), F.nullif(part(dash, 2), F.lit("")), part(dash, 1)), made(part(_NAMED_DAY, 3), month, part(_NAMED_DAY, 1)), made(part(_NAMED_MONTH, 3), other, part(_NAMED_MONTH, 2)))
+def mail_date(c: Column, report_year: Column | None = None) -> Column:
+    """The day of a mail's date line as DD/MM/YYYY: the year first, numbers with the day first (the month first only if it must be), or a month by name.
+
+    A day and month without a year are of ``report_year``; null if the line names no day that exists.
+    """
+    part = lambda p, i: F.nullif(F.regexp_extract(c, p, i), F.lit(""))
+    month = lambda p, i: F.nullif(F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(F.substring(part(p, i), 1, 3))), F.lit(0)).cast("string")
+    year = lambda p, i: F.coalesce(part(p, i), report_year.cast("string") if report_year is not None else F.lit(None).cast("string"))
+    made = lambda y, m, d: F.try_to_timestamp(F.concat(y, F.lit("-"), m, F.lit("-"), d), F.lit("y-M-d")).cast("date")
+    first, numbers = r"\b(20\d{2})-(\d{1,2})-(\d{1,2})\b", r"\b(\d{1,2})[/.-](\d{1,2})(?:[/.-](20\d{2}))?\b"
+    day = F.coalesce(
+        made(part(first, 1), part(first, 2), part(first, 3)),
+        F.when(F.regexp_extract(c, first, 1) == "", F.coalesce(made(year(numbers, 3), part(numbers, 2), part(numbers, 1)), made(part(numbers, 3), part(numbers, 1), part(numbers, 2)))),
+        made(year(_NAMED_DAY, 3), month(_NAMED_DAY, 2), part(_NAMED_DAY, 1)),
+        made(year(_NAMED_MONTH, 3), month(_NAMED_MONTH, 1), part(_NAMED_MONTH, 2)),
+    )
     return F.date_format(day, "dd/MM/yyyy")
 
 
+def hour_repair(before: Column, here: Column, after: Column) -> Column:
+    """A clock whose hour differs in one digit from that of both neighbours, with minutes between theirs, gets their hour."""
+    hour, minute = (lambda c: F.substring(c, 1, 2)), (lambda c: F.substring(c, 4, 2))
+    clocks = [c.rlike(r"^(?:[01]\d|2[0-3]):[0-5]\d$") for c in (before, here, after)]
+    one = F.levenshtein(hour(here), hour(before)) == 1
+    fits = minute(here).between(F.least(minute(before), minute(after)), F.greatest(minute(before), minute(after)))
+    wrong = clocks[0] & clocks[1] & clocks[2] & (hour(before) == hour(after)) & (hour(here) != hour(before)) & one & fits
+    return F.when(F.coalesce(wrong, F.lit(False)), F.concat(hour(before), F.lit(":"), minute(here))).otherwise(here)
+
+
 def years(c: Column) -> Column:
     """The years from 2000 to 2099 that a text names, in order."""
     return F.regexp_extract_all(c, F.lit(r"\b(20\d{2})\b"), 1)

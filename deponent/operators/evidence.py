@@ -8,11 +8,16 @@ from pyspark.sql import functions as F
 
 from deponent.functions import dates as D
 from deponent.functions import text as T
-from deponent.operators.scan import carry_forward
+from deponent.operators.scan import carry_forward, lagged
+from deponent.session import lookup_join
 
 AMOUNT = r"((?:[$€£]|\b(?:USD|PHP|EUR|GBP)\s?)\d[\d,]*(?:\.\d{2})?)"
-# Weights of cues for a name on a side: the name says itself, is greeted by the other side, is spoken of.
-CUES = {"self": 8, "address": 6, "mention": -2}
+# What evidence counts for a pair of names as (left, right). A cue is worth one thing if it fits the side's name, another if the other
+# side's, and another if neither's; a name only spoken of loses a little for each time, and remembered sides, the complainant and passages of documents that name both speak for a pair.
+SELF_FITS, SELF_ELSE = 125, -165
+ADDRESS_FITS, ADDRESS_TURNED, ADDRESS_ELSE = 20, 8, -35
+MENTION_LOSS, MENTION_MOST = 10, 30
+SIDE_KEPT, PAIR_KEPT, PAIR_TURNED, COMPLAINANT, PASSAGE, PASSAGES_MOST = 18, 42, 14, 28, 6, 3
 
 
 def mail_headers(rows: DataFrame) -> DataFrame:
@@ -55,23 +60,124 @@ def identity_cues(rows: DataFrame, participants: DataFrame) -> DataFrame:
     return hit.select("row_id", "participant_id", cue.alias("cue"))
 
 
-def side_hypotheses(rows: DataFrame, conversations: DataFrame, most: int = 10) -> DataFrame:
-    """Ordered pairs of a conversation's names as (left, right), ranked: ``conv_key``, ``place``, ``left``, ``right``, ``score``.
+def _name(c) -> Column:
+    return F.lower(F.trim(c))
 
-    A pair scores by the rows sent by each name and by the names remembered for the sides. Names are the conversation's
-    senders; the best 16 by rows take part, so pairs are bounded. Cues in messages and contradictions are not weighed, and a
-    remembered name with few rows may be cut (see the README).
+
+def side_cues(rows: DataFrame, conversations: DataFrame, participants: DataFrame) -> DataFrame:
+    """Cues of chat rows whose sender is the remembered name of a side: ``conv_key``, ``side``, ``cue``, ``name``, ``n``, added up."""
+    chat = rows.filter("source_kind = 'chat' and conv_key is not null")
+    sides = conversations.groupBy("conv_key").agg(F.min(F.struct(_name("left_name").alias("l"), _name("right_name").alias("r"))).alias("x")).select("conv_key", "x.*")
+    sided = lookup_join(chat.select("row_id", "conv_key", "sender"), sides, "conv_key").withColumn("side", F.when(_name("sender") == F.col("l"), "LEFT").when(_name("sender") == F.col("r"), "RIGHT")).filter("side is not null")
+    said = identity_cues(chat, participants).join(sided.select("row_id", "conv_key", "side"), "row_id")
+    named = participants.filter("full_name is not null").select("participant_id", _name("full_name").alias("name"))
+    return said.join(named, "participant_id").groupBy("conv_key", "side", "cue", "name").agg(F.count("*").alias("n"))
+
+
+def passage_pairs(documents: DataFrame, participants: DataFrame) -> DataFrame:
+    """Pairs of a case's parties whom one paragraph of its documents names: ``case_id``, ``a``, ``b`` (a < b), ``n`` paragraphs."""
+    p = documents.filter("case_id is not null and text is not null").select("case_id", "doc_id", F.posexplode(F.split(F.lower("text"), r"\n\s*\n")).alias("pos", "body"))
+    names = participants.filter("full_name is not null and case_id is not null").select("case_id", _name("full_name").alias("k")).distinct().withColumn("t", F.get(T.words(F.col("k")), 0))
+    words = p.select("case_id", "doc_id", "pos", "body", F.explode(F.array_distinct(T.words(F.col("body")))).alias("t"))
+    held = words.join(names, ["case_id", "t"]).filter(F.contains(F.col("body"), F.col("k"))).groupBy("case_id", "doc_id", "pos").agg(F.array_sort(F.collect_set("k")).alias("ks")).filter("size(ks) > 1")
+    pairs = held.select("case_id", F.explode("ks").alias("a"), "ks").select("case_id", "a", F.explode("ks").alias("b")).filter("a < b")
+    return pairs.groupBy("case_id", "a", "b").agg(F.count("*").alias("n"))
+
+
+def side_hypotheses(rows: DataFrame, conversations: DataFrame, participants: DataFrame, documents: DataFrame, most: int = 10, names: int = 16) -> DataFrame:
+    """Ordered pairs of a conversation's names as (left, right), best first: ``conv_key``, ``place``, ``left``, ``right``, ``score``, ``hard``, ``strong``.
+
+    Names are those remembered for the sides, those that cues name and the senders, at most ``names`` in this order, then by
+    their number; so pairs are bounded. Pairs are scored by the weighted evidence, those that a hard cue contradicts
+    (``hard``: somebody else names themselves) are left out where a pair without any exists, and the rest is ordered by
+    contradictions, score, fitting cues, kept sides, passages, the complainant, and the names.
+    """
+    cues = side_cues(rows, conversations, participants)
+    chat = rows.filter("source_kind = 'chat' and conv_key is not null")
+    state = conversations.groupBy("conv_key").agg(F.min(F.struct("case_id", _name("left_name").alias("kl"), _name("right_name").alias("kr"))).alias("x")).select("conv_key", "x.*")
+    sent = chat.filter(~T.is_unresolved(F.col("sender"))).groupBy("conv_key", _name("sender").alias("name")).agg(F.count("*").alias("n")).withColumn("rank", F.lit(3))
+    told = cues.groupBy("conv_key", "name").agg(F.sum("n").alias("n")).withColumn("rank", F.lit(2))
+    kept = state.select("conv_key", F.explode(F.array("kl", "kr")).alias("name")).filter(~T.is_unresolved(F.col("name"))).withColumns({"n": F.lit(0), "rank": F.lit(1)})
+    pool = sent.unionByName(told).unionByName(kept).groupBy("conv_key", "name").agg(F.min("rank").alias("rank"), F.sum("n").alias("n"))
+    first = F.row_number().over(Window.partitionBy("conv_key").orderBy("rank", F.desc("n"), "name"))
+    chosen = pool.withColumn("k", first).filter(F.col("k") <= names).select("conv_key", "name")
+    pairs = chosen.withColumnRenamed("name", "left").join(chosen.withColumnRenamed("name", "right"), "conv_key").filter("left <> right")
+
+    sender, receiver = F.when(F.col("side") == "LEFT", F.col("left")).otherwise(F.col("right")), F.when(F.col("side") == "LEFT", F.col("right")).otherwise(F.col("left"))
+    is_sender, is_receiver, own, greeted = F.col("name") == sender, F.col("name") == receiver, F.col("cue") == "self", F.col("cue") == "address"
+    worth = F.when(own, F.when(is_sender, SELF_FITS).otherwise(SELF_ELSE)).when(greeted, F.when(is_receiver, ADDRESS_FITS).when(is_sender, ADDRESS_TURNED).otherwise(ADDRESS_ELSE)).otherwise(0)
+    fits = (own & is_sender) | (greeted & is_receiver)
+    count = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    loss = lambda x: F.when((F.col(f"m{x}") > 0) & (F.col(f"s{x}") == 0), F.least(F.lit(MENTION_MOST), MENTION_LOSS * F.col(f"m{x}"))).otherwise(0)
+    weighed = pairs.join(cues, "conv_key", "left").groupBy("conv_key", "left", "right").agg(
+        F.coalesce(F.sum(worth * F.col("n")), F.lit(0)).alias("cues"), count(own & ~is_sender).alias("hard"), count(fits).alias("strong"),
+        *[count((F.col("cue") == "mention") & (F.col("name") == F.col(x))).alias(f"m{x}") for x in ("left", "right")], *[count(fits & (F.col("name") == F.col(x))).alias(f"s{x}") for x in ("left", "right")],
+    )
+    primary = participants.filter("case_role = 'complainant' and full_name is not null and case_id is not null").groupBy("case_id").agg(F.collect_set(_name("full_name")).alias("primary"))
+    known = lookup_join(lookup_join(weighed, state, "conv_key"), primary, "case_id")
+    both = passage_pairs(documents, participants).select("case_id", "a", "b", F.least("n", F.lit(PASSAGES_MOST)).alias("passages"))
+    full = known.withColumns({"a": F.least("left", "right"), "b": F.greatest("left", "right")}).join(both, ["case_id", "a", "b"], "left")
+    yes = lambda c, n: F.when(F.coalesce(c, F.lit(False)), n).otherwise(0)
+    same, turned = (F.col("left") == F.col("kl")) & (F.col("right") == F.col("kr")), (F.col("left") == F.col("kr")) & (F.col("right") == F.col("kl"))
+    party = F.arrays_overlap("primary", F.array("left", "right"))
+    support = F.coalesce("passages", F.lit(0))
+    score = F.col("cues") - loss("left") - loss("right") + yes(F.col("left") == F.col("kl"), SIDE_KEPT) + yes(F.col("right") == F.col("kr"), SIDE_KEPT) + yes(same, PAIR_KEPT) + yes(turned, PAIR_TURNED) + yes(party, COMPLAINANT) + PASSAGE * support
+    scored = full.select("conv_key", "left", "right", score.alias("score"), "hard", "strong", yes(same, 1).alias("same"), support.alias("passages"), yes(party, 1).alias("party"))
+    clean = F.min("hard").over(Window.partitionBy("conv_key")) == 0
+    order = Window.partitionBy("conv_key").orderBy("hard", F.desc("score"), F.desc("strong"), F.desc("same"), F.desc("passages"), F.desc("party"), "left", "right")
+    left = scored.withColumn("_clean", clean).filter(~F.col("_clean") | (F.col("hard") == 0))
+    return left.withColumn("place", F.row_number().over(order).cast("long")).filter(F.col("place") <= most).select("conv_key", "place", "left", "right", "score", "hard", "strong")
+
+
+def side_votes(rows: DataFrame, conversations: DataFrame) -> DataFrame:
+    """How much each remembered side of a conversation says: ``conv_key``, ``side``, ``rows``, ``chars``."""
+    sides = conversations.groupBy("conv_key").agg(F.min(F.struct(_name("left_name").alias("l"), _name("right_name").alias("r"))).alias("x")).select("conv_key", "x.*")
+    chat = rows.filter("source_kind = 'chat' and conv_key is not null").select("conv_key", _name("sender").alias("s"), F.length(F.coalesce("message", F.lit(""))).alias("n"))
+    side = F.when(F.col("s") == F.col("l"), "LEFT").when(F.col("s") == F.col("r"), "RIGHT").otherwise("UNKNOWN")
+    return lookup_join(chat, sides, "conv_key").groupBy("conv_key", side.alias("side")).agg(F.count("*").alias("rows"), F.sum("n").alias("chars"))
+
+
+def continuations(rows: DataFrame, block: Column, minutes: int = 1) -> DataFrame:
+    """Chat rows joined to the one before that they go on with: ``row_id`` of each run's first row, ``parts`` and ``message``, runs of two or more.
+
+    The row before must be of the same sender and day, at most ``minutes`` off where both times are known. Runs are found over blocks.
+    """
+    m = rows.filter("source_kind = 'chat' and conv_key is not null and message is not null").select("row_id", "conv_key", "source_row", F.coalesce("sender", F.lit("")).alias("sender"), "message", D.row_time(F.col("msg_timestamp")).alias("ts")).withColumn("_block", block)
+    order = ["source_row", "row_id"]
+    near = lagged(m, ["conv_key"], "_block", order, {"_who": "sender", "_said": "message", "_then": "ts"})
+    apart = (F.to_date("ts") != F.to_date("_then")) | (F.abs(F.unix_timestamp("ts") - F.unix_timestamp("_then")) > 60 * minutes)
+    goes_on = F.coalesce(F.col("_who") == F.col("sender"), F.lit(False)) & ~F.coalesce(apart, F.lit(False)) & T.continues(F.col("_said"), F.col("message"))
+    starts = near.withColumn("_start", F.when(~goes_on, F.struct(*order)))
+    runs = carry_forward(starts, ["conv_key"], "_block", order, {"_run": F.col("_start")})
+    told = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, "message"))), lambda x: x["message"]), " ")
+    return runs.groupBy("conv_key", "_run").agg(F.count("*").alias("parts"), T.clean_message(told).alias("message")).filter("parts > 1").select(F.col("_run.row_id").alias("row_id"), "parts", "message")
+
+
+def screen_coverage(bubbles: DataFrame, rows: DataFrame, least: float = 0.58) -> DataFrame:
+    """Bubbles of screens with the best overlap of their words with a row of the same screen: ``doc``, ``screen``, ``bubble``, ``best``, ``covered``.
+
+    A side that both know must agree. Screens hold a few bubbles and rows, which are compared each with each. Bubbles without
+    rows have 0; those that are not covered are missing from the rows.
+    """
+    b = bubbles.select("doc", "screen", "bubble", F.col("side").alias("bs"), T.words(F.col("text")).alias("bw"))
+    r = rows.select("doc", "screen", F.col("side").alias("rs"), T.words(F.col("message")).alias("rw"))
+    agree = ~(F.col("bs").isin("LEFT", "RIGHT") & F.col("rs").isin("LEFT", "RIGHT") & (F.col("bs") != F.col("rs")))
+    ratio = F.when(F.coalesce(agree, F.lit(True)), F.coalesce(T.overlap_ratio(F.col("bw"), F.col("rw")), F.lit(0.0))).otherwise(0.0)
+    best = b.join(r, ["doc", "screen"], "left").groupBy("doc", "screen", "bubble").agg(F.round(F.max(ratio), 4).alias("best"))
+    return best.withColumn("covered", F.col("best") >= least)
+
+
+def text_lines(blocks: DataFrame) -> DataFrame:
+    """Blocks of a screen as lines of reading: ``doc``, ``screen``, ``line``, ``side``, ``text``; neighbours down the screen share a line if they overlap by half of the lower one.
+
+    A line is cut where a block begins below the middle of the one above it; blocks of a line are read from left to right.
     """
-    sent = rows.filter("source_kind = 'chat' and conv_key is not null").filter(~T.is_unresolved(F.col("sender"))).groupBy("conv_key", F.trim("sender").alias("name")).agg(F.count("*").alias("n"))
-    k = F.row_number().over(Window.partitionBy("conv_key").orderBy(F.desc("n"), "name"))
-    names = sent.withColumn("k", k).filter("k <= 16").drop("k")
-    a, b = names.select("conv_key", F.col("name").alias("left"), F.col("n").alias("ln")), names.select("conv_key", F.col("name").alias("right"), F.col("n").alias("rn"))
-    pairs = a.join(b, "conv_key").filter("left <> right")
-    known = conversations.select("conv_key", F.lower(F.trim("left_name")).alias("kl"), F.lower(F.trim("right_name")).alias("kr"))
-    score = F.col("ln") + F.col("rn") + F.when(F.lower("left") == F.col("kl"), 50).otherwise(0) + F.when(F.lower("right") == F.col("kr"), 50).otherwise(0)
-    scored = pairs.join(known, "conv_key", "left").select("conv_key", "left", "right", score.alias("score"))
-    place = F.row_number().over(Window.partitionBy("conv_key").orderBy(F.desc("score"), "left", "right"))
-    return scored.withColumn("place", place.cast("long")).filter(F.col("place") <= most)
+    w = Window.partitionBy("doc", "screen", "side").orderBy("y", "x", "block")
+    before = F.lag(F.struct("y", "h")).over(w)
+    new = before.isNull() | (F.col("y") > before["y"] + before["h"] / 2)
+    numbered = blocks.withColumn("_new", new.cast("int")).withColumn("line", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    told = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "block", "text"))), lambda x: x["text"]), " ")
+    return numbered.groupBy("doc", "screen", "side", "line").agg(T.squeeze(told).alias("text"))
 
 
 def clear_counterparts(rows: DataFrame, least: int = 4, margin: int = 2) -> DataFrame:

@@ -12,24 +12,10 @@ from deponent.functions import text as T
 from deponent.operators import dedupe, evidence, files, identity, joins, merge, retrieval, sequence, timestamps
 from deponent.operators.ordering import number_in_order
 from deponent.operators.scan import carry_forward, lagged
+from deponent.plans import fixtures  # noqa: F401  (registers its queries)
+from deponent.plans.registry import QUERIES, SQL, query
 from deponent.session import lookup_join, table
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a query under its function's name, with its SQL where there is one."""
-
-    def add(f):
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 # Pieces of SQL that several queries share. The white space is that of both engines' regular expressions.
 _TRIM = r"regexp_replace({0}, '^[\s\x{{00A0}}\x{{202F}}]+|[\s\x{{00A0}}\x{{202F}}]+$', '', 'g')"
 _SQUEEZE = r"trim(regexp_replace({0}, '[\s\x{{00A0}}\x{{0085}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}\x{{1680}}\x0B]+', ' ', 'g'))"
@@ -506,13 +492,103 @@ def identity_cues(spark: SparkSession, d: str) -> DataFrame:
     return evidence.identity_cues(table(spark, d, "mass_extract"), table(spark, d, "case_participants"))
 
 
-@query(f"""WITH s AS (SELECT conv_key, trim(sender) AS name, count(*) AS n FROM mass_extract WHERE source_kind = 'chat' AND conv_key IS NOT NULL AND NOT {_UNRESOLVED.format('sender')} GROUP BY 1, 2),
-k AS (SELECT *, row_number() OVER (PARTITION BY conv_key ORDER BY n DESC, name) AS k FROM s),
-p AS (SELECT a.conv_key, a.name AS l, b.name AS r, a.n + b.n + CASE WHEN lower(a.name) = lower(trim(c.left_name)) THEN 50 ELSE 0 END + CASE WHEN lower(b.name) = lower(trim(c.right_name)) THEN 50 ELSE 0 END AS score
-  FROM k a JOIN k b ON a.conv_key = b.conv_key AND a.name <> b.name LEFT JOIN conversation_state c ON c.conv_key = a.conv_key WHERE a.k <= 16 AND b.k <= 16)
-SELECT conv_key, l AS "left", r AS "right", score, place FROM (SELECT *, row_number() OVER (PARTITION BY conv_key ORDER BY score DESC, l, r) AS place FROM p) WHERE place <= 10""")
+_CUED = rf"""p AS (SELECT case_id, participant_id, {_WORDS.format('full_name')}[1] AS w FROM case_participants WHERE full_name IS NOT NULL AND case_id IS NOT NULL),
+t AS (SELECT row_id, case_id, lower(message) AS m, unnest(list_distinct({_WORDS.format('message')})) AS w FROM mass_extract WHERE message IS NOT NULL AND case_id IS NOT NULL),
+ic AS (SELECT row_id, participant_id, CASE WHEN regexp_matches(m, '\b(i''m|i am|this is|my name is) ' || p.w || '\b') THEN 'self' WHEN regexp_matches(m, '(^|[.!?,\n] ?)(hi|hello|dear|good day),? ' || p.w || '\b') OR regexp_matches(m, '(^|\n)' || p.w || ',? please') THEN 'address' ELSE 'mention' END AS cue
+  FROM t JOIN p ON p.case_id = t.case_id AND p.w = t.w WHERE length(p.w) >= 3),
+st AS (SELECT conv_key, case_id, lower(trim(left_name)) AS l, lower(trim(right_name)) AS r FROM conversation_state),
+chat AS (SELECT row_id, conv_key, sender, lower(trim(sender)) AS s FROM mass_extract WHERE source_kind = 'chat' AND conv_key IS NOT NULL),
+sided AS (SELECT row_id, conv_key, CASE WHEN s = l THEN 'LEFT' ELSE 'RIGHT' END AS side FROM chat JOIN st USING (conv_key) WHERE s = l OR s = r),
+cues AS (SELECT conv_key, side, cue, lower(trim(full_name)) AS name, count(*) AS n FROM ic JOIN sided USING (row_id) JOIN case_participants c USING (participant_id) WHERE full_name IS NOT NULL GROUP BY ALL)"""
+
+
+@query(f"WITH {_CUED} SELECT conv_key, side, cue, name, n FROM cues")
+def side_cues(spark: SparkSession, d: str) -> DataFrame:
+    return evidence.side_cues(*(table(spark, d, n) for n in ("mass_extract", "conversation_state", "case_participants")))
+
+
+_PASSAGES = r"""para AS (SELECT case_id, doc_id, unnest(string_split_regex(lower(text), '\n\s*\n')) AS body, generate_subscripts(string_split_regex(lower(text), '\n\s*\n'), 1) AS pos FROM documents WHERE case_id IS NOT NULL AND text IS NOT NULL),
+nm AS (SELECT DISTINCT case_id, lower(trim(full_name)) AS k FROM case_participants WHERE full_name IS NOT NULL AND case_id IS NOT NULL),
+held AS (SELECT DISTINCT para.case_id, doc_id, pos, k FROM para JOIN nm ON nm.case_id = para.case_id AND contains(body, k)),
+passages AS (SELECT x.case_id, x.k AS a, y.k AS b, count(*) AS n FROM held x JOIN held y ON x.case_id = y.case_id AND x.doc_id = y.doc_id AND x.pos = y.pos AND x.k < y.k GROUP BY 1, 2, 3)"""
+
+
+@query(f"WITH {_PASSAGES} SELECT case_id, a, b, n FROM passages")
+def passage_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return evidence.passage_pairs(table(spark, d, "documents"), table(spark, d, "case_participants"))
+
+
+@query(f"""WITH {_CUED}, {_PASSAGES},
+pool AS (SELECT conv_key, name, min(k) AS k, sum(n) AS n FROM (SELECT conv_key, s AS name, count(*) AS n, 3 AS k FROM chat WHERE NOT {_UNRESOLVED.format('sender')} GROUP BY 1, 2
+  UNION ALL SELECT conv_key, name, sum(n), 2 FROM cues GROUP BY 1, 2 UNION ALL SELECT conv_key, x, 0, 1 FROM (SELECT conv_key, unnest([l, r]) AS x FROM st) WHERE NOT {_UNRESOLVED.format('x')}) GROUP BY 1, 2),
+chosen AS (SELECT conv_key, name FROM (SELECT *, row_number() OVER (PARTITION BY conv_key ORDER BY k, n DESC, name) AS place FROM pool) WHERE place <= 16),
+pairs AS (SELECT x.conv_key, x.name AS l, y.name AS r FROM chosen x JOIN chosen y ON x.conv_key = y.conv_key AND x.name <> y.name),
+each AS (SELECT pairs.*, cue, name, n, CASE WHEN side = 'LEFT' THEN l ELSE r END AS snd, CASE WHEN side = 'LEFT' THEN r ELSE l END AS rcv FROM pairs LEFT JOIN cues USING (conv_key)),
+weighed AS (SELECT conv_key, l, r, coalesce(sum(n * CASE WHEN cue = 'self' THEN CASE WHEN name = snd THEN 125 ELSE -165 END WHEN cue = 'address' THEN CASE WHEN name = rcv THEN 20 WHEN name = snd THEN 8 ELSE -35 END ELSE 0 END), 0) AS w,
+  coalesce(sum(n) FILTER (WHERE cue = 'self' AND name <> snd), 0) AS hard, coalesce(sum(n) FILTER (WHERE (cue = 'self' AND name = snd) OR (cue = 'address' AND name = rcv)), 0) AS strong,
+  coalesce(sum(n) FILTER (WHERE cue = 'mention' AND name = l), 0) AS ml, coalesce(sum(n) FILTER (WHERE cue = 'mention' AND name = r), 0) AS mr,
+  coalesce(sum(n) FILTER (WHERE ((cue = 'self' AND name = snd) OR (cue = 'address' AND name = rcv)) AND name = l), 0) AS sl, coalesce(sum(n) FILTER (WHERE ((cue = 'self' AND name = snd) OR (cue = 'address' AND name = rcv)) AND name = r), 0) AS sr FROM each GROUP BY 1, 2, 3),
+pri AS (SELECT case_id, list(DISTINCT lower(trim(full_name))) AS names FROM case_participants WHERE case_role = 'complainant' AND full_name IS NOT NULL AND case_id IS NOT NULL GROUP BY 1),
+known AS (SELECT w.*, coalesce(w.l = st.l AND w.r = st.r, false) AS same, coalesce(w.l = st.r AND w.r = st.l, false) AS turned, coalesce(w.l = st.l, false) AS lk, coalesce(w.r = st.r, false) AS rk,
+  coalesce(list_contains(names, w.l) OR list_contains(names, w.r), false) AS party, least(coalesce(passages.n, 0), 3) AS passages
+  FROM weighed w LEFT JOIN st USING (conv_key) LEFT JOIN pri ON pri.case_id = st.case_id LEFT JOIN passages ON passages.case_id = st.case_id AND passages.a = least(w.l, w.r) AND passages.b = greatest(w.l, w.r)),
+scored AS (SELECT *, w - CASE WHEN ml > 0 AND sl = 0 THEN least(30, 10 * ml) ELSE 0 END - CASE WHEN mr > 0 AND sr = 0 THEN least(30, 10 * mr) ELSE 0 END + CASE WHEN lk THEN 18 ELSE 0 END + CASE WHEN rk THEN 18 ELSE 0 END
+  + CASE WHEN same THEN 42 ELSE 0 END + CASE WHEN turned THEN 14 ELSE 0 END + CASE WHEN party THEN 28 ELSE 0 END + 6 * passages AS score, min(hard) OVER (PARTITION BY conv_key) AS cleanest FROM known)
+SELECT conv_key, place, l AS "left", r AS "right", score, hard, strong FROM (SELECT *, row_number() OVER (PARTITION BY conv_key ORDER BY hard, score DESC, strong DESC, same DESC, passages DESC, party DESC, l, r) AS place FROM scored WHERE cleanest > 0 OR hard = 0) WHERE place <= 10""")
 def hypothesis_ranking(spark: SparkSession, d: str) -> DataFrame:
-    return evidence.side_hypotheses(table(spark, d, "mass_extract"), table(spark, d, "conversation_state"))
+    return evidence.side_hypotheses(*(table(spark, d, n) for n in ("mass_extract", "conversation_state", "case_participants", "documents")))
+
+
+@query("""SELECT m.conv_key, CASE WHEN lower(trim(m.sender)) = lower(trim(s.left_name)) THEN 'LEFT' WHEN lower(trim(m.sender)) = lower(trim(s.right_name)) THEN 'RIGHT' ELSE 'UNKNOWN' END AS side, count(*) AS rows, sum(length(coalesce(message, ''))) AS chars
+  FROM mass_extract m LEFT JOIN conversation_state s USING (conv_key) WHERE m.source_kind = 'chat' AND m.conv_key IS NOT NULL GROUP BY 1, 2""")
+def side_votes(spark: SparkSession, d: str) -> DataFrame:
+    return evidence.side_votes(table(spark, d, "mass_extract"), table(spark, d, "conversation_state"))
+
+
+_HUMAN_NAME = r"""(length({0}) <= 80 AND len(string_split({0}, ' ')) BETWEEN 2 AND 5 AND len(list_filter(string_split({0}, ' '), lambda w: NOT regexp_matches(w, '^([A-Z][A-Za-z''’-]*|[A-Z]\.)$'))) = 0
+  AND NOT list_has_any(list_transform(string_split({0}, ' '), lambda w: lower(regexp_replace(w, '^[.''"-]+|[.''"-]+$', '', 'g'))), string_split('account advisor agency alleged amount application army bank case chat chronology clinic company complainant complaint consult consultancy consulting contact corps country customs date department description details document email evidence facebook financial findings fraud full hospital identity incident information investigation investment legal location marine matter messenger moneygram name narrative office overview package payment platform police receiver report reported representative section sender service shipping statement subject summary support suspect suspected team time timeline transaction transfer viber victim website witness', ' ')))"""
+_NAME_BODY = r"regexp_replace({0}, '^[\s,;:.()\[\]{{}}\"'']+|[\s,;:.()\[\]{{}}\"'']+$', '', 'g')"
+
+
+@query(f"""SELECT DISTINCT case_id, name FROM (SELECT case_id, name, {_NAME_BODY.format(_SQUEEZE.format('name'))} AS body FROM (SELECT case_id, unnest([sender, receiver]) AS name FROM mass_extract WHERE case_id IS NOT NULL)) WHERE {_HUMAN_NAME.format('body')}""")
+def human_names(spark: SparkSession, d: str) -> DataFrame:
+    """Senders and receivers that are written as a person's full name."""
+    names = table(spark, d, "mass_extract").filter("case_id is not null").select("case_id", F.explode(F.array("sender", "receiver")).alias("name")).distinct()
+    return names.filter(T.is_human_name(F.col("name")))
+
+
+@query(f"""WITH c AS (SELECT DISTINCT case_id, name FROM (SELECT case_id, trim(full_name) AS name FROM case_participants WHERE case_id IS NOT NULL UNION ALL SELECT case_id, trim(regexp_extract(text, '(?m)^Statement of ([^\\n]+)$', 1)) FROM documents WHERE case_id IS NOT NULL AND regexp_matches(text, '(?m)^Statement of ([^\\n]+)$')
+  UNION ALL SELECT case_id, trim(unnest(regexp_extract_all(message, 'Full [Nn]ame:\\s*([A-Z][A-Za-z''’.-]*(?: [A-Z][A-Za-z''’.-]*)+)', 1))) FROM mass_extract WHERE case_id IS NOT NULL AND message IS NOT NULL))
+SELECT case_id, string_agg(name, '; ' ORDER BY name) AS names, count(*) AS n FROM (SELECT case_id, name, {_NAME_BODY.format(_SQUEEZE.format('name'))} AS body FROM c) WHERE {_HUMAN_NAME.format('body')} GROUP BY 1""".replace("\\\\", "\\"))
+def candidate_names(spark: SparkSession, d: str) -> DataFrame:
+    """The people a case may be about: its parties, those who made statements, and full names that messages give after a label."""
+    stated = evidence.statement_makers(table(spark, d, "documents")).join(table(spark, d, "documents").select("doc_id", "case_id"), "doc_id").select("case_id", "name")
+    given = table(spark, d, "mass_extract").filter("message is not null").select("case_id", F.explode(F.regexp_extract_all("message", F.lit(r"Full [Nn]ame:\s*([A-Z][A-Za-z'’.-]*(?: [A-Z][A-Za-z'’.-]*)+)"), 1)).alias("name"))
+    every = table(spark, d, "case_participants").select("case_id", F.col("full_name").alias("name")).unionByName(stated).unionByName(given)
+    names = every.filter("case_id is not null").select("case_id", F.trim("name").alias("name")).filter(T.is_human_name(F.col("name"))).distinct()
+    return names.groupBy("case_id").agg(F.array_join(F.array_sort(F.collect_list("name")), "; ").alias("names"), F.count("*").alias("n"))
+
+
+_STARTS = "and but because so that which with without for to of in on at by from as than my your our their the a an"
+_PLAIN_TEXT = _SQUEEZE.format(r"regexp_replace(message, '[\x{1F1E6}-\x{1F1FF}\x{1F300}-\x{1F64F}\x{1F680}-\x{1FAFF}\x{2600}-\x{27BF}\x{FE0E}\x{FE0F}\x{200D}]+', '', 'g')".replace("{", "{{").replace("}", "}}")).replace("{{", "{").replace("}}", "}")
+
+
+@query(rf"""SELECT row_id FROM (SELECT row_id, t, regexp_extract_all(t, '[A-Za-z'']+', 0) AS w FROM (SELECT row_id, {_PLAIN_TEXT} AS t FROM mass_extract WHERE message IS NOT NULL)) WHERE len(w) > 0 AND ((regexp_matches(t, '^[a-zà-ÿ]') AND len(w) <= 8 AND
+  (contains(t, '?') OR list_contains(string_split('{_STARTS} there then right', ' '), regexp_replace(lower(w[1]), '^''+|''+$', '', 'g')))) OR (len(w) <= 12 AND regexp_matches(t, '\b[a-z]{{2,}}\s+(The|I|I''m|I''ll|You|We|They)\b')))""")
+def message_fragments(spark: SparkSession, d: str) -> DataFrame:
+    """Messages that look like a piece of another."""
+    return table(spark, d, "mass_extract").filter(T.is_fragment(F.col("message"))).select("row_id")
+
+
+@query(rf"""WITH m AS (SELECT row_id, conv_key, source_row, coalesce(sender, '') AS s, message, {_ROW_TIME.format('msg_timestamp')} AS ts FROM mass_extract WHERE source_kind = 'chat' AND conv_key IS NOT NULL AND message IS NOT NULL),
+n AS (SELECT *, lag(s) OVER w AS who, trim(lag(message) OVER w) AS a, lag(ts) OVER w AS then_ts, trim(message) AS b, regexp_extract_all(trim(message), '[A-Za-z0-9'']+', 0) AS tk FROM m WINDOW w AS (PARTITION BY conv_key ORDER BY source_row, row_id)),
+f AS (SELECT *, lower(regexp_replace(tk[1], '[^A-Za-z'']+', '', 'g')) AS first, regexp_matches(b, '^[a-zà-ÿ]') AS small, NOT regexp_matches(a, '[.!?…]$') AS op FROM n),
+g AS (SELECT *, CASE WHEN who = s AND NOT coalesce(ts::DATE <> then_ts::DATE OR abs(epoch(ts)::BIGINT - epoch(then_ts)::BIGINT) > 60, false) AND coalesce(a <> '' AND len(tk) > 0 AND NOT (small AND contains(b, '?'))
+  AND ((op AND ((len(tk) <= 8 AND (small OR list_contains(string_split('{_STARTS} better', ' '), first))) OR len(tk) <= 3)) OR (len(tk) <= 2 AND regexp_matches(a, '[,;:]$') AND first NOT IN ('yes', 'no', 'ok', 'okay'))), false) THEN 0 ELSE 1 END AS fresh FROM f),
+r AS (SELECT *, sum(fresh) OVER (PARTITION BY conv_key ORDER BY source_row, row_id ROWS UNBOUNDED PRECEDING) AS run FROM g)
+SELECT arg_min(row_id, (source_row, row_id)) AS row_id, count(*) AS parts, trim(regexp_replace(regexp_replace(regexp_replace({_SQUEEZE.format("string_agg(message, ' ' ORDER BY source_row, row_id)")}, '\s+([,.?!:;])', '\1', 'g'), '([(\[{{])\s+', '\1', 'g'), '\s+([)\]}}])', '\1', 'g')) AS message FROM r GROUP BY conv_key, run HAVING count(*) > 1""")
+def continuation_merge(spark: SparkSession, d: str) -> DataFrame:
+    return evidence.continuations(table(spark, d, "mass_extract"), _row_block())
 
 
 @query(f"""WITH s AS (SELECT conv_key, trim(receiver) AS name, count(*) AS n FROM mass_extract WHERE source_kind = 'chat' AND conv_key IS NOT NULL AND NOT {_UNRESOLVED.format('receiver')} GROUP BY 1, 2),
@@ -588,8 +664,8 @@ def tumbling_events(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(SQL)
