@@ -145,3 +145,39 @@ def covered_recordings(segments: DataFrame) -> DataFrame:
     far = F.lit("9999-12-31").cast("timestamp")
     earlier = F.struct(F.coalesce("ax", far), F.col("rx")) < F.struct(F.coalesce("ay", far), F.col("ry"))
     return covers.join(turned, ["rx", "ry"], "left").filter(F.col("mutual").isNull() | ~earlier).select(F.col("rx").alias("recording_id"), F.col("ry").alias("covered_by"), "rows")
+
+
+def contained_neighbours(rows: DataFrame, key: list[str], block: str, order: list[str], side: str, message: str, most: int = 40) -> DataFrame:
+    """Rows with a short message that the same side's message just before or after contains, case and spacing aside. All columns of ``rows``.
+
+    ``block`` and ``order`` must be numbers, as rows are also read backwards. Null and empty messages contain and are contained in nothing.
+    """
+    m = rows.withColumn("_k", T.dedupe_key(F.col(message)))
+    ahead = lagged(m, key, block, order, {"_before": "_k", "_who": side})
+    turned = ahead.withColumns({"_block": -F.col(block), **{f"_o{i}": -F.col(c) for i, c in enumerate(order)}})
+    both = lagged(turned, key, "_block", [f"_o{i}" for i in range(len(order))], {"_after": "_k", "_next": side})
+    inside = lambda other, who: F.coalesce((F.col(who) == F.col(side)) & (F.length(other) > F.length("_k")) & F.contains(F.col(other), F.col("_k")), F.lit(False))
+    return both.filter((F.col("_k") != "") & (F.length("_k") < most) & (inside("_before", "_who") | inside("_after", "_next"))).select(*rows.columns)
+
+
+def ordered_union(parts: DataFrame, part: str, place: str, keys: list[str]) -> DataFrame:
+    """Rows of several parts in their order without those that an earlier one gives; null keys are equal to each other."""
+    return keep_first(parts, [F.col(k) for k in keys], [part, place])
+
+
+def best_recordings(rows: DataFrame, group: list[str], recording: str, offset: str | None = None) -> DataFrame:
+    """The recording of each group with the best evidence: ``group``, ``recording``, ``resolved``, ``people``, ``rows``, ``words``.
+
+    Recordings are compared by whether all participants are resolved, resolved fields, distinct people, rows, rows after the
+    start (where there is an ``offset``), words of speech, and then by name, the first of equal ones.
+    """
+    known = lambda c: ~T.is_unresolved(F.col(c))
+    name = lambda c: F.when(known(c), F.lower(F.trim(c)))
+    late = F.count_if(F.col(offset) > 0) if offset else F.lit(0)
+    people = F.size(F.array_union(F.collect_set(name("sender")), F.collect_set(name("receiver"))))
+    words = F.sum(F.size(F.filter(F.split(F.coalesce(T.spoken_key(F.col("message")), F.lit("")), " "), lambda x: x != "")))
+    each = rows.groupBy(*group, recording).agg((F.count_if(known("sender")) + F.count_if(known("receiver"))).alias("resolved"), people.alias("people"), F.count("*").alias("rows"), late.alias("late"), words.alias("words"))
+    rank = F.struct((F.col("resolved") == 2 * F.col("rows")).alias("whole"), "resolved", "people", "rows", "late", "words")
+    top = each.groupBy(*group).agg(F.max(rank).alias("top"))
+    first = each.withColumn("_rank", rank).join(top, group).filter(F.col("_rank") == F.col("top")).groupBy(*group).agg(F.min(F.struct(recording, "resolved", "people", "rows", "words")).alias("b"))
+    return first.select(*group, "b.*")

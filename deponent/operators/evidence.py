@@ -167,6 +167,36 @@ def screen_coverage(bubbles: DataFrame, rows: DataFrame, least: float = 0.58) ->
     return best.withColumn("covered", F.col("best") >= least)
 
 
+def added_rows(draft: DataFrame, repair: DataFrame, bubbles: DataFrame, least: float = 0.58) -> DataFrame:
+    """The draft's rows and those of a repair that give a bubble which no row of the draft gives: ``doc``, ``screen``, ``side``, ``message``, ``added``.
+
+    Of several repair rows for one bubble the best is added. A screen without a draft takes the whole repair. Screens hold a
+    few rows, which are compared each with each.
+    """
+    have = draft.select("doc", "screen").distinct()
+    missing = screen_coverage(bubbles, draft, least).filter("not covered").select("doc", "screen", "bubble")
+    open_ = bubbles.join(missing, ["doc", "screen", "bubble"], "left_semi").select("doc", "screen", "bubble", F.col("side").alias("bs"), T.words(F.col("text")).alias("bw"))
+    offers = repair.join(have, ["doc", "screen"], "left_semi").select("doc", "screen", "side", "message", T.words(F.col("message")).alias("w")).distinct()
+    pairs = offers.join(open_, ["doc", "screen"]).filter(F.coalesce(F.col("side") == F.col("bs"), F.lit(True))).withColumn("r", T.overlap_ratio(F.col("w"), F.col("bw"))).filter(F.col("r") >= least)
+    best = pairs.groupBy("doc", "screen", "bubble").agg(F.max_by(F.struct("side", "message"), F.struct("r", F.size("w"), "message")).alias("x")).select("doc", "screen", "x.side", "x.message").distinct()
+    alone = repair.join(have, ["doc", "screen"], "left_anti").select("doc", "screen", "side", "message")
+    return draft.select("doc", "screen", "side", "message", F.lit(False).alias("added")).unionByName(best.unionByName(alone).withColumn("added", F.lit(True)))
+
+
+def chosen_candidates(scored: DataFrame, slack: int = 3) -> DataFrame:
+    """The candidate of each screen: ``doc``, ``screen``, ``name``, from rows of ``name`` (draft, repair, additive), ``score``, ``rows``.
+
+    The draft stays unless another scores clearly better: by 1, or by 0.35 if it only adds rows. A candidate without rows or
+    with more than ``slack`` rows above the draft is no choice; a draft without rows gives way to any.
+    """
+    draft = scored.filter("name = 'draft'").select("doc", "screen", F.col("score").alias("ds"), F.col("rows").alias("dr"))
+    judged = scored.join(draft, ["doc", "screen"]).withColumn("ok", (F.col("name") == "draft") | ((F.col("rows") > 0) & ((F.col("dr") == 0) | (F.col("rows") <= F.col("dr") + slack))))
+    best = judged.filter("ok").groupBy("doc", "screen").agg(F.max_by(F.struct("name", "score"), F.struct("score", "rows", "name")).alias("b"), F.max_by(F.struct("name"), F.struct(F.col("rows") > 0, "score", "rows")).alias("any"), F.first("ds").alias("ds"), F.first("dr").alias("dr"))
+    margin = F.when(F.col("b.name") == "additive", 0.35).otherwise(1.0)
+    name = F.when(F.col("dr") == 0, F.col("any.name")).when(F.col("b.score") >= F.col("ds") + margin, F.col("b.name")).otherwise("draft")
+    return best.select("doc", "screen", name.alias("name"))
+
+
 def text_lines(blocks: DataFrame) -> DataFrame:
     """Blocks of a screen as lines of reading: ``doc``, ``screen``, ``line``, ``side``, ``text``; neighbours down the screen share a line if they overlap by half of the lower one.
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deponent.functions import text as T
+from deponent.operators.ordering import number_in_order
 
 # Suffixes by kind, words of a path by platform (the first platform that fits counts), weights of a report's name.
 IMAGES = ("png", "jpg", "jpeg", "webp", "bmp", "tif", "tiff")
@@ -50,11 +51,12 @@ def classified(files: DataFrame) -> DataFrame:
     return with_ext.withColumns({"kind": kind, "platform": platform(F.col("rel_path"))})
 
 
-def unique_stems(files: DataFrame) -> DataFrame:
-    """``file_id`` and a file-name stem; stems equal but for case get _002, _003, ... in the order of ids."""
+def unique_stems(files: DataFrame, block_files: int = 1 << 16) -> DataFrame:
+    """``file_id`` and a file-name stem; stems equal but for case get _002, _003, ... in the order of ids, counted over blocks of ids."""
     stems = files.filter("rel_path is not null").select("file_id", T.safe_stem(F.col("rel_path")).alias("stem"))
-    k = F.row_number().over(Window.partitionBy(F.lower("stem")).orderBy("file_id"))
-    return stems.withColumn("k", k).select("file_id", F.when(F.col("k") == 1, F.col("stem")).otherwise(F.concat("stem", F.lit("_"), F.format_string("%03d", F.col("k")))).alias("stem"))
+    keyed = stems.withColumns({"_low": F.lower("stem"), "_block": F.floor(F.col("file_id") / block_files)})
+    k = F.col("_k")
+    return number_in_order(keyed, ["_low"], "_block", ["file_id"], "_k").select("file_id", F.when(k == 1, F.col("stem")).otherwise(F.concat("stem", F.lit("_"), F.format_string("%03d", k))).alias("stem"))
 
 
 def report_score(path: Column) -> Column:

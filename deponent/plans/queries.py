@@ -335,12 +335,8 @@ n AS (SELECT *, lag(k) OVER v AS before, lag(sender) OVER v AS who, lead(k) OVER
 SELECT row_id FROM n WHERE k <> '' AND length(k) < 40 AND ((who = sender AND length(before) > length(k) AND contains(before, k)) OR (next = sender AND length(after) > length(k) AND contains(after, k)))""")
 def short_contained_duplicate(spark: SparkSession, d: str) -> DataFrame:
     """Short messages that the same sender's message just before or after contains."""
-    m = table(spark, d, "mass_extract").filter("source_kind = 'chat' and message is not null and conv_key is not null").select("row_id", "conv_key", "source_row", "sender", T.dedupe_key(F.col("message")).alias("k"))
-    ahead = lagged(m.withColumn("_block", _row_block()), ["conv_key"], "_block", ["source_row", "row_id"], {"before": "k", "who": "sender"})
-    turned = ahead.withColumns({"_block": -F.col("_block"), "_row": -F.col("source_row"), "_id": -F.col("row_id")})
-    n = lagged(turned, ["conv_key"], "_block", ["_row", "_id"], {"after": "k", "next": "sender"})
-    inside = lambda other, who: (F.col(who) == F.col("sender")) & (F.length(other) > F.length("k")) & F.contains(F.col(other), F.col("k"))
-    return n.filter((F.col("k") != "") & (F.length("k") < 40) & (F.coalesce(inside("before", "who"), F.lit(False)) | F.coalesce(inside("after", "next"), F.lit(False)))).select("row_id")
+    m = table(spark, d, "mass_extract").filter("source_kind = 'chat' and message is not null and conv_key is not null").select("row_id", "conv_key", "source_row", "sender", "message")
+    return dedupe.contained_neighbours(m.withColumn("_b", _row_block()), ["conv_key"], "_b", ["source_row", "row_id"], "sender", "message").select("row_id")
 
 
 @query()
@@ -569,6 +565,29 @@ def candidate_names(spark: SparkSession, d: str) -> DataFrame:
     return names.groupBy("case_id").agg(F.array_join(F.array_sort(F.collect_list("name")), "; ").alias("names"), F.count("*").alias("n"))
 
 
+@query(f"""SELECT DISTINCT label FROM (SELECT {_SQUEEZE.format('v')} AS label FROM (SELECT unnest([sender, receiver]) AS v FROM mass_extract WHERE source_kind = 'chat')) WHERE lower(label) IN ('possible offences', 'possible offenses', 'executive summary', 'incident summary', 'case overview', 'evidence package', 'matter reported', 'timeline', 'victim details', 'complainant details', 'suspect details', 'report summary')
+  OR list_has_any(regexp_split_to_array(lower(label), '[^\\p{{L}}\\p{{N}}]+'), string_split('offence offences offense offenses summary overview details evidence report timeline section subject victim complainant suspect sender receiver profile account contact information matter incident', ' '))""".replace("\\\\", "\\"))
+def heading_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Chat participants that are headings or labels of a report."""
+    names = table(spark, d, "mass_extract").filter("source_kind = 'chat'").select(F.explode(F.array("sender", "receiver")).alias("v")).select(T.squeeze(F.col("v")).alias("label")).distinct()
+    return names.filter(T.is_heading_label(F.col("label")))
+
+
+@query(r"""SELECT source_kind, count(*) FILTER (WHERE regexp_matches(message, '(?i)https?\s*:|www\s*\.|[@/\\_=`]|[\d€$£]|\w[.,;:!?…]\w|\b(?:password|passcode|username|login|api[_ -]?key)\b')) AS sensitive, count(*) AS rows FROM mass_extract GROUP BY 1""")
+def sensitive_messages(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "mass_extract").groupBy("source_kind").agg(F.count_if(T.is_sensitive(F.col("message"))).alias("sensitive"), F.count("*").alias("rows"))
+
+
+@query(f"""WITH r AS (SELECT case_id, source_csv, NOT {_UNRESOLVED.format('sender')} AS s, NOT {_UNRESOLVED.format('receiver')} AS r, lower(trim(sender)) AS sn, lower(trim(receiver)) AS rn, message FROM mass_extract WHERE source_kind = 'audio' AND case_id IS NOT NULL AND source_csv IS NOT NULL),
+k AS (SELECT case_id, source_csv, count(*) FILTER (WHERE s) + count(*) FILTER (WHERE r) AS resolved, len(list_distinct(list_concat(coalesce(list(sn) FILTER (WHERE s), []), coalesce(list(rn) FILTER (WHERE r), [])))) AS people, count(*) AS rows,
+  sum(len(list_filter(string_split({_SQUEEZE.format(r"regexp_replace(lower(replace(coalesce(message, ''), '’', chr(39))), '[^\p{L}\p{N}_\s]', ' ', 'g')")}, ' '), lambda x: x <> ''))) AS words FROM r GROUP BY 1, 2)
+SELECT case_id, source_csv, resolved, people, rows, words FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY resolved = 2 * rows DESC, resolved DESC, people DESC, rows DESC, words DESC, source_csv) AS place FROM k) WHERE place = 1""")
+def best_recording_copy(spark: SparkSession, d: str) -> DataFrame:
+    """The audio transcript of each case with the best evidence."""
+    rows = table(spark, d, "mass_extract").filter("source_kind = 'audio' and case_id is not null and source_csv is not null")
+    return dedupe.best_recordings(rows, ["case_id"], "source_csv")
+
+
 _STARTS = "and but because so that which with without for to of in on at by from as than my your our their the a an"
 _PLAIN_TEXT = _SQUEEZE.format(r"regexp_replace(message, '[\x{1F1E6}-\x{1F1FF}\x{1F300}-\x{1F64F}\x{1F680}-\x{1FAFF}\x{2600}-\x{27BF}\x{FE0E}\x{FE0F}\x{200D}]+', '', 'g')".replace("{", "{{").replace("}", "}}")).replace("{{", "{").replace("}}", "}")
 

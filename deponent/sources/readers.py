@@ -118,6 +118,15 @@ def json_object(c: Column, schema: str) -> Column:
     return F.from_json(F.regexp_extract(bare, r"(?s)(\{.*\})", 1), schema, {"mode": "PERMISSIVE"})
 
 
+def strict_json_object(c: Column, schema: str) -> Column:
+    """struct<value, error> of a model's answer: an answer without a whole object has the error that says so and no value."""
+    bare = F.regexp_replace(F.regexp_replace(F.trim(c), r"(?i)^```(?:json)?\s*", ""), r"\s*```$", "")
+    body = F.regexp_extract(bare, r"(?s)(\{.*\})", 1)
+    whole = F.try_parse_json(F.nullif(body, F.lit(""))).isNotNull()
+    error = F.when(F.coalesce(body, F.lit("")) == "", "no object").when(~whole, "broken object")
+    return F.struct(F.when(error.isNull(), F.from_json(body, schema)).alias("value"), error.alias("error"))
+
+
 def inventory(spark: SparkSession, root: str) -> DataFrame:
     """All files under ``root`` but those in folders without evidence: ``rel_path``, ``length``, ``modified``, ``ext``, ``kind``, ``platform``."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(F.col("path"), "length", F.col("modificationTime").alias("modified"))
