@@ -26,7 +26,8 @@ def merged_transcript(rows: DataFrame) -> DataFrame:
 
     Rows of a case are ordered by time, unreadable times last, then by ``row_id``. Null cases form a case of their own.
     """
-    clean = readable_rows(rows).withColumn("message", T.final_message(F.col("message"))).filter("message <> ''")
+    # A message with a sign keeps one in the cleanup, so no row is lost by it; a filter here would have every message cleaned twice.
+    clean = readable_rows(rows).withColumn("message", T.final_message(F.col("message")))
     once = checkpointed(transcript_unique(clean).select("case_id", "row_id", "source_csv", "source_row", "source_kind", "msg_timestamp", "estimated", "sender", "receiver", "message").withColumn("_id", F.monotonically_increasing_id()))
     # Places are found for keys and times alone; the messages are joined once, at the end.
     final = renumbered(once.drop("sender", "receiver", "message")).withColumn("_ts", D.row_time(F.col("msg_timestamp"))).withColumn("_block", order_block(F.col("_ts"), F.col("row_id")))
