@@ -72,9 +72,13 @@ def shape(line: str) -> str:
     return re.sub(r"\s+", " ", re.sub(r"\d+", "9", line.strip().lower()))
 
 
+def hashed(shape: str) -> int:
+    """A signed 64-bit hash of a shape."""
+    return xxhash.xxh64_intdigest(shape) - 2**63
+
+
 def shape_key(line: str) -> int:
-    """A signed 64-bit hash of a line's shape."""
-    return xxhash.xxh64_intdigest(shape(line)) - 2**63
+    return hashed(shape(line))
 
 
 def _is_page(line: str) -> bool:
@@ -158,10 +162,11 @@ class Page:
 
     def __init__(self, message: str, seen: dict[int, tuple[int, int]]):
         self.lines = message.split("\n")
-        self.seen = [seen.get(shape_key(x), (0, 0)) if x and not x.isspace() else (0, 0) for x in self.lines] if seen else [(0, 0)] * len(self.lines)
+        shapes = [shape(x) if x and not x.isspace() else "" for x in self.lines]
+        self.seen = [seen.get(hashed(x), (0, 0)) if x else (0, 0) for x in shapes] if seen else [(0, 0)] * len(self.lines)
+        self.again = [min(2, n) for n in map(Counter(shapes).__getitem__, shapes)]
         filled = [k for k, x in enumerate(self.lines) if x and not x.isspace()]
         self.first, self.last = (filled[0], filled[-1]) if filled else (0, 0)
-        self.times = Counter(shape(x) for x in self.lines)
         long = [len(x) for x in self.lines if x.count(" ") >= 3]
         self.width = max(long, default=1)
         self.form = f"form{min(3, len(long))} {min(4, len(filled))} {min(3, sum(long) // 90)}"
@@ -174,6 +179,14 @@ class PageModel:
 
     def __init__(self):
         self.header, self.page = Perceptron(), Perceptron()
+        #: A first look at few features, with the least score that any title of the sample has, less a margin; other lines are text.
+        self.glance, self.least = Perceptron(), 0.0
+
+    @staticmethod
+    def first_features(page: Page, k: int, body: str) -> list[str]:
+        n, breaks = page.seen[k]
+        small = sum(map(str.islower, body.split()))
+        return ["bias", f"seen{min(3, n)}", f"share{4 * breaks // n if n else 'x'}", f"again{page.again[k]}", f"small{min(4, small)}", f"lead{body[0].isupper()}", f"end{body[-1] in '.,!?;:…'}", f"seen{min(3, n)} small{min(2, small)}"]
 
     @staticmethod
     def features(page: Page, k: int, line: str, before: str, after: str) -> list[str]:
@@ -188,7 +201,7 @@ class PageModel:
         size = f"words{min(12, len(words))} {min(4, len(body) // 40)}"
         lower = f"lower{min(3, sum(w.islower() and w not in _OPEN for w in words))}"
         signed = f"signed{_CLOSING.match(before) is not None} {before.rstrip()[-1:] in (',', ':')}"
-        again, fill = f"again{min(2, page.times[shape(line)])}", f"fill{min(4, 4 * len(body) // page.width)}"
+        again, fill = f"again{page.again[k]}", f"fill{min(4, 4 * len(body) // page.width)}"
         out = [
             "bias", share, f"seen{min(3, n)}", f"upper{int(4 * upper)}", size, page.form, f"broken{broken}", f"numbered{numbered}", f"first{k == page.first}", f"last{k == page.last}", f"end{end}", lead, lower,
             f"field{_FIELD.match(body) is not None}", f"bullet{_BULLET.match(body) is not None}", f"closing{_CLOSING.match(body) is not None}", f"bars{'|' in body or ' / ' in body or '   ' in body}",
@@ -223,14 +236,16 @@ class PageModel:
                 often = n >= 3 and breaks >= 0.25 * n and page.wrapped
                 plain = not page.wrapped or _FIELD.match(line) or _BULLET.match(line) or _CLOSING.match(line) or _CLOSING.match(before) and breaks < 0.5 * n or _ENDED.search(line) or line.rstrip()[-1] in ",:;" or "@" in line or line.split()[-1].lower() in _OPEN
                 if plain:
-                    heads.append((self.features(page, k, line, before, after), False))
+                    heads.append((self.first_features(page, k, line.strip()), False, (page, k, line, before, after)))
                 elif often:
                     words = line.split()
                     if words[0][0].isupper() and sum(w.islower() and w not in _OPEN for w in words) <= 1:
-                        heads.append((self.features(page, k, line, before, after), True))
+                        heads.append((self.first_features(page, k, line.strip()), True, (page, k, line, before, after)))
                 elif n < 3 or breaks < 0.12 * n:
-                    heads.append((self.features(page, k, line, before, after), False))
-        self.header.fit(_choices(heads))
+                    heads.append((self.first_features(page, k, line.strip()), False, (page, k, line, before, after)))
+        self.glance.fit(_choices([(first, yes) for first, yes, _ in heads]))
+        self.least = min((self.glance.score(first) for first, yes, _ in heads if yes), default=0.0) - 1.0
+        self.header.fit(_choices([(self.features(*line), yes) for first, yes, line in heads if self.glance.score(first) >= self.least]))
         self.page.fit(_choices(pages))
         return self
 
@@ -243,7 +258,7 @@ class PageModel:
             if _is_page(line):
                 if self.page.score(self.page_features(page, k, line, before, after)) > 0:
                     kinds[k] = "page_number"
-            elif self.header.score(self.features(page, k, line, before, after)) > 0:
+            elif self.glance.score(self.first_features(page, k, line.strip())) >= self.least and self.header.score(self.features(page, k, line, before, after)) > 0:
                 kinds[k] = "header"
         return kinds
 
