@@ -217,8 +217,8 @@ class PageModel:
         bare = re.fullmatch(r"\d+|[ivxl]+", body.lower()) is not None
         near = [j for j in (k - 1, k + 1) if 0 <= j < len(page.lines)]
         title = any(page.seen[j][1] * 4 >= page.seen[j][0] >= 3 for j in near)
-        out = ["bias", form, f"bare{bare}", f"wrapped{page.wrapped}", page.form, f"broken{_interrupts(before, after)}", f"title{title}", f"sure{_SURE_PAGE.match(body) is not None}", f"blank{any(not page.lines[j].strip() for j in near)}"]
-        return [*out, out[2] + out[3], out[2] + out[5], out[2] + out[6], out[2] + out[3] + out[5] + out[8], out[2] + out[4], out[7] + out[3]]
+        out = ["bias", form, f"bare{bare}", f"wrapped{page.wrapped}", page.form, f"broken{_interrupts(before, after)}", f"title{title}", f"sure{_SURE_PAGE.match(body) is not None}", f"blank{any(not page.lines[j].strip() for j in near)}", f"edge{k in (page.first, page.last)}"]
+        return [*out, out[2] + out[9] + out[3], out[2] + out[3], out[2] + out[5], out[2] + out[6], out[2] + out[3] + out[5] + out[8], out[2] + out[4], out[7] + out[3]]
 
     def train(self, messages: list[tuple[str, dict[int, tuple[int, int]]]]) -> PageModel:
         heads, pages = [], []
@@ -228,7 +228,8 @@ class PageModel:
                 continue
             for k, line, before, after in _neighbours(page.lines):
                 if _is_page(line):
-                    sure, breaks = _SURE_PAGE.match(line.strip()) is not None, _interrupts(before, after)
+                    # At the edge of a page, inside a sentence, or by its form a number is the page's; other numbers of pages give no label.
+                    sure, breaks = _SURE_PAGE.match(line.strip()) is not None, _interrupts(before, after) or k in (page.first, page.last)
                     if sure or not page.wrapped or breaks:
                         pages.append((self.page_features(page, k, line, before, after), page.wrapped and (sure or breaks)))
                     continue
@@ -626,11 +627,12 @@ def prepared(rows: DataFrame) -> tuple[DataFrame, Repairer]:
     lines = found.filter("shape is not null").groupBy("text_key", "shape").agg(F.sum("n").alias("n"), F.sum("breaks").alias("breaks"))
     shapes = lines.groupBy("shape").agg(F.sum("n").alias("n"), F.sum("breaks").alias("breaks")).filter("n >= 2 and breaks >= 1")
     told = lookup_join(lines.select("text_key", "shape"), shapes, "shape", "inner")
-    maps = told.groupBy("text_key").agg(F.map_from_entries(F.collect_list(F.struct("shape", F.array("n", "breaks")))).alias("seen"))
+    maps = checkpointed(told.groupBy("text_key").agg(F.map_from_entries(F.collect_list(F.struct("shape", F.array("n", "breaks")))).alias("seen")))
     paged = F.contains("message", F.lit("\n"))
     joined = lookup_join(keyed.filter(paged), maps, "text_key").select("row_id", "message", "seen")
     plain = keyed.filter(F.coalesce(~paged, F.lit(True))).select("row_id", "message", F.lit(None).cast("map<bigint,array<bigint>>").alias("seen"))
-    sample = [(r["message"], {k: tuple(v) for k, v in (r["seen"] or {}).items()}) for r in bounded_sample(joined, "message", TRAIN_MESSAGES).collect()]
+    drawn = lookup_join(bounded_sample(keyed.filter(paged), "message", TRAIN_MESSAGES), maps, "text_key")  # only the sample meets the maps twice
+    sample = sorted(((r["message"], {k: tuple(v) for k, v in (r["seen"] or {}).items()}) for r in drawn.select("message", "seen").collect()), key=lambda x: x[0])
     return joined.unionByName(plain), Repairer(PageModel().train(sample), Editor(known, total).train())
 
 
