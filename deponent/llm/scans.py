@@ -47,6 +47,7 @@ _PLAIN = re.compile(r"[a-zà-ÿ]{2,}")
 _COMPOUND = re.compile(r"(?<![\w-])[a-zà-ÿ]{2,}-[a-zà-ÿ]{2,}(?![\w-])")
 _LEFT = re.compile(rf"([^\W_]+(?:['’][^\W_]+)?)[-‐‑‒­¬][ \t]*$")
 _RIGHT = re.compile(r"\s*([^\W_]+)")
+_DIGITS = re.compile(r"\d+")
 _HYPHEN = "-‐‑‒­¬"
 _BREAK = re.compile(rf"[^\W\d_][{_HYPHEN}][ \t]*$")
 _PAGE = re.compile(
@@ -69,7 +70,7 @@ _OPEN = frozenset("the a an and or of to in on at by for with from that which wh
 
 def shape(line: str) -> str:
     """A line without its case, numbers and spacing."""
-    return re.sub(r"\s+", " ", re.sub(r"\d+", "9", line.strip().lower()))
+    return _DIGITS.sub("9", " ".join(line.lower().split()))
 
 
 def hashed(shape: str) -> int:
@@ -544,12 +545,14 @@ class Repairer:
         return found
 
     def defects(self, message: str, seen: dict[int, tuple[int, int]] | None = None) -> list[str]:
-        page = Page(message, seen or {})
-        kinds = self.pages.judge(page)
-        out = [x for x in ("header", "page_number") if x in kinds]
-        if len(kinds) > 1 and self.broken(page.lines, kinds):
-            out.append("hyphenation")
-        text = joined_lines(message, kinds)[0] if len(kinds) > 1 else message
+        out, text = [], message
+        if "\n" in message:
+            page = Page(message, seen or {})
+            kinds = self.pages.judge(page)
+            out = [x for x in ("header", "page_number") if x in kinds]
+            if self.broken(page.lines, kinds):
+                out.append("hyphenation")
+            text = joined_lines(message, kinds)[0]
         if "header" in out:
             text += "\n" + "\n".join(x for x, k in zip(page.lines, kinds) if k == "header")
         odd = {w for w in set(_TOKEN.findall(text)) - self.fine if self._meant(w)}
