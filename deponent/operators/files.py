@@ -78,3 +78,8 @@ def best_report(files: DataFrame) -> DataFrame:
     """The file of each case that looks most like its report: ``case_id``, ``rel_path``, ``score``."""
     scored = files.filter("rel_path is not null and case_id is not null").select("case_id", "rel_path", report_score(F.col("rel_path")).alias("score"))
     return scored.groupBy("case_id").agg(F.max(F.struct("score", (-F.size(F.split("rel_path", "/"))).alias("d"), "rel_path")).alias("b")).select("case_id", "b.rel_path", "b.score")
+
+
+def rows_without_file(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """Rows whose ``source_image`` is no path of the inventory; rows without an image are left out."""
+    return rows.filter("source_image is not null").join(files.select(F.col("rel_path").alias("source_image")), "source_image", "left_anti")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from deponent.functions import dates as D
 from deponent.functions import text as T
-from deponent.operators import dedupe, evidence, guards, joins
+from deponent.operators import dedupe, evidence, files, guards, joins
 from deponent.operators.sequence import islands
 from deponent.plans.registry import query
 from deponent.sources import readers, sinks
@@ -312,3 +312,42 @@ TERMS = [(1, "Hello again, the parcel's 2nd form is at St. Anne-Marie’s"), (2,
 @query("SELECT * FROM " + _values([(1, "parcel form anne marie", "the parcel 2nd form anne marie", "hello parcel's anne-marie’s"), (2, "", "", ""), (3, None, None, None)], "id, context, speech, report"))
 def fixture_terms(spark: SparkSession, d: str) -> DataFrame:
     return _frame(spark, TERMS, "id int, raw string").select("id", *[F.array_join(T.terms(F.col("raw"), r), " ").alias(r) for r in ("context", "speech", "report")])
+
+
+LABELS = [(1, "Possible  Offences"), (2, "Victim 2"), (3, "Anna Weber"), (4, "timeline"), (5, ""), (6, None), (7, "Account_Manager")]
+
+
+@query("SELECT * FROM " + _values([(1, True), (2, True), (3, False), (4, True), (5, False), (6, False), (7, True)], "id, heading"))
+def fixture_heading_labels(spark: SparkSession, d: str) -> DataFrame:
+    return _frame(spark, LABELS, "id int, raw string").select("id", T.is_heading_label(F.col("raw")).alias("heading"))
+
+
+PEOPLE = [(1, "c", "Ann Lee", "complainant"), (2, "c", "Bob Moss", None), (3, "c", "Cyd Dahl", "suspect"), (4, "d", "Ann Lee", None), (5, None, "Bob Moss", None), (6, "c", None, None)]
+STATED = [(1, "c", "Ann Lee met Bob Moss.\n\nBob Moss and Cyd Dahl left; ann lee stayed."), (2, "c", "Bob Moss, Ann Lee"), (3, "d", "Ann Lee and Bob Moss"), (4, None, "Ann Lee, Bob Moss"), (5, "c", None)]
+
+
+@query("SELECT * FROM " + _values([("ann lee", "bob moss", 3), ("ann lee", "cyd dahl", 1), ("bob moss", "cyd dahl", 1)], "a, b, n"))
+def fixture_passage_pairs(spark: SparkSession, d: str) -> DataFrame:
+    people = _frame(spark, PEOPLE, "participant_id int, case_id string, full_name string, case_role string")
+    return evidence.passage_pairs(_frame(spark, STATED, "doc_id int, case_id string, text string"), people).select("a", "b", "n")
+
+
+TALK = [(1, "Ann Lee", "hi bob, it is late"), (2, "Bob Moss", "this is bob speaking"), (3, "Ann Lee", "I am Ann Lee"), (4, "Bob Moss", "cyd knows it"), (5, "Unknown", "hello ann"), (6, "Ann Lee", None)]
+
+
+@query("SELECT * FROM " + _values([(1, "ann lee", "bob moss", 394, 0, 3)], "place, l, r, score, hard, strong"))
+def fixture_side_hypotheses(spark: SparkSession, d: str) -> DataFrame:
+    """One fitting greeting (20), two people who name themselves (250), both sides (36) and the pair (42) kept, the complainant (28) and three passages (18)."""
+    rows = _frame(spark, [(k, "c", "v", "chat", s, m) for k, s, m in TALK], "row_id int, case_id string, conv_key string, source_kind string, sender string, message string")
+    talks = _frame(spark, [("v", "c", "Ann Lee", "Bob Moss")], "conv_key string, case_id string, left_name string, right_name string")
+    people = _frame(spark, PEOPLE, "participant_id int, case_id string, full_name string, case_role string")
+    found = evidence.side_hypotheses(rows, talks, people, _frame(spark, STATED, "doc_id int, case_id string, text string"))
+    return found.filter("place = 1").select("place", F.col("left").alias("l"), F.col("right").alias("r"), "score", "hard", "strong")
+
+
+SHOTS = [(1, "a/1.png"), (2, "a/2.png"), (3, None), (4, "A/1.png")]
+
+
+@query("SELECT * FROM " + _values([(2,), (4,)], "row_id"))
+def fixture_rows_without_file(spark: SparkSession, d: str) -> DataFrame:
+    return files.rows_without_file(_frame(spark, SHOTS, "row_id int, source_image string"), _frame(spark, [("a/1.png",), ("b/2.png",), (None,)], "rel_path string")).select("row_id")

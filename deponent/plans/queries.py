@@ -629,8 +629,7 @@ def last_chat_before_recording(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT m.row_id FROM mass_extract m WHERE m.source_image IS NOT NULL AND NOT EXISTS (SELECT 1 FROM file_inventory f WHERE f.rel_path = m.source_image)""")
 def rows_without_file(spark: SparkSession, d: str) -> DataFrame:
     """Rows whose screenshot is not in the inventory."""
-    known = table(spark, d, "file_inventory").select(F.col("rel_path").alias("source_image"))
-    return table(spark, d, "mass_extract").filter("source_image is not null").select("row_id", "source_image").join(known, "source_image", "left_anti").select("row_id")
+    return files.rows_without_file(table(spark, d, "mass_extract").select("row_id", "source_image"), table(spark, d, "file_inventory")).select("row_id")
 
 
 @query("""SELECT conv_key, row_id, k FROM (SELECT conv_key, row_id, row_number() OVER (PARTITION BY conv_key ORDER BY length(message) DESC, row_id) AS k FROM mass_extract WHERE message IS NOT NULL) WHERE k <= 3""")
