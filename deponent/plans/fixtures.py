@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +10,7 @@ from deponent.functions import text as T
 from deponent.operators import dedupe, evidence, files, guards, joins
 from deponent.operators.sequence import islands
 from deponent.plans.registry import query
+from deponent.session import checkpoint_dir
 from deponent.sources import readers, sinks
 
 
@@ -193,14 +191,9 @@ def fixture_packed_excerpt(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _written(spark: SparkSession, name: str, text: str) -> str:
-    """A small file of literal text, where the session keeps its shared files."""
-    from deponent.session import checkpoint_dir
-
-    where = os.path.join(checkpoint_dir(spark).removeprefix("file:"), "fixtures") if spark.sparkContext.master.startswith("local") else tempfile.mkdtemp()
-    os.makedirs(where, exist_ok=True)
-    path = os.path.join(where, name)
-    with open(path, "w", encoding="utf-8") as f:
-        f.write(text)
+    """A small file of literal text in the folder that all executors share."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/fixtures/{name}"
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
     return path
 
 
